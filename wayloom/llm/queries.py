@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_byte_bpe
 from .quality import op3_quality_rules
+from .simhash import op6_simhash
 from .token_counts import op9_token_counts
 from .url_filter import OP2_SQL, op2_url_filter
 
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_simhash": op6_simhash,
     "op9_token_counts": op9_token_counts,
 }
 
