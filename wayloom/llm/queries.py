@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_byte_bpe
+from .langid import op8_language_id
 from .quality import op3_quality_rules
 from .simhash import op6_simhash
 from .token_counts import op9_token_counts
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_simhash": op6_simhash,
+    "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
 }
 
