@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_byte_bpe
+from .decontaminate import op10_decontaminate
 from .langid import op8_language_id
 from .quality import op3_quality_rules
 from .simhash import op6_simhash
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL}
