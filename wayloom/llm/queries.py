@@ -11,6 +11,7 @@ from .decontaminate import op10_decontaminate
 from .langid import op8_language_id
 from .quality import op3_quality_rules
 from .simhash import op6_simhash
+from .substring_dedup import op5_substring_dedup
 from .token_counts import op9_token_counts
 from .toxicity import op7_toxicity
 from .url_filter import OP2_SQL, op2_url_filter
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
