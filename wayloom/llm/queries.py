@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op4_byte_bpe
 from .decontaminate import op10_decontaminate
 from .langid import op8_language_id
+from .lm import op1_lm_score
 from .quality import op3_quality_rules
 from .simhash import op6_simhash
 from .substring_dedup import op5_substring_dedup
@@ -17,6 +18,7 @@ from .toxicity import op7_toxicity
 from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,

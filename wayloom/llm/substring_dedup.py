@@ -217,5 +217,32 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.withColumnRenamed("d", id_col)
 
 
+def strip_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the words of repeated passages taken out of the text (see strip_repeats), all columns kept.
+
+    A text that loses words becomes the rest joined by single spaces; others, null ones too, stay as they are.
+    """
+    rows = keyed(docs, id_col, text_col)
+    found = repeats(rows)
+    text, names = F.coalesce(F.col(text_col), F.lit("")), docs.columns
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(WINDOW), text).alias("h2"))
+    may, rest = touched(whole, found)
+    spread = may.join(found, KEY).select("d", F.col(f"row.`{text_col}`").alias("text"), "whole", "starts", "row")
+    changed = spread.mapInArrow(strip_rows, spread.select("row").withColumn("kept", F.lit("")).schema)
+    new = changed.select(*(F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names))
+    same = may.join(found, KEY, "left_anti").unionByName(rest).select(*(F.col(f"row.`{c}`").alias(c) for c in names))
+    return new.unionByName(same)
+
+
+def strip_rows(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 256):
+            part = batch.slice(begin, 256)
+            kept = pa.concat_arrays([x.column(3) for x in strip(iter([part]))])
+            yield pa.RecordBatch.from_arrays([part.column(4), kept], ["row", "kept"])
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
