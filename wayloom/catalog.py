@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from .plans import trips
+from .plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "operating_summary"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+MODULES = (trips,)
+__all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]
