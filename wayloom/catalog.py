@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import trips
+from .plans import sets, trips
 from .plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "operating_summary"
-MODULES = (trips,)
+MODULES = (trips, sets)
 __all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]
