@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import sets, trips
+from .plans import coverage, sets, trips
 from .plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "operating_summary"
-MODULES = (trips, sets)
+MODULES = (trips, sets, coverage)
 __all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]
