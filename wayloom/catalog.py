@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import coverage, network, sets, trips
+from .plans import coverage, geometry, network, sets, trips
 from .plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "operating_summary"
-MODULES = (trips, sets, coverage, network)
+MODULES = (trips, sets, coverage, network, geometry)
 __all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]
