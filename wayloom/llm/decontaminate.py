@@ -9,6 +9,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from .common import table
 
@@ -179,13 +181,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     for part in range(rounds):
         rows = wanted.filter(F.pmod(F.xxhash64("t"), F.lit(rounds)) == part).collect()
         shared, call = spark.sparkContext.broadcast(Index.build([(r.i, r.t) for r in rows])), uuid.uuid4().hex
-        found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(search_with(shared, call, item_kind), f"doc_id {kind}, item_id {item_kind}, start_char long, end_char long, edits long")
+        found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(search_with(shared, call, items.schema[item_col].dataType), f"doc_id {kind}, item_id {item_kind}, start_char long, end_char long, edits long")
         out = found if out is None else out.unionByName(found)
     merged = out.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.min("edits").alias("edits"), F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"))
     return merged.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else merged
 
 
-def search_with(shared, call: str, item_kind: str):
+def search_with(shared, call: str, item_type: DataType):
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -194,7 +196,7 @@ def search_with(shared, call: str, item_kind: str):
             INDEXES[call] = shared.value
             INDEXES[call].prepare()
         index = INDEXES[call]
-        types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+        kind = to_arrow_type(item_type)
         for batch in batches:
             ids, texts, size, start = batch.column(0), [], 0, 0
             for i, value in enumerate(batch.column(1)):
@@ -204,7 +206,7 @@ def search_with(shared, call: str, item_kind: str):
                     found = list(dict.fromkeys(index.matches(texts)))
                     if found:
                         rows, item, low, high, edits = map(list, zip(*found, strict=True))
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array([start + r for r in rows])), pa.array([index.items[x] for x in item], types[item_kind]), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(edits, pa.int64())], ["doc_id", "item_id", "start_char", "end_char", "edits"])
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array([start + r for r in rows])), pa.array([index.items[x] for x in item], kind), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(edits, pa.int64())], ["doc_id", "item_id", "start_char", "end_char", "edits"])
                     texts, size, start = [], 0, i + 1
 
     return work
@@ -212,8 +214,8 @@ def search_with(shared, call: str, item_kind: str):
 
 def drop_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents with no leak; all columns as they are."""
-    bad = leaks.select(F.col(id_col).alias("leaking_id")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("leaking_id"), "left_anti")
+    bad = leaks.select(F.col(id_col).alias("wayloom_leaking_id")).distinct()
+    return docs.join(bad, F.col(id_col) == F.col("wayloom_leaking_id"), "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,8 +167,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that are the smallest of their group; all columns as they are. Repeated rows of one id all stay."""
-    first = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(first, F.col(id_col) == F.col("kept_id"), "left_semi")
+    first = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("wayloom_kept_id")).distinct()
+    return docs.join(first, F.col(id_col) == F.col("wayloom_kept_id"), "left_semi")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
