@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df computed once and kept in spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; a folder of our own only where none is set (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayloom-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df computed once and kept in that folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

@@ -13,6 +13,8 @@ def mix(*keys: Column) -> Column:
     out = F.lit(17).cast("long")
     for k in keys:
         out = ((out * 48271 + F.pmod(k.cast("long"), F.lit(PRIME)) + 1) * 69621) % PRIME
+    for _ in range(3):  # squares, or the order of near keys would be that of the keys
+        out = F.transform(F.array(out), lambda x: (x * x + 7 * x + 12345) % PRIME)[0]
     return out
 
 

@@ -164,8 +164,9 @@ def set_cell_matrix(spark, sf_dir):
 
 
 SETS = f"""{GAP}, cand AS (SELECT s_suppkey AS route_id, CASE s_suppkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS bucket FROM supplier), quota(bucket, slots) AS (VALUES ('A', 3), ('B', 2), ('C', 4)),
-draws AS (SELECT cand.*, slots, g.sample_id, (((((((((((17::BIGINT * 48271 + 7 + 1) * 69621) % 2147483647) * 48271 + g.sample_id + 1) * 69621) % 2147483647) * 48271 + 0 + 1) * 69621) % 2147483647) * 48271 + cand.route_id + 1) * 69621) % 2147483647 AS h FROM cand JOIN quota USING (bucket) CROSS JOIN (SELECT unnest(range(0, 200)) AS sample_id) g),
-sets AS (SELECT sample_id, bucket, route_id FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, bucket ORDER BY h, route_id) AS r FROM draws) WHERE r <= slots),
+draws AS (SELECT cand.*, slots, g.sample_id, (((((((((((17::BIGINT * 48271 + 7 + 1) * 69621) % 2147483647) * 48271 + g.sample_id + 1) * 69621) % 2147483647) * 48271 + 0 + 1) * 69621) % 2147483647) * 48271 + cand.route_id + 1) * 69621) % 2147483647 AS h0 FROM cand JOIN quota USING (bucket) CROSS JOIN (SELECT unnest(range(0, 200)) AS sample_id) g),
+h1 AS (SELECT *, (h0 * h0 + 7 * h0 + 12345) % 2147483647 AS x1 FROM draws), h2 AS (SELECT *, (x1 * x1 + 7 * x1 + 12345) % 2147483647 AS x2 FROM h1), h3 AS (SELECT *, (x2 * x2 + 7 * x2 + 12345) % 2147483647 AS h FROM h2),
+sets AS (SELECT sample_id, bucket, route_id FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, bucket ORDER BY h, route_id) AS r FROM h3) WHERE r <= slots),
 scores AS (SELECT sample_id, avg(d) AS value, max(d) AS top, min(d) AS least FROM sets JOIN gap USING (route_id) GROUP BY sample_id)"""
 
 
