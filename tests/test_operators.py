@@ -172,3 +172,24 @@ def test_files(spark, tmp_path):
     assert files.snapshot(df.limit(0), str(tmp_path / "snap"), "f").count() == 1
     with pytest.raises(ValueError, match="test data"):
         files.refuse_test_data(df.withColumn("is_test_data", F.lit("true")))
+
+
+def test_swaps_against_brute_force(spark):
+    cells = [("A", "RC1", 5.0), ("A", "RC2", 3.0), ("B", "RC1", 2.0)]
+    network_ = spark.createDataFrame([(z, r, q / 10) for z, r, q in cells], "zone string, rc string, q double")
+    lengths = {1: (9, 0, 1), 2: (0, 8, 1), 3: (4, 4, 4), 4: (1, 1, 6), 5: (5, 3, 2), 6: (7, 1, 0)}
+    v = spark.createDataFrame([(i, z, r, float(m)) for i, row in lengths.items() for (z, r, _), m in zip(cells, row, strict=True) if m], "route_id long, zone string, rc string, length_m double")
+    pool = spark.createDataFrame([(i, "x" if i < 5 else "y") for i in lengths], "route_id long, bucket string")
+    chosen = [2, 4, 6]
+    found = sets.swap_improve(v, network_, spark.createDataFrame([(0, i) for i in chosen], "problem_id long, route_id long"), pool, 4, checkpoint).orderBy("round").collect()
+
+    def gap(ids):
+        total = [sum(lengths[j][k] for j in ids) for k in range(3)]
+        return 0.5 * sum(abs(q / 10 - t / sum(total)) for (_, _, q), t in zip(cells, total, strict=True))
+
+    for r in found:
+        options = {(round(gap([*(set(chosen) - {o}), i]), 10), i, o) for o in chosen for i in lengths if i not in chosen and (o < 5) == (i < 5)}
+        d, i, o = min(options)
+        assert (r.in_id, r.out_id) == (i, o) and d < gap(chosen)
+        chosen = [*(set(chosen) - {o}), i]
+    assert found and not any(gap([*(set(chosen) - {o}), i]) < gap(chosen) - 1e-9 for o in chosen for i in lengths if i not in chosen and (o < 5) == (i < 5)) or len(found) == 4

@@ -131,3 +131,35 @@ def greedy_coverage(members: DataFrame, size: int, checkpoint) -> DataFrame:
         covered = members.join(best.select("route_id"), "route_id", "left_semi").select("part_id")
         left = checkpoint(left.join(covered, "part_id", "left_anti"))
     return history
+
+
+def swap_improve(vectors: DataFrame, network: DataFrame, members: DataFrame, pool: DataFrame, rounds: int, checkpoint) -> DataFrame:
+    """Rounds that each make the one swap that lowers a problem's gap most, inside a bucket; ends when no swap helps.
+
+    members: problem_id, route_id; pool: route_id, bucket. A set has a fixed small size, so a round looks at size
+    times pool candidates of the bucket for each problem. Returns problem_id, round, out_id, in_id, d.
+    """
+    cells = checkpoint(network.select("zone", "rc", "q"))
+    q = cells.agg(F.array_sort(F.collect_list(F.struct("zone", "rc", "q"))).alias("a")).select(F.transform("a", lambda x: x["q"]).alias("q")).scalar()
+    # one dense vector per route: the grid of cells is a fixed small dimension
+    dense = pool.select("route_id", "bucket").join(vectors, "route_id", "left").groupBy("route_id", "bucket").agg(F.map_from_entries(F.filter(F.collect_list(F.struct(F.concat_ws("|", "zone", "rc").alias("k"), "length_m")), lambda x: x["length_m"].isNotNull())).alias("m"))
+    names = cells.agg(F.array_sort(F.collect_list(F.concat_ws("|", "zone", "rc"))).alias("a")).scalar()
+    dense = checkpoint(dense.withColumn("names", names).select("route_id", "bucket", F.transform("names", lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("v")))
+    gap_of = lambda v: 0.5 * F.aggregate(F.zip_with(v, F.col("q"), lambda x, s: F.abs(s - F.try_divide(x, F.aggregate(v, F.lit(0.0), lambda a, y: a + y)))), F.lit(0.0), lambda a, x: a + x)
+    history = None
+    for turn in range(1, rounds + 1):
+        own = members.join(dense, "route_id")
+        sums = own.select("problem_id", F.posexplode("v")).groupBy("problem_id", "pos").agg(F.sum("col").alias("s")).groupBy("problem_id").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("a")).select("problem_id", F.transform("a", lambda x: x["s"]).alias("total"))
+        sums = checkpoint(sums.withColumn("q", q)).withColumn("now", gap_of(F.col("total")))
+        outs = own.select("problem_id", "bucket", F.col("route_id").alias("out_id"), F.col("v").alias("ov")).join(sums, "problem_id")
+        ins = dense.select(F.col("route_id").alias("in_id"), "bucket", F.col("v").alias("iv"))
+        taken = members.select("problem_id", F.col("route_id").alias("in_id"))
+        swaps = outs.join(ins, "bucket").join(taken, ["problem_id", "in_id"], "left_anti").withColumn("new", F.zip_with(F.zip_with("total", "ov", lambda a, b: a - b), "iv", lambda a, b: a + b))
+        better = swaps.withColumn("d", gap_of(F.col("new"))).filter("d < now - 1e-9")
+        best = checkpoint(better.groupBy("problem_id").agg(F.min_by(F.struct("out_id", "in_id", "d"), F.struct(F.round("d", 10), "in_id", "out_id")).alias("b")).select("problem_id", F.lit(turn).alias("round"), "b.out_id", "b.in_id", "b.d"))
+        history = best if history is None else history.unionByName(best)
+        if best.isEmpty():
+            break
+        left = members.join(best.select("problem_id", F.col("out_id").alias("route_id")), ["problem_id", "route_id"], "left_anti")
+        members = checkpoint(left.unionByName(best.select("problem_id", F.col("in_id").alias("route_id"))))
+    return history
