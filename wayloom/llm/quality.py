@@ -13,7 +13,7 @@ PLACE_BITS = 24
 #: Accuracy parameter of the sketches (about 0.7 % of ranks at 200, 0.35 % at 400).
 SKETCH_K = 400
 #: Measure -> (side that is bad, least distance from the quartile that counts as far).
-MEASURES = {"symbol_rate": ("high", 0.02), "dup_line_rate": ("high", 0.30), "repeat_rate": ("high", 0.20), "mean_word": ("both", 2.0)}
+MEASURES = {"symbol_rate": ("high", 0.02), "dup_line_rate": ("high", 0.50), "repeat_rate": ("high", 0.35), "mean_word": ("both", 2.0)}
 #: Interquartile ranges beyond a quartile from which a value is far out.
 FENCE = 6.0
 #: Groups with fewer rows take the thresholds of their language, and then those of all rows.
