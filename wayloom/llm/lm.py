@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, crc_of_id, table, written
+from .common import byte_texts, crc_of_id, most_frequent, table, written
 
 #: Classes (the first is the rest, the second the end), dimensions, noise tokens of a step, tokens of a step, rounds over the corpus.
 CLASSES, DIM, NOISE, STEP, ROUNDS = 1024, 16, 64, 1024, 2
@@ -183,9 +183,11 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     texts = docs.filter(training).select(F.col(text_col).alias("text"))
     counts = written(count_tokens(texts))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.filter((F.length("token") <= LONGEST) & (F.length("token") > 0)).orderBy(F.desc("c"), "token").limit(HEAD).toArrow().to_pydict()
+    short = counts.filter((F.length("token") <= LONGEST) & (F.length("token") > 0))
+    found = most_frequent(short, "c", HEAD).toArrow().to_pydict()
+    top = sorted(zip(found["token"], found["c"], strict=True), key=lambda x: (-x[1], x[0]))
     ends = counts.filter(F.length("token") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    head, head_counts = [END, *top["token"]], np.array([ends, *top["c"]], np.int64)
+    head, head_counts = [END, *(w for w, _ in top)], np.array([ends, *(k for _, k in top)], np.int64)
     named = head_counts[: CLASSES - 1]
     class_counts = np.concatenate([[n - named.sum()], named])
     rest_mass = np.log10(float((n - named.sum()) + (v - (named > 0).sum()) + 1))
