@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import byte_texts, crc_of_id, most_frequent, table, written
 
 #: Classes (the first is the rest, the second the end), dimensions, noise tokens of a step, tokens of a step, rounds over the corpus.
-CLASSES, DIM, NOISE, STEP, ROUNDS = 1024, 16, 64, 1024, 2
+CLASSES, DIM, NOISE, STEP, ROUNDS = 1024, 16, 64, 512, 1
 RATE, SPREAD = 0.1, 0.1
 #: Tokens whose counts every executor gets (at most about 8 MB); the counts of others come by a join.
 HEAD, LONGEST = 200_000, 64
@@ -81,32 +81,42 @@ class Model:
         """One pass of noise-contrastive steps over (class two before, class before, class); past: squared gradients so far."""
         k, log_noise = len(self.noise), np.log(NOISE * self.noise).astype(np.float32)
         r, t, c1, c2, b = self.parts()
-        sums = np.split(past, np.cumsum([k, k, DIM, DIM]))
-        cumulated = np.cumsum(self.noise)
-        add = lambda at, g: np.stack([np.bincount(at, g[:, d], k) for d in range(DIM)], 1)
-
-        def move(value: np.ndarray, total: np.ndarray, gradient: np.ndarray) -> None:
-            total += gradient * gradient
-            value += RATE * gradient / np.sqrt(total + 1e-6)
-
-        for start in range(0, len(token), STEP):
-            w2, w1, w = before[start : start + STEP], last[start : start + STEP], token[start : start + STEP]
-            noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), k - 1)
-            r1, r2 = r[w1], r[w2]
-            h = r1 @ c1 + r2 @ c2
-            good = 1 / (1 + np.exp(np.clip((h * t[w]).sum(1) + b[w] - log_noise[w], -30, 30)))
-            bad = -1 / (1 + np.exp(-np.clip(h @ t[noise].T + (b[noise] - log_noise[noise]), -30, 30)))
-            n = np.float32(len(w))
-            dh = good[:, None] * t[w] + bad @ t[noise]
-            dt = add(w, good[:, None] * h)
-            np.add.at(dt, noise, bad.T @ h)
-            db = np.bincount(w, good, k) + np.bincount(noise, bad.sum(0), k)
-            dr = add(w1, dh @ c1.T) + add(w2, dh @ c2.T)
-            move(r, sums[0], dr / n)
-            move(t, sums[1], dt / n)
-            move(c1, sums[2], r1.T @ dh / n)
-            move(c2, sums[3], r2.T @ dh / n)
-            move(b[:k], sums[4].reshape(-1)[:k], db / n)
+        past_r, past_t, past_1, past_2, past_b = np.split(past, np.cumsum([k, k, DIM, DIM]))
+        past_b, cumulated = past_b.reshape(-1), np.cumsum(self.noise)
+
+        def move(value: np.ndarray, total: np.ndarray, gradient: np.ndarray, at=slice(None)) -> None:
+            sums = total[at] + gradient * gradient
+            total[at] = sums
+            value[at] += RATE * gradient / np.sqrt(sums + 1e-6)
+
+        def by_class(classes: np.ndarray, gradients: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Classes that occur, and the sum of the gradients of each."""
+            order = np.argsort(classes, kind="stable")
+            ordered = classes[order]
+            first = np.nonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))[0]
+            return ordered[first], np.add.reduceat(gradients[order], first)
+
+        with np.errstate(over="ignore"):
+            for start in range(0, len(token), STEP):
+                w2, w1, w = before[start : start + STEP], last[start : start + STEP], token[start : start + STEP]
+                noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), k - 1)
+                r1, r2, tw, tn = r[w1], r[w2], t[w], t[noise]
+                h = r1 @ c1 + r2 @ c2
+                scale = np.float32(1 / len(w))
+                good = scale / (1 + np.exp(np.einsum("ij,ij->i", h, tw) + b[w] - log_noise[w]))
+                bad = h @ tn.T
+                bad += b[noise] - log_noise[noise]
+                np.exp(np.negative(bad, out=bad), out=bad)
+                bad += 1
+                np.divide(-scale, bad, out=bad)
+                dh = good[:, None] * tw + bad @ tn
+                target, gradient = by_class(np.concatenate([w, noise]), np.concatenate([np.column_stack([good[:, None] * h, good]), np.column_stack([bad.T @ h, bad.sum(0)])]))
+                context, back = by_class(np.concatenate([w1, w2]), np.concatenate([dh @ c1.T, dh @ c2.T]))
+                move(r, past_r, back, context)
+                move(t, past_t, gradient[:, :DIM], target)
+                move(b, past_b, gradient[:, DIM], target)
+                move(c1, past_1, r1.T @ dh)
+                move(c2, past_2, r2.T @ dh)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by the class before, scores by the one two before (with bias), and log normaliser of each pair."""
