@@ -13,8 +13,7 @@ from wayloom.functions.scalar import spreadsheet_safe
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names of the first line; a byte order mark is dropped."""
     first = spark.read.text(path).limit(1).collect()
-    row = spark.read.csv(spark.createDataFrame([first[0][0].lstrip("﻿")], "string").rdd.map(lambda r: r[0])).first() if first else ()
-    return [x or "" for x in row]
+    return next(csv.reader([first[0][0].lstrip(chr(0xFEFF))]), []) if first else []
 
 
 def scan_csv(spark: SparkSession, path: str, required: list[str]) -> tuple[DataFrame, list[str]]:
