@@ -213,7 +213,7 @@ def search_with(shared, call: str, item_type: DataType):
 
 
 def drop_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents with no leak; all columns as they are."""
+    """The documents with no leak; all columns as they are. A null id matches nothing: judge rows that may have one by a hash of the text."""
     bad = leaks.select(F.col(id_col).alias("wayloom_leaking_id")).distinct()
     return docs.join(bad, F.col(id_col) == F.col("wayloom_leaking_id"), "left_anti")
 

@@ -96,8 +96,8 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) of every row."""
+def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, *also: str) -> DataFrame:
+    """(doc_id, fp long) of every row, and the columns named besides."""
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -105,10 +105,11 @@ def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(byte_texts(part.column(1)), shingle).view(np.int64))], ["doc_id", "fp"])
+                prints = pa.array(fingerprints(byte_texts(part.column(1)), shingle).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), prints, *part.columns[2:]], ["doc_id", "fp", *also])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id {kind}, fp long")
+    kinds = [f"{docs.schema[id_col].dataType.simpleString()}, fp long", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in also)]
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *also).mapInArrow(work, "doc_id " + ", ".join(kinds))
 
 
 def print_keys(nodes: DataFrame) -> DataFrame:
@@ -165,10 +166,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that are the smallest of their group; all columns as they are. Repeated rows of one id all stay."""
-    first = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("wayloom_kept_id")).distinct()
-    return docs.join(first, F.col(id_col) == F.col("wayloom_kept_id"), "left_semi")
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """The documents that are the smallest of their group; all columns as they are. Repeated rows of one id and text all stay.
+
+    A row is known by its id and its text (or its fingerprint, where the groups have no text_print), so where rows
+    share an id each is judged by its own group. Rows with a null id belong to no group and all stay.
+    """
+    first = groups.filter(F.col(id_col) == F.col("component_id"))
+    if "text_print" not in groups.columns:
+        own = document_prints(docs.withColumn("wayloom_print", F.xxhash64(text_col)), id_col, text_col, shingle, "wayloom_print")
+        own = own.select(F.col("doc_id").alias("i"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("f"), F.col("wayloom_print").alias("text_print"))
+        first = first.select(id_col, "fingerprint").distinct().join(own, (F.col(id_col) == F.col("i")) & (F.col("fingerprint") == F.col("f")))
+    first = first.select(F.col(id_col).alias("wayloom_kept_id"), F.col("text_print").alias("wayloom_kept_print")).distinct()
+    kept = docs.join(first, (F.col(id_col) == F.col("wayloom_kept_id")) & (F.xxhash64(text_col) == F.col("wayloom_kept_print")), "left_semi")
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
