@@ -58,7 +58,28 @@ def test_bpe_tree_joins_anywhere():
     for _ in range(300):
         piece = "".join(rng.choices("abcdeth ingé", k=rng.randrange(2, 200))).encode()
         cut = rng.randrange(1, len(piece))
-        assert codec.join(codec.leaf(piece[:cut]), codec.leaf(piece[cut:])) == codec.leaf(piece)
+        assert codec.join(codec.window(piece[:cut]), codec.window(piece[cut:])) == codec.window(piece)
+
+
+def test_bpe_tokens_come_from_joins(texts, monkeypatch):
+    """Every pre-token that isn't a token itself is joined from its halves, and most of those joins make a window anew."""
+    codec, joined, anew = bpe.TextCodec(RANKS, P.PATTERN), set(), set()
+    join, window = bpe.Codec.join, bpe.Codec.window
+    monkeypatch.setattr(bpe.Codec, "join", lambda c, a, b: joined.add(c.decode(a) + c.decode(b)) or join(c, a, b))
+    monkeypatch.setattr(bpe.Codec, "window", lambda c, x: anew.add(x) or window(c, x))
+    pieces = {x.encode() for t in texts.values() for x in codec.split(t)}
+    for text in texts.values():
+        codec.encode(text)
+    several = {x for x in pieces if x not in codec.codec.ranks}
+    assert several and several <= joined and len(anew) > len(several) / 10
+
+
+def test_bpe_long_text_in_blocks(monkeypatch, texts):
+    text = "\n".join(texts.values())[:300_000] + " ²" + "q" * 30_000
+    whole = bpe.TextCodec(RANKS, P.PATTERN).encode(text)
+    monkeypatch.setattr(bpe, "LONG", 1000)
+    monkeypatch.setattr(bpe, "BLOCK", 7)
+    assert bpe.TextCodec(RANKS, P.PATTERN).encode(text) == whole and bpe.TextCodec(RANKS, P.PATTERN).decode(whole) == text.encode()
 
 
 def test_op4(spark, texts):

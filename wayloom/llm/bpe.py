@@ -1,6 +1,6 @@
 """Byte-level BPE as a monoid: an encoding of a byte string is joined from the encodings of its halves.
 
-Two neighbours join by encoding anew a window at their boundary. The window grows until the token on
+The tree goes down to single bytes. Two neighbours join by encoding anew a window at their boundary. The window grows until the token on
 either side of it and the window's own outer token are stable as a pair, that is, encoding the bytes of
 the two gives just the two. A list of tokens is the encoding of its bytes exactly when all its adjacent
 pairs are stable, so then no token outside the window can change. Decoding concatenates up the tree.
@@ -14,17 +14,23 @@ import heapq
 import os
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
 NONE = 1 << 60
-#: Byte strings up to this long are leaves of the tree and merged directly.
-LEAF = 48
+#: Windows of more bytes than this are merged with a heap.
+WIDE = 192
 #: Pre-tokens that a worker remembers in each of its cache's two generations.
 CACHE = 200_000
+#: Inner nodes of the tree up to this many bytes are remembered, since words share their halves.
+SHARED = 8
+#: Pre-tokens that are encoded at a time: memory for a text beside its own ids stays within a block.
+BLOCK = 4096
+#: Texts of more code points than this are cut into pre-tokens one by one instead of all at once.
+LONG = 1 << 18
 
 
 def plain_pattern(pattern: str) -> re.Pattern:
@@ -52,9 +58,22 @@ class Splitter:
 
         self.exact, self.fast = regex.compile(pattern).findall, plain_pattern(pattern).findall
 
+        self.exact_each, self.fast_each = regex.compile(pattern).finditer, plain_pattern(pattern).finditer
+
     def __call__(self, text: str) -> list[str]:
         return self.fast(text) if plain(text) else self.exact(text)
 
+    def blocks(self, text: str) -> Iterator[list[str]]:
+        """The same, BLOCK at a time; of a long text no more than a block exists at once."""
+        if len(text) <= LONG:
+            pieces = self(text)
+            for start in range(0, len(pieces), BLOCK):
+                yield pieces[start : start + BLOCK]
+        else:
+            each = (self.fast_each if plain(text) else self.exact_each)(text)
+            while block := [m.group() for m in islice(each, BLOCK)]:
+                yield block
+
 
 class Codec:
     """Encodes and decodes by a file of ranks (base64 token, rank a line)."""
@@ -66,11 +85,12 @@ class Codec:
         for token, rank in self.ranks.items():
             self.token[rank] = token
         self.stable_pairs: dict[tuple[int, int], bool] = {}
+        self.nodes: dict[bytes, list[int]] = {}
 
-    def leaf(self, piece: bytes) -> list[int]:
-        """Merges the pair of lowest rank, the leftmost of equals, until none has a rank."""
-        if len(piece) > 4 * LEAF:
-            return self.long_leaf(piece)
+    def window(self, piece: bytes) -> list[int]:
+        """Encodes a boundary window anew: merges the pair of lowest rank, the leftmost of equals, until none has a rank."""
+        if len(piece) > WIDE:
+            return self.wide_window(piece)
         get = self.ranks.get
         parts = [piece[i : i + 1] for i in range(len(piece))]
         pairs = [get(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]
@@ -84,7 +104,7 @@ class Codec:
                 pairs[i - 1] = get(parts[i - 1] + parts[i], NONE)
         return [self.ranks[x] for x in parts]
 
-    def long_leaf(self, piece: bytes) -> list[int]:
+    def wide_window(self, piece: bytes) -> list[int]:
         """The same by a heap, for windows that had to grow."""
         n, get = len(piece), self.ranks.get
         end, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
@@ -108,16 +128,18 @@ class Codec:
         if known is None:
             if len(self.stable_pairs) > CACHE:
                 self.stable_pairs.clear()
-            known = self.stable_pairs[a, b] = self.leaf(self.token[a] + self.token[b]) == [a, b]
+            known = self.stable_pairs[a, b] = self.window(self.token[a] + self.token[b]) == [a, b]
         return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two adjacent byte strings from the encodings of each."""
         if not left or not right:
             return left + right
+        if self.stable(left[-1], right[0]):
+            return left + right
         a, b, grow_a, grow_b = len(left) - 1, 1, 1, 1
         while True:
-            middle = self.leaf(self.decode(left[a:] + right[:b]))
+            middle = self.window(self.decode(left[a:] + right[:b]))
             left_holds = a == 0 or self.stable(left[a - 1], middle[0])
             right_holds = b == len(right) or self.stable(middle[-1], right[b])
             if left_holds and right_holds:
@@ -128,10 +150,18 @@ class Codec:
                 b, grow_b = min(len(right), b + grow_b), 2 * grow_b
 
     def tree(self, piece: bytes) -> list[int]:
-        if len(piece) <= LEAF:
-            return self.leaf(piece)
-        half = len(piece) // 2
-        return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
+        """The join of the encodings of the halves; a single byte is a leaf."""
+        if len(piece) < 2:
+            return [self.ranks[piece]] if piece else []
+        known = self.nodes.get(piece)
+        if known is None:
+            half = len(piece) // 2
+            known = self.join(self.tree(piece[:half]), self.tree(piece[half:]))
+            if len(piece) <= SHARED:
+                if len(self.nodes) >= CACHE:
+                    self.nodes.clear()
+                self.nodes[piece] = known
+        return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """One pre-token: itself if it is a token, else by the tree."""
@@ -160,14 +190,15 @@ class TextCodec:
         self.young[piece] = known
         return known
 
-    def encode(self, text: str) -> list[int]:
-        get, miss = self.young.get, self.piece
-        out: list[tuple[int, ...]] = []
-        pieces = self.split(text)
-        for start in range(0, len(pieces), 4096):
+    def blocks(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, those of some thousand pre-tokens at a time."""
+        miss = self.piece
+        for pieces in self.split.blocks(text):
             get = self.young.get
-            out += [get(x) or miss(x) for x in pieces[start : start + 4096]]
-        return list(chain.from_iterable(out))
+            yield list(chain.from_iterable([get(x) or miss(x) for x in pieces]))
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self.blocks(text)))
 
     def decode(self, ids: list[int]) -> bytes:
         return self.codec.decode(ids)
@@ -188,7 +219,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
     A null text counts as empty: no tokens, digests of no bytes. Repeated rows give repeated rows, an empty
     table no rows; a null id stays null; other columns aren't read. ranks_path must name a file that every
-    executor has. A row needs memory in proportion to its own text.
+    executor has. Pre-tokens are encoded in blocks, so with digests a row needs little more than its own text.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     id_name = id_col
@@ -197,21 +228,23 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
         import pyarrow as pa
 
         codec = codec_of(ranks_path, pattern)
-        sha = lambda x: hashlib.sha256(x).hexdigest()
+        digit = codec.digits.__getitem__
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 counts, first, second = [], [], []
                 for value in part.column(1):
-                    ids = codec.encode(value.as_py() or "")
-                    decoded = codec.decode(ids)
-                    counts.append(len(ids))
-                    if digests:
-                        first.append(sha(",".join(map(codec.digits.__getitem__, ids)).encode()))
-                        second.append(sha(decoded))
-                    else:
-                        first.append(ids)
-                        second.append(decoded)
+                    n, ids, ids_sha, text_sha = 0, [], hashlib.sha256(), hashlib.sha256()
+                    for block in codec.blocks(value.as_py() or ""):
+                        if digests:
+                            ids_sha.update((("," if n else "") + ",".join(map(digit, block))).encode())
+                            text_sha.update(codec.decode(block))
+                        else:
+                            ids += block
+                        n += len(block)
+                    counts.append(n)
+                    first.append(ids_sha.hexdigest() if digests else ids)
+                    second.append(text_sha.hexdigest() if digests else codec.decode(ids))
                 types = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(first, types[0]), pa.array(second, types[1])], names)
 
