@@ -275,11 +275,25 @@ def test_lm_classes_sum_to_one():
 
 
 def test_op7_accuracy(spark):
-    sf = "/root/testdata/sf0.01"
+    """Few labels (about 350 toxic texts, a third of them in languages with few): the floors are what the method reaches, see README."""
+    sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
     rows = [r for r in queries.op7_toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
     assert all(r.held_out == held(r.doc_id, 5, 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
-    assert np.mean([r.predicted == labels[r.doc_id] for r in rows]) >= 0.85
+    toxic, ordinary = ([r.predicted for r in rows if labels[r.doc_id] == y] for y in (1, 0))
+    assert np.mean(toxic) >= 0.6 and np.mean(ordinary) <= 0.04
+
+
+def test_toxicity_on_odd_labels(spark, odd):
+    """Null labels and ids don't count, an id with both labels is toxic, one kind alone gives a constant score."""
+    labels = spark.createDataFrame([(4, 1), (4, 0), (5, 0), (5, None), (None, 1), (6, 0), (6, 0), (7, 7), (99, 1)], "doc_id long, toxic int")
+    rows = [(r.text, r.toxic) for r in toxicity.sample(odd, labels, 10, 10).collect()]
+    assert sorted(rows) == [("the of and " * 20, 0), ("the of and " * 20, 1)]  # the text of 6 is too long
+    assert toxicity.sample(odd, labels, 1, 0).count() <= 1
+    for few in (labels, labels.filter("toxic = 0"), labels.filter("toxic = 1 and doc_id = 4"), labels.limit(0)):
+        scorer = toxicity.fit(odd, few)
+        found = toxicity.score(odd, scorer).collect()
+        assert Counter(r.doc_id for r in found) == Counter(r.doc_id for r in odd.collect()) and all(0 <= r.score <= 1 for r in found)
 
 
 def test_op8_accuracy(spark):
