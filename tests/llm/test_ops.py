@@ -303,11 +303,49 @@ def test_op8_accuracy(spark):
     assert np.mean([r.lang_pred == langs[r.doc_id] for r in rows if r.held_out]) >= 0.97
 
 
-def test_ppm_probabilities_sum_to_one():
-    models = langid.Models({"a": [b"the cat sat", b"on the mat"], "b": ["über die brücke".encode()]})
-    models.lengths([b""])
-    sums = np.exp2(-models.bits.reshape(-1, langid.SYMBOLS, 2)).sum(1)
-    assert np.allclose(sums, 1, atol=1e-4)
+def brute_code_length(samples, text, order):
+    """Bits of a text by escapes from the longest context down, from counts in plain dictionaries."""
+    counts = {}
+    for sample in samples:
+        padded = langid.PAD + sample
+        for i in range(langid.ORDER, len(padded)):
+            for k in range(order + 1):
+                counts.setdefault(padded[i - k : i], Counter())[padded[i]] += 1
+
+    def share(context, byte):
+        below = share(context[1:], byte) if context else 1 / 256
+        seen = counts.get(context)
+        return (seen[byte] + len(seen) * below) / (sum(seen.values()) + len(seen)) if seen else below
+
+    padded = langid.PAD + text
+    return -sum(math.log2(share(padded[i - order : i], padded[i])) for i in range(langid.ORDER, len(padded)))
+
+
+def test_ppm_code_lengths(monkeypatch):
+    """Equal to brute force, over slices and in several sets of trees; probabilities after any context sum to one."""
+    samples = {"a": [b"the cat sat", b"on the mat"], "b": ["über die brücke".encode()], "c": ["чаща щуки".encode(), b"x"]}
+    texts = [b"the THE brat", "die Brücke чащ \xff".encode(), b"", b"\x00\xffq" * 40]
+    wanted = [[brute_code_length(samples[k], x.lower(), langid.ORDER) for k in sorted(samples)] for x in texts]
+    for together, part in ((8, 1 << 19), (2, 7)):
+        monkeypatch.setattr(langid, "TOGETHER", together)
+        monkeypatch.setattr(langid, "SLICE", part)
+        assert np.allclose(langid.Models(samples).judge(texts)[0], wanted, rtol=1e-5)
+    trees = langid.Trees(samples)
+    for context in (b"\n\n\n\n", b"e ca", b"zzzz", b"zthe"):
+        sums = sum(np.exp2(-trees.cost(np.frombuffer(context + bytes([x]), np.uint8).astype(np.uint64)))[0] for x in range(256))
+        assert np.allclose(sums, 1, atol=1e-4)
+
+
+def test_many_languages_and_mixed_texts(spark):
+    rng = random.Random(7)
+    words = {f"l{k:02d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 8))) for _ in range(40)] for k in range(70)}
+    made = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    rows = [(i, made(lang, 60), lang) for i, lang in enumerate(words) for _ in range(3)]
+    models = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    tests = spark.createDataFrame([(i, made(lang, 30), lang) for i, lang in enumerate(words)] + [(100, made("l00", 300) + " " + made("l01", 300) + " " + made("l02", 310), "mixed"), (101, "%x9 7#Q " * 50, "junk"), (102, "12 34", "und"), (103, None, None)], "doc_id long, text string, lang string")
+    found = langid.predict(tests, models).join(tests, "doc_id").collect()
+    assert all(r.lang_pred == r.lang for r in found if r.doc_id < 100) and next(r for r in found if r.doc_id == 102).lang_pred == "und"
+    assert {r.doc_id for r in langid.keep_identified(tests, models).collect()} == set(range(70))
 
 
 def test_op10_finds_exact_and_edited_passages(spark, texts):

@@ -1,4 +1,10 @@
-"""Language identification by prediction by partial matching: the language whose byte model codes a text shortest."""
+"""Language identification by prediction by partial matching: the language whose byte model codes a text shortest.
+
+Each language has a tree of byte contexts of up to ORDER bytes. A context seen n times with d distinct next bytes
+gives a seen byte c / (n + d) and leaves d / (n + d), the escape, to the context that is one byte shorter, which
+shares it out among all bytes; the empty context falls back on a uniform choice. So probabilities sum to one after
+every context, and a text has an exact code length under statistics that are frozen after training.
+"""
 
 from __future__ import annotations
 
@@ -11,96 +17,111 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, crc_of_id, table
 
-#: Longest context in bytes, and symbols of the models.
-ORDER, SYMBOLS = 3, 36
+#: Longest context in bytes.
+ORDER = 4
 #: Bounds of the training sample of each language: documents, and their code points together.
-TRAIN_DOCS, TRAIN_CHARS = 3_000, 4_000_000
-#: Languages that are learned at most, the most frequent ones (each has a table of SYMBOLS ** (ORDER + 1) code lengths).
-LANGUAGES = 60
+TRAIN_DOCS, TRAIN_CHARS = 3_000, 500_000
+#: Languages whose trees share one set of tables; more languages have more sets.
+TOGETHER = 8
+#: Bytes that are looked up at a time, and bytes of a window of a text.
+SLICE, WINDOW = 1 << 19, 256
+PAD = b"\n" * ORDER
+
+
+def codes_of(stream: np.ndarray, length: int) -> np.ndarray:
+    """Every run of so many bytes of the stream as a number, by the place of its last byte, from place ORDER on."""
+    n, code = len(stream) - ORDER, np.zeros(max(0, len(stream) - ORDER), np.uint64)
+    for back in range(length - 1, -1, -1):
+        code = (code << np.uint64(8)) | stream[ORDER - back : ORDER - back + n]
+    return code
 
 
-def symbol_table(data: bytes) -> np.ndarray:
-    """Byte -> symbol: 0 for all that is no letter, then the most frequent letters (A-Z as a-z), last one for the rest."""
-    folded = np.arange(256)
-    folded[65:91] += 32
-    counts = np.bincount(folded[np.frombuffer(data, np.uint8)], minlength=256)
-    letter = np.zeros(256, bool)
-    letter[97:123] = letter[128:] = True
-    ranked = [b for b in np.lexsort((np.arange(256), -counts)) if letter[b]][: SYMBOLS - 2]
-    out = np.zeros(256, np.int64)
-    out[letter] = SYMBOLS - 1
-    out[ranked] = np.arange(1, len(ranked) + 1)
-    return out[folded]
+def places(table_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted number in a sorted table, and whether it is there."""
+    at = np.minimum(np.searchsorted(table_, wanted), max(0, len(table_) - 1))
+    return at, (table_[at] == wanted) if len(table_) else np.zeros(len(wanted), bool)
 
 
-def windows(data: bytes, symbols: np.ndarray) -> np.ndarray:
-    """For each byte, its symbol and the ORDER symbols before it as one number (oldest first); runs of non-letters count once.
+class Trees:
+    """Context trees of some languages: for each order, the seen runs (context and byte) and the seen contexts.
 
-    The text begins and ends with a non-letter.
+    bits: code length of each seen run in each language; escapes: bits that a byte not seen after a context costs
+    in each language before the shorter context codes it (none where a language hasn't the context).
     """
-    x = symbols[np.frombuffer(data, np.uint8)]
-    x = np.concatenate([[0], x, [0]])
-    x = x[np.concatenate([[True], (x[1:] != 0) | (x[:-1] != 0)])]
-    x = np.concatenate([np.zeros(ORDER - 1, np.int64), x])
-    code = np.zeros(len(x) - ORDER, np.int64)
-    for k in range(ORDER + 1):
-        code = code * SYMBOLS + x[k : len(x) - ORDER + k]
-    return code
-
 
-def code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Bits of every symbol after every context of ORDER symbols, from the counts of ORDER + 1 symbols.
-
-    Escape method C: a context seen n times with d distinct symbols gives a seen one c / (n + d), and leaves
-    d / (n + d) to the context that is one shorter, which shares it out among all its symbols; the shortest
-    falls back on a uniform choice. Blending without exclusion keeps each context's probabilities at sum 1.
-    """
-    shape = counts.reshape((SYMBOLS,) * (ORDER + 1))
-    below = np.full(SYMBOLS, 1.0 / SYMBOLS)
-    for length in range(ORDER + 1):
-        level = shape.sum(axis=tuple(range(ORDER - length)))
-        seen, distinct = level.sum(-1, keepdims=True), (level > 0).sum(-1, keepdims=True)
-        total = seen + distinct
-        below = np.where(total > 0, (level + distinct * below) / np.maximum(total, 1), below)
-    return (-np.log2(below)).astype(np.float32).reshape(-1)
+    def __init__(self, samples: dict[str, list[bytes]]):
+        self.languages = sorted(samples)
+        own = [np.frombuffer(b"".join(PAD + x for x in samples[k]), np.uint8).astype(np.uint64) for k in self.languages]
+        fresh = [np.concatenate([np.arange(len(PAD) + len(x)) >= ORDER for x in samples[k]])[ORDER:] for k in self.languages]
+        self.runs, self.bits, self.contexts, self.escapes = [], [], [], []
+        for order in range(ORDER + 1):
+            counted = [np.unique(codes_of(x, order + 1)[f], return_counts=True) for x, f in zip(own, fresh, strict=True)]
+            runs = np.unique(np.concatenate([r for r, _ in counted]))
+            counts = np.zeros((len(runs), len(own)))
+            for k, (r, c) in enumerate(counted):
+                counts[np.searchsorted(runs, r), k] = c
+            contexts, first, inverse = np.unique(runs >> np.uint64(8), return_index=True, return_inverse=True)
+            seen = np.add.reduceat(counts, first)
+            distinct = np.add.reduceat((counts > 0).astype(float), first)
+            below = 1.0 / 256
+            if order:
+                at, _ = places(self.runs[-1], runs & np.uint64((1 << 8 * order) - 1))
+                below = np.exp2(-self.bits[-1][at].astype(float))
+            total = (seen + distinct)[inverse]
+            shared = np.where(total > 0, (counts + distinct[inverse] * below) / np.maximum(total, 1), below)
+            self.runs.append(runs)
+            self.bits.append((-np.log2(shared)).astype(np.float32))
+            self.contexts.append(contexts)
+            self.escapes.append(np.where(seen > 0, np.log2(np.maximum(seen + distinct, 1) / np.maximum(distinct, 1)), 0).astype(np.float32))
+
+    def cost(self, stream: np.ndarray) -> np.ndarray:
+        """Bits of every byte of the stream (rows), from place ORDER on, under every language (columns)."""
+        code = codes_of(stream, ORDER + 1)
+        out, left = np.zeros((len(code), len(self.languages)), np.float32), np.arange(len(code))
+        for order in range(ORDER, -1, -1):
+            at, found = places(self.runs[order], code)
+            out[left[found]] += self.bits[order][at[found]]
+            left, code = left[~found], code[~found]
+            if not len(left):
+                return out
+            at, known = places(self.contexts[order], code >> np.uint64(8))
+            out[left[known]] += self.escapes[order][at[known]]
+            code = code & np.uint64((1 << 8 * order) - 1)
+        out[left] += 8
+        return out
 
 
 class Models:
-    """Frozen statistics: one table of bits for each (context, symbol), with a column for each language."""
+    """Frozen statistics of all languages, in sets of trees, and the frequencies of single bytes over all of them."""
 
     def __init__(self, samples: dict[str, list[bytes]]):
         self.languages = sorted(samples)
-        self.symbols = symbol_table(b"".join(x for v in samples.values() for x in v))
-        self.counts = []
-        for lang in self.languages:
-            codes = np.concatenate([windows(x, self.symbols) for x in samples[lang]])
-            self.counts.append(np.bincount(codes, minlength=SYMBOLS ** (ORDER + 1)).astype(np.int32))
-        self.bits: np.ndarray | None = None
-
-    def lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Code length in bits of every text (rows) under every language (columns)."""
-        if self.bits is None:
-            self.bits = np.stack([code_lengths(x) for x in self.counts], axis=1)
-        out = np.zeros((len(texts), len(self.languages)))
-        for i, text in enumerate(texts):
-            for start in range(0, len(text), 1 << 20):
-                out[i] += self.bits[windows(text[start : start + (1 << 20)], self.symbols)].sum(0, dtype=np.float64)
-        return out
-
-    def pack(self) -> dict:
-        """A compact form to broadcast: only the counts that aren't zero."""
-        sparse = [(np.nonzero(x)[0].astype(np.int32), x[x > 0]) for x in self.counts]
-        return {"languages": self.languages, "symbols": self.symbols, "sparse": sparse}
-
-    @classmethod
-    def unpack(cls, packed: dict) -> Models:
-        new = cls.__new__(cls)
-        new.languages, new.symbols, new.bits, new.counts = packed["languages"], packed["symbols"], None, []
-        for at, n in packed["sparse"]:
-            total = np.zeros(SYMBOLS ** (ORDER + 1), np.int32)
-            total[at] = n
-            new.counts.append(total)
-        return new
+        folded = {k: [x.lower() for x in v] for k, v in samples.items()}
+        self.sets = [Trees({k: folded[k] for k in self.languages[i : i + TOGETHER]}) for i in range(0, len(self.languages), TOGETHER)]
+        counts = np.bincount(np.frombuffer(b"".join(x for v in folded.values() for x in v), np.uint8), minlength=256) + 1.0
+        self.single = -np.log2(counts / counts.sum())
+
+    def judge(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every text (A-Z as a-z): its code length in bits under every language (columns), that of its bytes one
+        by one, and the share of its windows that the language of the shortest length also codes shortest."""
+        texts = [x.lower() for x in texts]
+        stream = np.frombuffer(b"".join(PAD + x for x in texts), np.uint8)
+        sizes = np.array([len(x) for x in texts], np.int64)
+        many = np.maximum(1, -(-sizes // WINDOW))
+        first = np.cumsum(many) - many
+        window = np.concatenate([f + np.maximum(np.arange(-ORDER, n), 0) // WINDOW for f, n in zip(first.tolist(), sizes.tolist(), strict=True)])[ORDER:]
+        real = np.concatenate([np.arange(ORDER + n) >= ORDER for n in sizes.tolist()])[ORDER:]
+        bits, single = np.zeros((int(many.sum()), len(self.languages))), np.zeros(int(many.sum()))
+        for start in range(0, max(0, len(stream) - ORDER), SLICE):
+            part, own = stream[start : start + SLICE + ORDER], real[start : start + SLICE]
+            which = window[start : start + SLICE][own]
+            cost = np.concatenate([x.cost(part.astype(np.uint64)) for x in self.sets], axis=1)[own]
+            for k in range(len(self.languages)):
+                bits[:, k] += np.bincount(which, cost[:, k], len(bits))
+            single += np.bincount(which, self.single[part[ORDER:]][own], len(bits))
+        total = np.add.reduceat(bits, first)
+        agree = bits.argmin(1) == np.repeat(total.argmin(1), many)
+        return total, np.add.reduceat(single, first), np.add.reduceat(agree.astype(float), first) / many
 
 
 def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", docs: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Models:
@@ -109,7 +130,7 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", i
     language don't count.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h")).filter("lang is not null and text <> ''")
-    n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # A bound on the hash that lets some more than wanted through, so that what is sorted stays small.
     share = F.least(F.lit(1.0), (2 * docs + 200) / F.col("n"))
     near = rows.join(F.broadcast(n.withColumnRenamed("lang", "of")), F.col("lang") == F.col("of")).filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= share)
@@ -124,67 +145,78 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", i
 MODELS: dict[str, Models] = {}
 
 
-def judged(column, models: Models) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, share of the likelihoods and bits per byte of each text of an Arrow column."""
+def judged(column, models: Models) -> dict[str, list]:
+    """lang_pred, score, bits_per_byte, single_bits_per_byte and window_share of each text of an Arrow column."""
     texts = byte_texts(column)
-    lang, score, rate = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    out = {"lang_pred": ["und"] * len(texts), **{x: [0.0] * len(texts) for x in ("score", "bits_per_byte", "single_bits_per_byte", "window_share")}}
     if models.languages and texts:
-        bits = models.lengths(texts)
+        bits, single, agree = models.judge(texts)
         best, least = bits.argmin(1), bits.min(1)
         share = 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(1)
         for i, value in enumerate(column):
             if any(map(str.isalpha, value.as_py() or "")):
-                lang[i], score[i], rate[i] = models.languages[best[i]], share[i], least[i] / len(texts[i])
-    return lang, score, rate
+                found = (models.languages[best[i]], float(share[i]), least[i] / len(texts[i]), single[i] / len(texts[i]), float(agree[i]))
+                for name, x in zip(out, found, strict=True):
+                    out[name][i] = x
+    return out
 
 
 def shared_models(spark: SparkSession, models: Models):
-    """A function that gives a worker the models, unpacked once."""
-    packed, call = spark.sparkContext.broadcast(models.pack()), uuid.uuid4().hex
+    """A function that gives a worker the models, read once."""
+    shared, call = spark.sparkContext.broadcast(models), uuid.uuid4().hex
 
     def get() -> Models:
         if call not in MODELS:
             MODELS.clear()
-            MODELS[call] = Models.unpack(packed.value)
+            MODELS[call] = shared.value
         return MODELS[call]
 
     return get
 
 
 def predict(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, lang_pred, score (0 to 1, the share of the best among the languages' likelihoods) and bits_per_byte.
+    """Per row: id, lang_pred, score (0 to 1, the share of the best among the languages' likelihoods), bits_per_byte
+    under that language, single_bits_per_byte under the frequencies of single bytes, and window_share, the share of
+    the text's windows that the same language codes shortest.
 
-    lang_pred is `und`, with score 0, if the text is null or has no letter, or if no language was learned. All
+    lang_pred is `und`, and the figures 0, if the text is null or has no letter, or if no language was learned. All
     of a text counts. Equal likelihoods go to the language first by name. Repeated rows are all returned; an
     empty table gives no rows; other columns aren't read.
     """
     get, kind = shared_models(docs.sparkSession, models), docs.schema[id_col].dataType.simpleString()
+    figures = ("score", "bits_per_byte", "single_bits_per_byte", "window_share")
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                lang, score, rate = judged(part.column(1), get())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], [id_col, "lang_pred", "score", "bits_per_byte"])
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                found = judged(part.column(1), get())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found["lang_pred"], pa.string()), *(pa.array(found[x], pa.float64()) for x in figures)], [id_col, "lang_pred", *figures])
+
+    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, lang_pred string, " + ", ".join(f"{x} double" for x in figures))
 
-    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, lang_pred string, score double, bits_per_byte double")
 
+def keep_identified(docs: DataFrame, models: Models, least_score: float = 0.5, least_windows: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows in one language; all columns as they are, no shuffle.
 
-def keep_identified(docs: DataFrame, models: Models, least: float, text_col: str = "text") -> DataFrame:
-    """The rows whose language isn't `und` and has that share of the likelihood at least; all columns as they are, no shuffle."""
+    Rejected are texts that are `und`, of which no language has least_score of the likelihood, that their language
+    codes no shorter than the frequencies of single bytes or plain bytes do (random strings), or of which under least_windows
+    of the windows are in the language of the whole (mixed texts). Null and empty texts are `und`; repeated rows are
+    judged alike; an empty table gives no rows.
+    """
     get, names = shared_models(docs.sparkSession, models), docs.columns
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                lang, score, _ = judged(part.column(names.index(text_col)), get())
-                keep = pa.array([x != "und" and y >= least for x, y in zip(lang, score, strict=True)], pa.bool_())
-                yield part.filter(keep)
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                found = judged(part.column(names.index(text_col)), get())
+                keep = [lang != "und" and score >= least_score and bits < min(8, single) and windows >= least_windows for lang, score, bits, single, windows in zip(*found.values(), strict=True)]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 
