@@ -265,6 +265,26 @@ def test_op1(spark, texts):
     assert sum(r.score for r in own) > sum(r.base_score for r in own)
 
 
+def test_op1_layout_and_gain(spark):
+    """Scores are the same for any layout, and gain 0.12 a token over the base on held-out documents."""
+    held_out = lm.crc_of_id(F.col("doc_id")) % 7 == 2
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    found = []
+    for parts in (1, 8, 32):
+        rows = lm.score_texts(docs.repartition(parts, F.rand(parts)), ~held_out).collect()
+        found.append({r.doc_id: r.score for r in rows})
+        own = [r for r in rows if not r.trained_on]
+        assert sum(r.score - r.base_score for r in own) >= 0.12 * sum(r.n_tokens for r in own)
+    assert all(found[0] == pytest.approx(x, rel=1e-4, abs=1e-3) for x in found[1:])
+
+
+def test_lm_long_tokens():
+    long = b"Q" * 65
+    assert lm.tokens_of(b"A " + b"b" * 64) == [b"a", b"b" * 64, b""]
+    words = lm.tokens_of(long + b" x " + long + b" " + long[:-1] + b"R")
+    assert words[0] == words[2] != words[3] and words[0].startswith(b" ") and len(words[0]) == 17 and words[1] == b"x"
+
+
 def test_lm_classes_sum_to_one():
     model = lm.Model(np.array([5, 3, 2, 7, 1]))
     rng = np.random.default_rng(0)

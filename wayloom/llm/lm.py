@@ -5,6 +5,10 @@ token, or all the rest together; in the rest, a token's share is (c + 1) / (N' +
 is allowed for as in the base score, so the probabilities of all tokens sum to one. Since the score of a class
 is a sum of one term for each context place, the normalisers of all pairs of context classes come from one
 product of two matrices of exponentials.
+
+Training covers all training tokens. A hash of id and text deals documents to shards of about SHARD tokens, and
+orders them inside a shard; each round takes the shared parameters through every shard, and averages what comes out
+(parameters and squared gradients) by tokens. So the model grows with the corpus and doesn't depend on its files.
 """
 
 from __future__ import annotations
@@ -21,10 +25,14 @@ from pyspark.sql import functions as F
 from .common import byte_texts, crc_of_id, most_frequent, table, written
 
 #: Classes (the first is the rest, the second the end), dimensions, noise tokens of a step, tokens of a step, rounds over the corpus.
-CLASSES, DIM, NOISE, STEP, ROUNDS = 1024, 16, 64, 512, 1
+CLASSES, DIM, NOISE, STEP, ROUNDS = 1024, 16, 64, 512, 2
 RATE, SPREAD = 0.1, 0.1
+#: Tokens of a shard, shards at most (beyond, shards get larger), documents of a shard that are shuffled together.
+SHARD, MOST_SHARDS, BLOCK = 1_000_000, 65_536, 512
 #: Tokens whose counts every executor gets (at most about 8 MB); the counts of others come by a join.
-HEAD, LONGEST = 200_000, 64
+HEAD = 200_000
+#: Bytes of a token; a longer one stands as a blank (which no word holds) and a 128-bit digest.
+LONGEST = 64
 #: Distinct tokens that a task counts before it passes them on.
 COUNTED = 500_000
 END = b""
@@ -32,7 +40,12 @@ END = b""
 
 def tokens_of(text: bytes) -> list[bytes]:
     """Words with A-Z lower-cased, then the end (an empty byte string, which no word is)."""
-    return [*text.lower().split(), END]
+    words = text.lower().split()
+    if len(text) > LONGEST and max(map(len, words), default=0) > LONGEST:
+        import xxhash
+
+        words = [w if len(w) <= LONGEST else b" " + xxhash.xxh3_128_digest(w) for w in words]
+    return [*words, END]
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
@@ -145,37 +158,72 @@ def with_context(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.
     return flat[own - 2], flat[own - 1], flat[own]
 
 
-def train_model(texts: DataFrame, head: list[bytes], class_counts: np.ndarray) -> Model:
-    """Rounds over all texts: each task takes its steps from the shared parameters; the results are averaged by tokens.
+def encoded(docs: DataFrame, head: list[bytes], shards: int) -> DataFrame:
+    """(shard, h, classes) of the rows (h, shard_hash, text): the classes of the tokens as two bytes each."""
+    shared = docs.sparkSession.sparkContext.broadcast(head)
 
-    What reaches the driver is one row of sums for each row of parameters.
-    """
-    model, k = Model(class_counts), len(class_counts)
-    n_rows, spark = len(model.rows), texts.sparkSession
-    names = [f"v{d}" for d in range(DIM)]
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        index = {w: i + 1 for i, w in enumerate(shared.value)}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                classes = [np.maximum(x, 0).astype(np.uint16).tobytes() for _, x in class_stream(byte_texts(part.column(2)), index)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(classes, pa.binary())], ["shard", "h", "classes"])
+
+    return docs.select(F.pmod("shard_hash", F.lit(shards)).cast("int").alias("shard"), "h", "text").mapInArrow(work, "shard int, h long, classes binary")
+
+
+def blocks_by_shard(batches: Iterator) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(shard, classes of BLOCK documents) from rows in the order of their shards; the cut of batches doesn't matter."""
+    shard, held = None, []
+    for batch in batches:
+        for own, classes in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if held and (own != shard or len(held) == BLOCK):
+                yield shard, held
+                held = []
+            shard = own
+            held.append(np.frombuffer(classes, np.uint16).astype(np.int64))
+    if held:
+        yield shard, held
+
+
+def train_model(rows: DataFrame, class_counts: np.ndarray, shards: int) -> Model:
+    """Rounds over all shards (see the module). What reaches the driver is one row of sums for each row of parameters."""
+    model = Model(class_counts)
+    n_rows, past = len(model.rows), np.zeros_like(model.rows)
+    names = [f"{x}{d}" for x in "vp" for d in range(DIM)]
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((head[: k - 1], class_counts, model.rows))
+        shared = rows.sparkSession.sparkContext.broadcast((class_counts, model.rows, past))
 
         def work(batches: Iterator, shared=shared, turn=turn) -> Iterator:
             import pyarrow as pa
 
-            tokens, counts, rows = shared.value
-            own, total, past = Model(counts, rows.copy()), 0, np.zeros((n_rows, DIM), np.float32)
-            index, rng = {w: i + 1 for i, w in enumerate(tokens)}, np.random.default_rng(turn)
-            for batch in batches:
-                for start in range(0, batch.num_rows, 512):
-                    classes = [np.maximum(x, 0) for _, x in class_stream(byte_texts(batch.slice(start, 512).column(0)), index)]
-                    before, last, token = with_context(classes)
-                    order = rng.permutation(len(token))
-                    own.train(before[order], last[order], token[order], past, rng)
-                    total += len(token)
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_rows)), pa.array(np.full(n_rows, float(total))), *(pa.array(own.rows[:, d].astype(np.float64) * total) for d in range(DIM))], ["i", "n", *names])
-
-        sums = texts.mapInArrow(work, "i long, n double, " + ", ".join(f"{x} double" for x in names)).groupBy("i").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in names)).toArrow().to_pydict()
-        if sums["i"]:
-            new = np.array([sums[x] for x in names]).T / np.array(sums["n"])[:, None]
-            model = Model(class_counts, new[np.argsort(sums["i"])])
+            counts, parameters, squares = shared.value
+
+            def sums() -> pa.RecordBatch:
+                columns = np.concatenate([own.rows, own_past], axis=1).astype(np.float64) * total
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(n_rows)), pa.array(np.full(n_rows, float(total))), *(pa.array(columns[:, d]) for d in range(2 * DIM))], ["i", "n", *names])
+
+            current, own, own_past, total, rng = None, None, None, 0, None
+            for shard, classes in blocks_by_shard(batches):
+                if shard != current:
+                    if own is not None:
+                        yield sums()
+                    current, own, own_past, total, rng = shard, Model(counts, parameters.copy()), squares.copy(), 0, np.random.default_rng([turn, shard])
+                before, last, token = with_context(classes)
+                order = rng.permutation(len(token))
+                own.train(before[order], last[order], token[order], own_past, rng)
+                total += len(token)
+            if own is not None:
+                yield sums()
+
+        dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "h", "classes")
+        found = dealt.mapInArrow(work, "i long, n double, " + ", ".join(f"{x} double" for x in names)).groupBy("i").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in names)).toArrow().to_pydict()
+        if found["i"]:
+            mean = (np.array([found[x] for x in names]).T / np.array(found["n"])[:, None])[np.argsort(found["i"])]
+            model, past = Model(class_counts, mean[:, :DIM].round(6)), mean[:, DIM:].astype(np.float32)
     return model
 
 
@@ -185,7 +233,8 @@ SCORERS: dict[str, tuple] = {}
 def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, trained_on, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
-    training (a condition on docs) says which rows counts and model come from; all of their tokens count. A null
+    training (a condition on docs) says which rows counts and model come from; all of their tokens count, and the
+    result doesn't depend on how the rows are split. A null
     or empty text is just the end token. With no training row, every token is unseen. Repeated rows are all
     returned; an empty table gives no rows; other columns aren't read.
     """
@@ -193,15 +242,17 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     texts = docs.filter(training).select(F.col(text_col).alias("text"))
     counts = written(count_tokens(texts))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    short = counts.filter((F.length("token") <= LONGEST) & (F.length("token") > 0))
-    found = most_frequent(short, "c", HEAD).toArrow().to_pydict()
+    found = most_frequent(counts.filter(F.length("token") > 0), "c", HEAD).toArrow().to_pydict()
     top = sorted(zip(found["token"], found["c"], strict=True), key=lambda x: (-x[1], x[0]))
     ends = counts.filter(F.length("token") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     head, head_counts = [END, *(w for w, _ in top)], np.array([ends, *(k for _, k in top)], np.int64)
     named = head_counts[: CLASSES - 1]
     class_counts = np.concatenate([[n - named.sum()], named])
     rest_mass = np.log10(float((n - named.sum()) + (v - (named > 0).sum()) + 1))
-    model = train_model(texts, head, class_counts)
+    shards = min(MOST_SHARDS, max(1, -(-int(n) // SHARD)))
+    own = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.filter(training).select(F.xxhash64(id_col, own).alias("shard_hash"), F.xxhash64(own, id_col).alias("h"), F.col(text_col).alias("text"))
+    model = train_model(written(encoded(keyed, head[: CLASSES - 1], shards)), class_counts, shards)
     shared, call = spark.sparkContext.broadcast((head, head_counts, model)), uuid.uuid4().hex
 
     def work(batches: Iterator) -> Iterator:
