@@ -117,6 +117,48 @@ def test_op3_measures(spark, texts):
         assert r.base_failed == failed and not (failed and r.kept)
 
 
+def brute_kept(rows):
+    """ids kept, by exact quantiles, of (id, lang, source, rates by measure) that pass the base rules."""
+    quantile = lambda values, p: sorted(values)[max(0, math.ceil(p * len(values)) - 1)]
+    kept = set()
+    for i, lang, source, rates in rows:
+        levels = [[r for _, x, y, r in rows if (x, y) == (lang, source)], [r for _, x, _, r in rows if x == lang], [r for *_, r in rows]]
+        levels = [x for x in levels[:2] if len(x) >= quality.LEAST_ROWS] + levels[2:]
+        good = True
+        for sign, ranks in ((1, quality.HIGH), (-1, quality.LOW)):
+            for m, (edge, middle, times) in ranks.items():
+                cuts = [(quantile([r[m] for r in x], edge), quantile([r[m] for r in x], middle)) for x in levels]
+                gap = next((abs(a - b) for a, b in cuts if a != b), 0.0)
+                good &= sign * rates[m] <= sign * (cuts[0][0] + sign * times * gap) + 1e-12
+        if good:
+            kept.add(i)
+    return kept
+
+
+def test_quality_verdict_equals_brute_force(spark):
+    """Groups of all sizes: sketches of under SKETCH_K rows are exact."""
+    rng, rows = random.Random(8), []
+    for i in range(330):
+        lang, source = ("en", "ab"[i % 2]) if i < 240 else (rng.choice(["de", None]), rng.choice(["a", "b", None]))
+        words = ["".join(rng.choices("abcdef", k=rng.randrange(3, 9 if i % 9 else 14))) for _ in range(80)]
+        if i % 7 == 0:
+            words += words[: rng.randrange(3, 40)]
+        lines = [" ".join(words[k : k + 8]) for k in range(0, len(words), 8)]
+        if i % 11 == 0:
+            lines += [lines[0]] * rng.randrange(1, 6)
+        if i % 13 == 0:
+            lines[1] += " ##$$" * rng.randrange(1, 30)
+        rows.append((i, "\n".join(lines), lang, source))
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    wanted = []
+    for i, text, lang, source in rows:
+        r, lines = found[i], [x for x in text.split("\n") if WORD.search(x)]
+        if not r.base_failed:
+            wanted.append((i, lang, source, {"symbol_rate": r.n_symbols / r.word_chars, "dup_line_rate": r.n_dup_lines / len(lines), "repeat_rate": r.n_repeat_words / r.n_words, "mean_word": r.word_chars / r.n_words}))
+    kept = brute_kept(wanted)
+    assert {i for i, r in found.items() if r.kept} == kept and 200 < len(kept) < len(wanted)
+
+
 def test_quality_keeps_a_uniform_group(spark):
     rng = random.Random(3)
     rows = [(i, " ".join("".join(rng.choices("abcdefg", k=rng.randrange(3, 8))) for _ in range(120)), "en", "s") for i in range(120)]

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from .common import SPACE, table, written
 
 SYMBOLS = "#*$%&|<>"
-#: Bits of a packed window that hold its position.
-PLACE_BITS = 24
 #: Accuracy parameter of the sketches (about 0.7 % of ranks at 200, 0.35 % at 400).
 SKETCH_K = 400
-#: Measure -> (side that is bad, least distance from the quartile that counts as far).
-MEASURES = {"symbol_rate": ("high", 0.02), "dup_line_rate": ("high", 0.50), "repeat_rate": ("high", 0.35), "mean_word": ("both", 2.0)}
-#: Interquartile ranges beyond a quartile from which a value is far out.
-FENCE = 6.0
+#: Measure -> ranks of the edge and of the middle that the gap to it is taken from, and gaps beyond the edge that are
+#: far out. No value is fixed. Symbols are rare in prose, so the edge is a quartile; repeats are common in few texts,
+#: so theirs is the 98th percentile.
+HIGH = {"symbol_rate": (0.75, 0.5, 6.0), "dup_line_rate": (0.98, 0.5, 2.0), "repeat_rate": (0.98, 0.5, 2.0), "mean_word": (0.75, 0.25, 6.0)}
+LOW = {"mean_word": (0.25, 0.75, 6.0)}
 #: Groups with fewer rows take the thresholds of their language, and then those of all rows.
 LEAST_ROWS = 50
 
@@ -28,25 +27,22 @@ def let(value: Column, body) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words in 3-word windows that are found twice or more in the text.
 
-    Windows are hashed; hash prefix and position are packed into one long, so a primitive sort brings equal
-    windows together, and the full hashes decide. Covered words are then counted from the sorted positions.
+    Windows are told apart by 64-bit hashes. Where some repeat, they are sorted with their positions, so equal
+    windows meet; covered words are then counted from the sorted positions.
     """
-    mask = (1 << PLACE_BITS) - 1
 
     def covered(hashes: Column) -> Column:
-        packed = F.array_sort(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))))
-        place = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def places(p: Column) -> Column:
-            at = lambda x: F.get(hashes, place(x))
-            same = lambda x, i: F.coalesce(at(F.get(p, i)) == at(x), F.lit(False))
-            return F.array_sort(F.transform(F.filter(p, lambda x, i: same(x, i - 1) | same(x, i + 1)), place))
+            same = lambda x, i: F.coalesce(F.get(p, i)["h"] == x["h"], F.lit(False))
+            return F.sort_array(F.transform(F.filter(p, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
 
         def total(q: Column) -> Column:
             gaps = F.transform(q, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(q, i + 1) - x, F.lit(3))))
             return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(let(packed, places), total))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(let(placed, places), total))
 
     windows = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
     return let(windows, covered)
@@ -76,32 +72,45 @@ def with_rates(rows: DataFrame) -> DataFrame:
 def fences(rows: DataFrame, n_keys: int = 2) -> DataFrame:
     """Low and high threshold of each measure for each group, from sketches that merge upwards.
 
-    Small groups fall back on coarser ones (all keys, then the first, then all rows). Rows with no word or that
-    fail the base rules already don't enter the sketches.
+    A threshold lies some gaps beyond the edge of the group's own distribution. Small groups take edge and gap of a
+    coarser one (all keys, then the first, then all rows), and so does a group's gap alone where it is zero; a gap
+    that is zero for all rows too puts the threshold at the edge. Rows with no word or that fail the base rules
+    don't enter the sketches.
     """
-    keys = [f"key{i}" for i in range(n_keys)]
-    sketches = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES))
-    sketches = written(sketches)
-    merged = lambda part: [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES)]
-
-    def cut(df: DataFrame, name: str) -> DataFrame:
-        bounds = []
-        for m, (side, least) in MEASURES.items():
-            q = lambda p, m=m: F.kll_sketch_get_quantile_double(m, F.lit(p))
-            width = F.greatest(F.lit(FENCE) * (q(0.75) - q(0.25)), F.lit(least))
-            bounds.append(F.struct((q(0.25) - width if side == "both" else F.lit(None).cast("double")).alias("low"), (q(0.75) + width).alias("high")).alias(m))
-        return df.select(*(k for k in keys if k in df.columns), F.when(F.col("n") >= LEAST_ROWS if name != "all" else F.lit(True), F.struct(*bounds)).alias(name))
-
-    fine, coarse, whole = cut(sketches, "fine"), cut(sketches.groupBy(keys[0]).agg(*merged(1)), "coarse"), cut(sketches.agg(*merged(0)).filter("n > 0"), "all")
-    out = fine.alias("f").join(coarse.withColumnRenamed(keys[0], "up"), F.col(keys[0]).eqNullSafe(F.col("up")), "left")
-    return out.select(*keys, F.coalesce("fine", "coarse", F.lit(None) if whole is None else whole.select("all").scalar()).alias("bounds"))
+    keys, measured = [f"key{i}" for i in range(n_keys)], list(HIGH)
+    sketches = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in measured)))
+    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in measured)]
+
+    def cut(df: DataFrame, name: str, least: int) -> DataFrame:
+        parts = []
+        for side, ranks in (("high", HIGH), ("low", LOW)):
+            for m, (edge, middle, _) in ranks.items():
+                q = lambda p, m=m: F.kll_sketch_get_quantile_double(m, F.lit(p))
+                parts.append(F.struct(q(edge).alias("edge"), F.abs(q(edge) - q(middle)).alias("gap")).alias(f"{side}_{m}"))
+        return df.filter(F.col("n") >= least).select(*(k for k in keys if k in df.columns), F.struct(*parts).alias(name))
+
+    fine, coarse, whole = cut(sketches, "fine", LEAST_ROWS), cut(sketches.groupBy(keys[0]).agg(*merged), "coarse", LEAST_ROWS), cut(sketches.agg(*merged), "whole", 1)
+    named = lambda df, prefix: df.select(*(F.col(k).alias(f"{prefix}_{k}") for k in keys if k in df.columns), *(c for c in df.columns if c not in keys))
+    fine, coarse = named(fine, "f"), named(coarse, "c")
+    on = [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in keys]
+    out = sketches.select(*keys).join(fine, on, "left").join(coarse, F.col(keys[0]).eqNullSafe(F.col(f"c_{keys[0]}")), "left").withColumn("whole", whole.scalar())
+
+    def bound(side: str, measure: str) -> Column:
+        if measure not in (ranks := HIGH if side == "high" else LOW):
+            return F.lit(None).cast("double").alias(side)
+        of = lambda level, part: F.col(f"{level}.{side}_{measure}.{part}")
+        levels = ("fine", "coarse", "whole")
+        gap = F.coalesce(*(F.when(of(x, "gap") > 0, of(x, "gap")) for x in levels), F.lit(0.0)) * ranks[measure][2]
+        return (F.coalesce(*(of(x, "edge") for x in levels)) + (gap if side == "high" else -gap)).alias(side)
+
+    return out.select(*keys, F.struct(*(F.struct(bound("low", m), bound("high", m)).alias(m) for m in measured)).alias("bounds"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Per row: id, measures, base_failed, thresholds' verdict kept, and reasons (measures that lie outside).
 
-    A value is outside when it lies FENCE interquartile ranges, and at least the measure's own least distance,
-    beyond the quartile of its group. Null keys form groups of their own. A null or empty text has no words and
+    A value is outside when it lies beyond a threshold of its group (see fences), which only quantiles set. Null
+    keys form groups of their own. A null or empty text has no words and
     fails the base rule. Repeated rows are judged alike and all returned; an empty table gives no rows; other
     columns aren't read, so their names can't clash.
     """
@@ -111,7 +120,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys:
     match = F.lit(True)
     for i in range(len(keys)):
         match = match & F.col(f"r.key{i}").eqNullSafe(F.col(f"t.key{i}"))
-    outside = [F.when((F.col(m) < F.col(f"bounds.{m}.low")) | (F.col(m) > F.col(f"bounds.{m}.high")), F.lit(m)) for m in MEASURES]
+    outside = [F.when((F.col(m) < F.col(f"bounds.{m}.low")) | (F.col(m) > F.col(f"bounds.{m}.high")), F.lit(m)) for m in HIGH]
     joined = rows.alias("r").join(limits.alias("t"), match, "left")
     reasons = F.array_compact(F.array(*outside))
     return joined.select(F.col("r.id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.size(reasons) == 0)).alias("kept"), reasons.alias("reasons"))
