@@ -167,21 +167,28 @@ def test_quality_keeps_a_uniform_group(spark):
     assert all(out[i] for i in range(120)) and not out[999]
 
 
-def test_op2_equals_sql_and_joins(spark):
-    con = connect(SF)
-    assert mismatch(queries.op2_url_filter(spark, SF), con, url_filter.OP2_SQL) is None
-    pages, rules = table(spark, SF, "pages"), [url_filter.parse_rule(x) for x in url_filter.RULES]
-    assert mismatch(url_filter.judge_urls(pages, rules, url_filter.suspicious_hosts(pages), most_listed=0), con, url_filter.OP2_SQL) is None
+def test_op2_equals_sql(spark):
+    assert mismatch(queries.op2_url_filter(spark, SF), connect(SF), url_filter.OP2_SQL) is None
 
 
-def test_cascade_is_exact(spark):
+@pytest.mark.parametrize("part_keys", [url_filter.PART_KEYS, 100])
+def test_cascade_is_exact(spark, part_keys):
+    """Also for a list of which most keys aren't in the universe, and for filters of several parts."""
     universe = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
-    listed = universe.filter("cast(substring(key, 2) as int) % 7 = 0")
-    cascade = url_filter.Cascade(universe, listed)
+    listed = spark.range(0, 9000, 7).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    cascade = url_filter.Cascade(universe, listed.union(listed), part_keys)
+    assert len(cascade.levels) > 1 and len(cascade.levels[0].parts) == (1 if part_keys > 100 else 13)
     wrong = universe.filter(cascade.listed(F.col("key")) != (F.substring("key", 2, 9).cast("int") % 7 == 0))
     assert wrong.count() == 0
 
 
+def test_cascade_of_nothing(spark):
+    some = spark.createDataFrame([("a",), (None,)], "key string")
+    for universe, listed in ((some, some.limit(0)), (some.filter("key is not null"), some), (some.limit(0), some)):
+        cascade = url_filter.Cascade(universe, listed)
+        assert {r.key: r.x for r in some.select("key", cascade.listed(F.col("key")).alias("x")).collect()} == {"a": listed.count() > 0, None: False}
+
+
 def test_url_edges(spark):
     rows = [(1, None), (2, "x"), (3, "HTTP://EXAMPLE.NET"), (4, "a://b://net/"), (5, "http://net/"), (6, "h://foonet/"), (7, "h://a.example.net/en/?x"), (8, "h://example.com/de/#"), (8, "h://example.com/de/#")]
     pages = spark.createDataFrame([(*r, "k", "b") for r in rows], "page_id long, url string, key string, best string")

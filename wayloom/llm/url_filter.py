@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, table, written
 
-#: More listed keys than this don't go into filters (a filter is sent to all executors: 12 bits a key, so 6 MB); they are joined instead.
-MOST_LISTED = 4_000_000
+#: Keys of one part of a filter (12 bits each at the first level, so 6 MB); a larger filter has several parts.
+PART_KEYS = 4_000_000
+#: Keys of a list at most (150 MB of filters reach every executor); a longer list is refused.
+MOST_LISTED = 100_000_000
 #: Hash functions of the first level, and of the others.
 FIRST_HASHES, NEXT_HASHES = 4, 1
 
@@ -66,10 +68,10 @@ class Level:
     number: int
     bits: int
     hashes: int
-    words: DataFrame
+    parts: list[DataFrame]
 
     def hit(self, key: Column) -> Column:
-        words = self.words.scalar()
+        words = self.parts[0].scalar() if len(self.parts) == 1 else F.coalesce(*(F.when(part_of(key, self.number, len(self.parts)) == i, x.scalar()) for i, x in enumerate(self.parts)))
         tests = [F.call_function("shiftright", F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1 for p in bit_places(key, self.number, self.bits, self.hashes)]
         out = tests[0]
         for t in tests[1:]:
@@ -77,38 +79,47 @@ class Level:
         return out
 
 
-def filter_of(keys: DataFrame, n: int, number: int) -> Level:
-    """One filter over n keys, as a one-row table of an array of 64-bit words."""
-    hashes = FIRST_HASHES if number == 1 else NEXT_HASHES
-    bits = 64 * max(1, math.ceil(max(1, n) * hashes / math.log(2) / 64))
-    places = keys.select(F.explode(F.array(*bit_places(F.col("key"), number, bits, hashes))).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
-    every = keys.sparkSession.range(bits // 64).join(words, F.col("id") == F.col("w"), "left")
-    dense = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("x"))
-    return Level(number, bits, hashes, written(dense.select(F.transform("x", lambda x: x["b"]).alias("words"))))
+def part_of(key: Column, level: int, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(level), F.lit("part")), F.lit(parts))
+
+
+def filter_of(keys: DataFrame, n: int, number: int, part_keys: int = PART_KEYS) -> Level:
+    """One filter over n keys, as one-row tables of an array of 64-bit words."""
+    hashes, parts = FIRST_HASHES if number == 1 else NEXT_HASHES, max(1, math.ceil(n / part_keys))
+    bits = 64 * max(1, math.ceil(max(1, n / parts) * hashes / math.log(2) / 64))
+
+    def part(own: DataFrame) -> DataFrame:
+        places = own.select(F.explode(F.array(*bit_places(F.col("key"), number, bits, hashes))).alias("p"))
+        words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
+        every = keys.sparkSession.range(bits // 64).join(words, F.col("id") == F.col("w"), "left")
+        dense = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("x"))
+        return written(dense.select(F.transform("x", lambda x: x["b"]).alias("words")))
+
+    return Level(number, bits, hashes, [part(keys if parts == 1 else keys.filter(part_of(F.col("key"), number, parts) == i)) for i in range(parts)])
 
 
 class Cascade:
     """Exact membership of the keys of a universe in a listed set.
 
-    Odd levels hold listed keys, even levels the unlisted keys that the level before lets through; each level
-    holds what the one two before it held and the one before it wrongly passes. Building stops when a level
-    passes no wrong key of the universe, so the first level that lacks a key decides on it without error.
+    The first level holds the list. What it lets through of the universe is told apart by one grouping with the list:
+    wrong keys, which the second level holds, and right ones. From there on each level holds the keys that the one
+    before it wrongly passes. Building stops when a level passes no wrong key, so the first level that lacks a key
+    decides on it without error. Keys that the first level stops are never compared with the list.
     """
 
-    def __init__(self, universe: DataFrame, listed: DataFrame):
-        inside = written(universe.join(listed, "key", "left_semi"))
-        outside = written(universe.join(listed, "key", "left_anti"))
-        self.levels: list[Level] = []
-        inside_n = inside.count()
-        while True:
-            level = filter_of(inside, inside_n, len(self.levels) + 1)
+    def __init__(self, universe: DataFrame, listed: DataFrame, part_keys: int = PART_KEYS):
+        listed = written(listed.select("key").filter("key is not null").distinct())
+        n = listed.count()
+        if n > MOST_LISTED:
+            raise ValueError(f"{n} listed keys; at most {MOST_LISTED} fit into filters")
+        self.levels = [filter_of(listed, n, 1, part_keys)]
+        passed = universe.filter(self.levels[0].hit(F.col("key"))).select("key", F.lit(0).alias("of_list")).unionByName(listed.withColumn("of_list", F.lit(1)))
+        told = written(passed.groupBy("key").agg(F.max("of_list").alias("listed"), F.min("of_list").alias("lacking")).filter("lacking = 0"))
+        inside, wrong = told.filter("listed = 1").select("key"), told.filter("listed = 0").select("key")
+        while wrong_n := wrong.count():
+            level = filter_of(wrong, wrong_n, len(self.levels) + 1, part_keys)
             self.levels.append(level)
-            wrong = written(outside.filter(level.hit(F.col("key"))))
-            wrong_n = wrong.count()
-            if not wrong_n:
-                return
-            inside, outside, inside_n = wrong, inside, wrong_n
+            inside, wrong = wrong, written(inside.filter(level.hit(F.col("key"))))
 
     def listed(self, key: Column) -> Column:
         """Whether a key of the universe is listed; a null key isn't."""
@@ -118,13 +129,13 @@ class Cascade:
         return F.when(key.isNotNull(), answer).otherwise(F.lit(False))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], blocked_hosts: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", most_listed: int = MOST_LISTED) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], blocked_hosts: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: id, host, path, rule (text of the longest that fits, else null), verdict, by_list.
 
     Of the rules that fit, the one with the longest text wins (then the longer host). Where none fits, the
     verdict is block if blocked_hosts (a column key of hosts, which count with their subdomains) lists the
     host, else allow. Keys carry their list (b: block rule, a: allow rule, h: host), so one cascade serves
-    all. Over most_listed keys, they are joined with the listed keys instead. A null or malformed url has
+    all; more than MOST_LISTED keys are refused. A null or malformed url has
     empty parts and is allowed. Repeated rows are judged alike and all returned; an empty table gives no rows;
     other columns aren't read, so their names can't clash.
     """
@@ -142,15 +153,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], blocked_hosts: DataFrame | N
     labels = listed.filter("key like 'h:%'").select(F.size(F.split("key", r"\.")).alias("n")).distinct()
     for x in sorted(r.n for r in labels.collect()):  # a host has 127 labels at most
         candidates[f"h:{x}"] = F.concat(F.lit("h:"), host_suffix(F.col("host"), x))
-    if listed.count() <= most_listed:
-        universe = rows.select("host", "path").distinct().select(F.explode(F.array_compact(F.array(*candidates.values()))).alias("key")).distinct() if candidates else listed.limit(0)
-        cascade = Cascade(written(universe), listed)
-        found = {name: F.when(cascade.listed(key), key) for name, key in candidates.items()}
-    else:
-        found = {}
-        for i, (name, key) in enumerate(candidates.items()):
-            rows = rows.join(listed.select(F.col("key").alias(f"k{i}")), key == F.col(f"k{i}"), "left")
-            found[name] = F.col(f"k{i}")
+    universe = rows.select(F.explode(F.array_compact(F.array(*candidates.values()))).alias("key")).distinct() if candidates else listed.limit(0)
+    cascade = Cascade(written(universe), listed)
+    found = {name: F.when(cascade.listed(key), key) for name, key in candidates.items()}
     rank = lambda name, c: F.when(c.isNotNull(), F.struct(F.length(c).alias("n"), F.lit(int(name[2:].split(".")[0])).alias("labels"), c.alias("key")))
     fitting = F.array_compact(F.array(*(rank(name, c) for name, c in found.items() if name[0] != "h")))
     by_host = F.lit(False)
