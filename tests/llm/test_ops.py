@@ -246,6 +246,19 @@ def test_golay_keys_miss_no_pair():
     assert all(a & b for a, b in zip(*keys, strict=True))
 
 
+@pytest.mark.parametrize("shape", ["path", "shuffled path", "comb"])
+def test_components_in_logarithmic_rounds(spark, monkeypatch, shape):
+    rng, written, made = random.Random(3), components.written, []
+    monkeypatch.setattr(components, "written", lambda df: made.append(df.columns) or written(df))
+    ids = list(range(256))
+    if shape == "shuffled path":
+        rng.shuffle(ids)
+    pairs = [(ids[i], ids[i + 1]) for i in range(255)] if shape != "comb" else [(i, i + 1) for i in range(0, 126)] + [(i, i + 128) for i in range(127)]
+    found = {r.node: r.component for r in components.components(spark.createDataFrame([*pairs, (1000, 1001), (1001, 1000), (5, 5)], "a long, b long")).collect()}
+    assert found == {x: 0 for p in pairs for x in p} | {1000: 1000, 1001: 1000}
+    assert sum(c == ["a", "b"] for c in made) - 1 <= 12
+
+
 def test_hot_keys_lose_no_link(spark):
     rng = random.Random(4)
     prints = {0: 5}

@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set (tests)."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it (tests set one)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wayloom-"))
     return context.getCheckpointDir()
 
 
@@ -32,6 +35,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which Spark may choose to broadcast a side of a join (some 20 MB of numbers).
+BROADCAST_ROWS = 500_000
+
+
+def side(written_rows: DataFrame) -> DataFrame:
+    """A written table as one side of a join: beyond BROADCAST_ROWS rows it is merged, for the size of compressed Parquet says little about memory."""
+    return written_rows.hint("merge") if written_rows.count() > BROADCAST_ROWS else written_rows
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, table, written
+from .common import byte_texts, side, table, written
 from .components import components
 
 SEED = 42
@@ -139,6 +139,7 @@ def links(nodes: DataFrame) -> DataFrame:
     keys = written(print_keys(nodes))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = written(sizes)
+    sizes = side(sizes)
     few = keys.join(sizes.filter(F.col("n") <= PAIRED).select("key"), "key", "left_semi")
     pairs = few.alias("x").join(few.alias("y"), "key").filter("x.node < y.node AND bit_count(x.fp ^ y.fp) <= 2").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     many = keys.join(sizes.filter(F.col("n") > PAIRED).select("key"), "key", "left_semi").select("fp", "node").distinct()
@@ -161,8 +162,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = written(document_prints(docs, id_col, text_col, shingle))
     nodes = written(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")))
     found = components(links(nodes))
-    classes = written(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
-    out = prints.join(classes.withColumnRenamed("fp", "fp2"), F.col("fp") == F.col("fp2"), "left")
+    classes = written(nodes.join(side(found), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
+    out = prints.join(side(classes).withColumnRenamed("fp", "fp2"), F.col("fp") == F.col("fp2"), "left")
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
