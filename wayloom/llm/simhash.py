@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, side, table, written
 from .components import components
+from .url_filter import possibly_in
 
 SEED = 42
 #: Bits of the three segments of a fingerprint, from the lowest.
@@ -171,16 +172,18 @@ def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_co
     """The documents that are the smallest of their group; all columns as they are. Repeated rows of one id and text all stay.
 
     A row is known by its id and its text (or its fingerprint, where the groups have no text_print), so where rows
-    share an id each is judged by its own group. Rows with a null id belong to no group and all stay.
+    share an id each is judged by its own group. Rows with a null id belong to no group and all stay. Rows that a
+    Bloom filter of the rows to drop doesn't hit stay without a shuffle.
     """
-    first = groups.filter(F.col(id_col) == F.col("component_id"))
+    other = groups.filter(F.col(id_col) != F.col("component_id"))
     if "text_print" not in groups.columns:
         own = document_prints(docs.withColumn("wayloom_print", F.xxhash64(text_col)), id_col, text_col, shingle, "wayloom_print")
         own = own.select(F.col("doc_id").alias("i"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("f"), F.col("wayloom_print").alias("text_print"))
-        first = first.select(id_col, "fingerprint").distinct().join(own, (F.col(id_col) == F.col("i")) & (F.col("fingerprint") == F.col("f")))
-    first = first.select(F.col(id_col).alias("wayloom_kept_id"), F.col("text_print").alias("wayloom_kept_print")).distinct()
-    kept = docs.join(first, (F.col(id_col) == F.col("wayloom_kept_id")) & (F.xxhash64(text_col) == F.col("wayloom_kept_print")), "left_semi")
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+        other = other.select(id_col, "fingerprint").distinct().join(own, (F.col(id_col) == F.col("i")) & (F.col("fingerprint") == F.col("f")))
+    other = written(other.select(F.col(id_col).alias("wayloom_dropped_id"), F.col("text_print").alias("wayloom_dropped_print")).distinct())
+    hit = possibly_in(other.select(F.xxhash64("wayloom_dropped_id", "wayloom_dropped_print").alias("key")), F.xxhash64(F.col(id_col), F.xxhash64(text_col)))
+    kept = docs.filter(hit).join(side(other), (F.col(id_col) == F.col("wayloom_dropped_id")) & (F.xxhash64(text_col) == F.col("wayloom_dropped_print")), "left_anti")
+    return kept.unionByName(docs.filter(~hit))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,14 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_texts, table, written
-from .url_filter import filter_of
+from .url_filter import possibly_in
 
 #: Words of an edge and of a seed.
 WINDOW, SEED = 50, 20
 #: Fixed odd multipliers of the rolling hashes.
 SEED_BASE, EDGE_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-#: Keys that the Bloom filter of touched documents is made for at most (15 MB); more make it less sharp, not wrong.
-TOUCHED_KEYS = 20_000_000
 KEY = ["d", "h1", "h2"]
 
 
@@ -167,9 +165,7 @@ def repeats(rows: DataFrame) -> DataFrame:
 
 def touched(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose id may be among those found, and the rest: a Bloom filter of bounded size keeps the rest's texts out of a join."""
-    keys = found.select(F.col("d").alias("key")).distinct()
-    level = filter_of(keys, min(keys.count(), TOUCHED_KEYS), 1)
-    hit = F.coalesce(level.hit(F.col("d")), F.lit(False))
+    hit = possibly_in(found.select(F.col("d").alias("key")), F.col("d"))
     return rows.filter(hit), rows.filter(~hit)
 
 

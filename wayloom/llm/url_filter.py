@@ -98,6 +98,12 @@ def filter_of(keys: DataFrame, n: int, number: int, part_keys: int = PART_KEYS)
     return Level(number, bits, hashes, [part(keys if parts == 1 else keys.filter(part_of(F.col("key"), number, parts) == i)) for i in range(parts)])
 
 
+def possibly_in(keys: DataFrame, key: Column, most: int = 20_000_000) -> Column:
+    """Whether a key may be among the keys (column key), by a single filter of 15 MB at most; more keys make it less sharp, not wrong."""
+    keys = keys.distinct()
+    return F.coalesce(filter_of(keys, min(keys.count(), most), 1, most).hit(key), F.lit(False))
+
+
 class Cascade:
     """Exact membership of the keys of a universe in a listed set.
 
