@@ -309,6 +309,17 @@ def test_substring_dedup(spark):
     assert changed == sorted((d, kept if gone else t or "") for (d, _, gone, kept), t in zip(wanted, [t for _, t in sorted(rows, key=lambda r: (r[0], len((r[1] or "").split())))], strict=True))
 
 
+def test_spans_are_verified_at_their_source():
+    """A span whose words aren't those of its source stays."""
+    import pyarrow as pa
+
+    words = [b"w%d" % i for i in range(90)]
+    spans = [{"start": 5, "words": 50, "sha": substring_dedup.span_sha(words, 5, 50)}, {"start": 30, "words": 52, "sha": substring_dedup.span_sha(words, 31, 52)}]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b" ".join(words).decode()]), pa.array([False]), pa.array([spans])], ["d", "text", "whole", "spans"])
+    (out,) = substring_dedup.strip(iter([batch]))
+    assert out.column(2).to_pylist() == [50] and out.column(3).to_pylist() == [b" ".join(words[:5] + words[55:]).decode()]
+
+
 def test_op5(spark, texts):
     wanted = [(d, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for d, n, gone, kept in brute_strip(list(texts.items()))]
     assert sorted(tuple(r) for r in queries.op5_substring_dedup(spark, SF).collect()) == wanted

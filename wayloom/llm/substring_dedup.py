@@ -6,14 +6,18 @@ form a path. Minimizers seen in one text only are dropped at once, so about one
 Paths with equal words are compacted to one by a grouping. A minimizer with one path doesn't branch: all edges
 of the path are repeated alike. Where it branches, the edges of its paths, once for each distinct path, are
 grouped one by one. Joins take the outcome back to the places of the paths in their texts.
+
+All this goes by hashes, and yields spans with the coordinates of their source (text and first word). A span counts
+only if the words at both places have the same SHA-256; exact copies of whole texts go by 64 bits of that of the text and 64 of another hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_texts, table, written
@@ -24,6 +28,9 @@ WINDOW, SEED = 50, 20
 #: Fixed odd multipliers of the rolling hashes.
 SEED_BASE, EDGE_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 KEY = ["d", "h1", "h2"]
+#: Parts into which the paths of one minimizer are dealt.
+SALT = 64
+SPAN = "start int, words int, d2 long, p1 long, p2 long, at int"
 
 
 def span_hashes(h: np.ndarray, length: int, base: int) -> np.ndarray:
@@ -125,16 +132,22 @@ def paths_by_text(batches: Iterator) -> Iterator:
                 yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows) for k in range(3)), pa.array(out["m"], pa.int64()), pa.array(out["c"], pa.int64()), pa.array(out["starts"], pa.list_(pa.int32())), edges], [*KEY, "m", "c", "starts", "edges"])
 
 
+def text_sha(text: Column) -> Column:
+    """Sixty-four bits of a text's SHA-256."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, -10).cast("long")
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id and text with two digests of the text: together they name a row (rows that agree in all are alike)."""
+    """Id and text with two digests of the text (the second from its SHA-256): together they name a row (rows that agree in all are alike)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(WINDOW), text).alias("h2"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("h1"), text_sha(text).alias("h2"), text.alias("text"))
 
 
 def repeats(rows: DataFrame) -> DataFrame:
-    """(d, h1, h2, whole, starts): which texts hold edges that also start in a document of smaller id, and where.
+    """(d, h1, h2, whole, spans): which texts hold edges that also start in a document of smaller id, and where.
 
-    whole: the text is an exact copy of one with a smaller id and has WINDOW words or more.
+    whole: the text is an exact copy of one with a smaller id and has WINDOW words or more. spans: first word, number
+    of words and SHA-256 of the words at the source.
     """
     wide = rows.filter("d is not null")
     texts = written(wide.mapInArrow(seeds_by_text, "d long, h1 long, h2 long, n_words long, seeds array<long>").filter(f"n_words >= {WINDOW}"))
@@ -147,20 +160,81 @@ def repeats(rows: DataFrame) -> DataFrame:
     near = touched(rows, wanted)[0].join(wanted, KEY)
     places = near.select(*KEY, "text", "wanted").mapInArrow(paths_by_text, "d long, h1 long, h2 long, m long, c long, starts array<int>, edges array<long>")
     places = written(places.dropDuplicates([*KEY, "m", "c"]))
-    paths = written(places.groupBy("m", "c").agg(F.min("d").alias("path_first"), F.first("edges").alias("edges")))
-    branching = paths.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m")
-    edges = written(paths.join(branching, "m", "left_semi").select("m", "c", "path_first", F.posexplode("edges").alias("i", "edge")))
-    least = edges.groupBy("m", "edge").agg(F.min("path_first").alias("edge_first"))
-    by_path = edges.join(least, ["m", "edge"]).groupBy("m", "c").agg(F.array_sort(F.collect_list(F.struct("i", "edge_first"))).alias("x")).select("m", "c", F.transform("x", lambda x: x["edge_first"]).alias("edge_firsts"))
-    known = written(paths.select("m", "c", "path_first").join(by_path, ["m", "c"], "left"))
+    spans = written(sourced(places))
+    proven = written(spans.join(digests(rows, spans), ["d2", "p1", "p2", "at", "words"]).groupBy(*KEY).agg(F.collect_list(F.struct("start", "words", "sha")).alias("spans")))
+    none = F.array().cast("array<struct<start:int,words:int,sha:binary>>")
+    return written(proven.select(*KEY, F.lit(False).alias("whole"), "spans").unionByName(copies.select(*KEY, F.lit(True).alias("whole"), none.alias("spans"))))
+
+
+def sourced(places: DataFrame) -> DataFrame:
+    """Spans of texts whose edges start in a text of smaller id, by hashes: KEY, then SPAN with the source's key and first word."""
+    source = lambda at: F.struct(F.col("d").alias("d2"), F.col("h1").alias("p1"), F.col("h2").alias("p2"), at.alias("at"))
+    paths = written(places.groupBy("m", "c").agg(F.min(source(F.array_min("starts"))).alias("src"), F.first("edges").alias("edges")).withColumn("s", F.pmod("c", F.lit(SALT)).cast("int")))
+    # A minimizer of many paths is told by its parts, so no task gets all its paths.
+    parts = written(paths.groupBy("m", "s").agg(F.count(F.lit(1)).alias("n")))
+    branching = parts.groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m")
+    marked = written(parts.join(branching, "m", "left_semi").select("m", "s"))
+    edges = paths.join(marked, ["m", "s"], "left_semi").select("m", "c", "src", F.posexplode("edges").alias("i", "edge"))
+    edges = written(edges.select("m", "c", "i", "edge", F.col("src").withField("at", F.col("src.at") + F.col("i")).alias("src")))
+    least = edges.groupBy("m", "edge").agg(F.min("src").alias("edge_src"))
+    by_path = edges.select("m", "c", "i", "edge").join(least, ["m", "edge"]).groupBy("m", "c").agg(F.array_sort(F.collect_list(F.struct("i", "edge_src"))).alias("x")).select("m", "c", F.transform("x", lambda x: x["edge_src"]).alias("edge_srcs"))
+    known = written(paths.select("m", "c", "src").join(by_path, ["m", "c"], "left"))
     hits = places.select(*KEY, "m", "c", "starts", F.size("edges").alias("n")).join(known, ["m", "c"])
-    offsets = F.when(F.col("edge_firsts").isNull(), F.when(F.col("path_first") < F.col("d"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))).otherwise(
-        F.filter(F.transform("edge_firsts", lambda x, i: F.when(x < F.col("d"), i)), lambda i: i.isNotNull())
-    )
-    hits = hits.select(*KEY, "starts", offsets.alias("offsets")).filter(F.size("offsets") > 0)
-    starts = hits.select(*KEY, F.flatten(F.transform("starts", lambda s: F.transform("offsets", lambda o: s + o))).alias("starts"))
-    partly = starts.groupBy(*KEY).agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    return written(partly.select(*KEY, F.lit(False).alias("whole"), "starts").unionByName(copies.select(*KEY, F.lit(True).alias("whole"), F.array().cast("array<int>").alias("starts"))))
+    span = lambda start, n, src: F.struct(start.cast("int").alias("start"), n.cast("int").alias("n"), src.alias("src"))
+    alike = F.transform("starts", lambda s: span(s, F.col("n"), F.col("src")))
+    one_by_one = F.flatten(F.transform("starts", lambda s: F.filter(F.transform("edge_srcs", lambda x, i: F.when(x["d2"] < F.col("d"), span(s + i, F.lit(1), x))), lambda x: x.isNotNull())))
+    found = F.when(F.col("edge_srcs").isNotNull(), one_by_one).when(F.col("src.d2") < F.col("d"), alike)
+    by_text = hits.select(*KEY, found.alias("spans")).filter(F.size("spans") > 0).groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return by_text.mapInArrow(joined_spans, f"d long, h1 long, h2 long, {SPAN}")
+
+
+def joined_spans(batches: Iterator) -> Iterator:
+    """Runs of edges that follow each other both in the text and in the same source become one span."""
+    import pyarrow as pa
+
+    names = [*KEY, "start", "words", "d2", "p1", "p2", "at"]
+    kinds = [*[pa.int64()] * 3, *[pa.int32()] * 2, *[pa.int64()] * 3, pa.int32()]
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 64):
+            part, out = batch.slice(begin, 64), []
+            for *key, spans in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                edges = sorted((x["src"]["d2"], x["src"]["p1"], x["src"]["p2"], x["start"] - x["src"]["at"], x["start"], x["n"]) for x in spans)
+                last = None
+                for *source, shift, start, n in edges:
+                    if last is not None and last[0] == (*source, shift) and start <= last[2]:
+                        last[2] = max(last[2], start + n)
+                    else:
+                        last = [(*source, shift), start, start + n]
+                        out.append((key, last))
+            if out:
+                rows = [(*key, start, end - start + WINDOW - 1, *source[:3], start - source[3]) for key, (source, start, end) in out]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def digests(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """(d2, p1, p2, at, words, sha): SHA-256 of the words of every span at its source."""
+    asked = spans.select(F.col("d2").alias("d"), F.col("p1").alias("h1"), F.col("p2").alias("h2"), "at", "words").distinct().groupBy(*KEY).agg(F.collect_list(F.struct("at", "words")).alias("asked"))
+    asked = written(asked)
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 64):
+                part, out = batch.slice(begin, 64), []
+                for row, (text, wanted) in enumerate(zip(byte_texts(part.column(3)), part.column(4).to_pylist(), strict=True)):
+                    words = text.split()
+                    out += [(row, x["at"], x["words"], span_sha(words, x["at"], x["words"])) for x in wanted]
+                which, at, n, sha = zip(*out, strict=True)
+                keys = [part.column(k).take(pa.array(which, pa.int32())) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(sha, pa.binary())], ["d2", "p1", "p2", "at", "words", "sha"])
+
+    sources = touched(rows, asked)[0].join(asked, KEY).dropDuplicates(KEY)
+    return sources.select(*KEY, "text", "asked").mapInArrow(work, "d2 long, p1 long, p2 long, at int, words int, sha binary")
+
+
+def span_sha(words: list[bytes], start: int, n: int) -> bytes:
+    return hashlib.sha256(b" ".join(words[start : start + n])).digest()
 
 
 def touched(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -170,28 +244,27 @@ def touched(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def strip(batches: Iterator) -> Iterator:
-    """Leaves out the words that the found edges cover."""
+    """Leaves out the words of the found spans whose words are those of their source."""
     import pyarrow as pa
 
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):
             part = batch.slice(begin, 256)
             counts, removed, kept = [], [], []
-            wholes, starts = part.column(2).to_pylist(), part.column(3).to_pylist()
+            wholes, found = part.column(2).to_pylist(), part.column(3).to_pylist()
             for row, text in enumerate(byte_texts(part.column(1))):
                 words = text.split()
                 counts.append(len(words))
-                if wholes[row] or not starts[row]:
+                if wholes[row] or not found[row]:
                     removed.append(len(words) if wholes[row] else 0)
                     kept.append(b"" if wholes[row] else b" ".join(words))
                     continue
-                change = np.zeros(len(words) + 1, np.int64)
-                at = np.unique(np.array(starts[row], np.int64))
-                change[at] += 1
-                np.subtract.at(change, at + WINDOW, 1)
-                left = np.nonzero(np.cumsum(change)[:-1] == 0)[0].tolist()
-                removed.append(len(words) - len(left))
-                kept.append(b" ".join([words[i] for i in left]))
+                gone = np.zeros(len(words), bool)
+                for x in found[row]:
+                    if span_sha(words, x["start"], x["words"]) == x["sha"]:
+                        gone[x["start"] : x["start"] + x["words"]] = True
+                removed.append(int(gone.sum()))
+                kept.append(b" ".join([words[i] for i in np.nonzero(~gone)[0].tolist()]))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["d", "n_words", "n_removed", "kept"])
 
 
@@ -201,14 +274,14 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A word goes if some WINDOW consecutive words around it also start, in the same order, in a document of
     smaller id; all is judged on the input. Texts of fewer words, null and empty ones lose nothing. Rows that
     share an id don't count as smaller than each other, and are all returned; a null id neither loses nor gives
-    anything. Ids must be whole numbers. An empty table gives no rows; other columns aren't read. Edges are told
-    apart by two independent 64-bit hashes, of the seed and of the edge (or of the path's own bytes).
+    anything. Ids must be whole numbers. An empty table gives no rows; other columns aren't read. What two 64-bit
+    hashes (of seed and edge, or of seed and path) hold to be equal is verified at the coordinates of its source.
     """
     rows = keyed(docs, id_col, text_col)
     found = repeats(rows)
     may, rest = touched(rows, found)
-    joined = may.join(found, KEY, "left").select("d", "text", "whole", "starts")
-    plain = rest.select("d", "text", F.lit(False).alias("whole"), F.array().cast("array<int>").alias("starts"))
+    joined = may.join(found, KEY, "left").select("d", "text", "whole", "spans")
+    plain = rest.select("d", "text", F.lit(False).alias("whole"), F.lit(None).cast(found.schema["spans"].dataType).alias("spans"))
     out = joined.unionByName(plain).mapInArrow(strip, "d long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("d", id_col)
 
@@ -221,9 +294,9 @@ def strip_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = keyed(docs, id_col, text_col)
     found = repeats(rows)
     text, names = F.coalesce(F.col(text_col), F.lit("")), docs.columns
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(WINDOW), text).alias("h2"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("h1"), text_sha(text).alias("h2"))
     may, rest = touched(whole, found)
-    spread = may.join(found, KEY).select("d", F.col(f"row.`{text_col}`").alias("text"), "whole", "starts", "row")
+    spread = may.join(found, KEY).select("d", F.col(f"row.`{text_col}`").alias("text"), "whole", "spans", "row")
     changed = spread.mapInArrow(strip_rows, spread.select("row").withColumn("kept", F.lit("")).schema)
     new = changed.select(*(F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names))
     same = may.join(found, KEY, "left_anti").unionByName(rest).select(*(F.col(f"row.`{c}`").alias(c) for c in names))
