@@ -457,6 +457,60 @@ def test_op10_finds_exact_and_edited_passages(spark, texts):
     assert len({(n, k) for n, _, k in rows} - got) <= 1
 
 
+def least_edits(block, text):
+    """Least edits that turn block into some substring of text, cell by cell."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(block, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_op10_equals_brute_force(spark):
+    """Items and texts of one small alphabet, passages with none to too many edits: just the blocks within budget are found."""
+    rng = random.Random(12)
+    made = lambda n: " ".join("".join(rng.choices("abcde", k=rng.randrange(2, 7))) for _ in range(n))
+    items, docs = [(k, made(14 + 8 * k)) for k in range(4)], []
+    for i in range(24):
+        z = list(items[i % 4][1])
+        for _ in range(int(len(z) * rng.choice([0, 0.05, 0.08, 0.11, 0.16, 0.3]))):
+            p = rng.randrange(len(z))
+            z[p : p + 1] = rng.choice(["", "q", z[p] + "q"])
+        a = rng.randrange(max(1, len(z) - 40))
+        docs.append((i, made(6) + " " + "".join(z[a:] if i % 3 == 0 else z) + " " + made(6)))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    blocks = {k: decontaminate.blocks_of(decontaminate.normal(x)) for k, x in items}
+    wanted = {(i, k) for i, t in docs for k in blocks if any(least_edits(b, decontaminate.normal(t)) <= decontaminate.budget(len(b)) for b in blocks[k])}
+    assert found == wanted and 8 < len(wanted) < 24
+
+
+def test_op10_repeats_short_items_and_long_texts(spark, texts, monkeypatch):
+    """Repeated rows change nothing; off-grid passages, short items and passages in and around laps of long texts are found."""
+    bench = table(spark, SF, "benchmark")
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    once = sorted(decontaminate.find_leaks(docs, bench).collect())
+    assert once and once == sorted(decontaminate.find_leaks(docs.union(docs), bench.union(bench)).collect())
+    monkeypatch.setattr(decontaminate, "PIECE", 3000)
+    monkeypatch.setattr(decontaminate, "LISTED", 500)
+    assert once == sorted(decontaminate.find_leaks(docs, bench).collect())
+    monkeypatch.undo()
+    item = next(r.text for r in bench.collect() if len(r.text) > 250)
+    filler = texts[min(texts)].split()
+    fill = lambda n: " ".join((filler * (1 + n // len(filler)))[:n])
+    odd = [(1, fill(50) + " " + item[61:61 + 96] + " " + fill(50)), (2, "so What is Love? is asked"), (3, "what is lovely"), (4, None), (5, ""), (6, "ab " * 200_000 + item + " ab" * 200_000), (7, "aaaaaaaa" * 40_000)]
+    items = spark.createDataFrame([(1, item), (2, "what IS love?"), (3, "two words"), (4, None), (5, ""), (6, "a" * 200)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(odd, "doc_id long, text string"), items).collect()}
+    assert found == {(1, 1), (2, 2), (6, 1), (7, 6)}
+
+
+def test_drop_leaks(spark):
+    docs = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "z"), (3, None)], "doc_id long, text string")
+    leaks = spark.createDataFrame([(1, 9), (1, 8), (None, 7)], "doc_id long, item_id long")
+    assert sorted(map(str, decontaminate.drop_leaks(docs, leaks).collect())) == sorted(map(str, docs.filter("doc_id is null or doc_id > 1").collect()))
+
+
 def test_banded_distance():
     assert decontaminate.banded_distance("kitten", "xxsittingxx", 3)[0] == 2
     assert decontaminate.banded_distance("abcdef", "zzzz", 2)[0] == 3
