@@ -566,3 +566,20 @@ def test_pipeline(spark, texts):
     assert kept["language_id"] == set(texts) and kept["substring_dedup"] == kept["simhash_dedup"] and kept["byte_bpe"] == kept["decontaminate"]
     before = [(r.doc_id, r.text) for r in seen["simhash_dedup"].collect()]
     assert {r.doc_id: r.text for r in seen["substring_dedup"].collect()} == {d: kept if gone else dict(before)[d] for d, _, gone, kept in brute_strip(before)}
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, texts):
+    """Every stage keeps the columns and the rows that its docstring names."""
+    import corpus_pipeline as c
+
+    learned = table(spark, SF, "documents").filter("doc_id < 60").select(F.col("doc_id") + 1000, "text", "lang", "source", F.lit(0), F.lit(1).cast("long"), F.lit(2).cast("long"), F.lit(3).cast("long"), F.lit("k"), F.lit(5).cast("long")).toDF(*odd.columns)
+    many = odd.unionByName(learned)
+    out = {}
+    for name, stage in c.STAGES[:-1]:
+        kept = stage(spark, many, SF)
+        assert kept.columns == many.columns and stage(spark, odd.limit(0), SF).count() == 0
+        out[name] = Counter(r.doc_id for r in kept.collect() if r.doc_id is None or r.doc_id < 1000)
+    assert not {1, 2, 3, 6} & set(out["language_id"]) and {4: 2, 5: 1, None: 1}.items() <= out["language_id"].items()
+    assert out["simhash_dedup"] == {1: 1, 4: 2, 6: 1, 7: 1, None: 1, 8: 1}
+    assert out["substring_dedup"] == out["decontaminate"] == Counter(r.doc_id for r in odd.collect())
+    assert c.STAGES[-1][1](spark, odd.limit(0), SF).count() == 0 and Counter(r.doc_id for r in c.STAGES[-1][1](spark, odd, SF).collect()) == out["decontaminate"]
