@@ -24,7 +24,7 @@ TRAIN_DOCS, TRAIN_CHARS = 3_000, 500_000
 #: Languages whose trees share one set of tables; more languages have more sets.
 TOGETHER = 8
 #: Bytes that are looked up at a time, and bytes of a window of a text.
-SLICE, WINDOW = 1 << 19, 256
+SLICE, WINDOW = 1 << 17, 256
 PAD = b"\n" * ORDER
 
 
