@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .composition import CELL, gap, unique_parts
+
 PRIME = 2147483647
 
 
@@ -29,6 +31,70 @@ def sampled_sets(candidates: DataFrame, n_sets: int, quota: DataFrame, seed: int
     return draws.withColumn("r", rank).filter("r <= slots").select("sample_id", "bucket", "route_id")
 
 
+def scored(members: DataFrame, vectors: DataFrame, network: DataFrame) -> DataFrame:
+    """Per set: D of the summed vectors of its routes (value), mean of D over the zones it reaches (top), length_m.
+
+    members: sample_id, route_id. Routes that count several times in a walk count so here; D isn't a mean of the
+    routes' own gaps.
+    """
+    summed = members.join(vectors, "route_id").groupBy("sample_id", *CELL).agg(F.sum("length_m").alias("length_m"))
+    zones = gap(summed, network, "sample_id", within="zone").groupBy("sample_id").agg(F.avg("d").alias("top"))
+    length = summed.groupBy("sample_id").agg(F.sum("length_m").alias("length_m"))
+    return gap(summed, network, "sample_id").withColumnRenamed("d", "value").join(zones, "sample_id").join(length, "sample_id")
+
+
+def changed_gap(changes: DataFrame, summed: DataFrame, network: DataFrame, *keys: str) -> DataFrame:
+    """D of sets after changes of their cells: keys (sample_id among them), cell and change; d is null where nothing is left.
+
+    Cells without a change enter through the set's totals, so only changed cells are listed.
+    """
+    totals = network.select(*CELL, "q").crossJoin(F.broadcast(summed.select("sample_id").distinct())).join(summed.withColumnRenamed("length_m", "m"), ["sample_id", *CELL], "left").fillna(0.0, ["m"])
+    whole = totals.groupBy("sample_id").agg(F.sum("m").alias("all_m"))
+    moved = changes.groupBy(*keys).agg(F.sum("change").alias("moved_m")).join(whole, "sample_id").withColumn("w", F.col("all_m") + F.col("moved_m"))
+    grid = moved.join(totals, "sample_id").join(changes, [*keys, *CELL], "left")
+    return grid.groupBy(*keys).agg((0.5 * F.sum(F.abs(F.col("q") - F.try_divide(F.col("m") + F.coalesce("change", F.lit(0.0)), F.col("w"))))).alias("d")).filter("d is not null")
+
+
+def without_each(members: DataFrame, vectors: DataFrame, network: DataFrame) -> DataFrame:
+    """sample_id, route_id and D of the set without that route."""
+    own = members.join(vectors, "route_id")
+    summed = own.groupBy("sample_id", *CELL).agg(F.sum("length_m").alias("length_m"))
+    return changed_gap(own.select("sample_id", "route_id", *CELL, (-F.col("length_m")).alias("change")), summed, network, "sample_id", "route_id")
+
+
+def swapped(members: DataFrame, pool: DataFrame, vectors: DataFrame, network: DataFrame) -> DataFrame:
+    """route_id (of the pool, not a member), out_id (a member of its bucket) and D of the set after their swap."""
+    summed = members.withColumnRenamed("out_id", "route_id").join(vectors, "route_id").groupBy(F.lit(0).alias("sample_id"), *CELL).agg(F.sum("length_m").alias("length_m"))
+    pairs = pool.join(members.select(F.col("out_id").alias("route_id")), "route_id", "left_anti").join(members, "bucket").select("route_id", "out_id")
+    into = pairs.join(vectors, "route_id").select("route_id", "out_id", *CELL, "length_m")
+    out = pairs.join(vectors.withColumnRenamed("route_id", "out_id"), "out_id").select("route_id", "out_id", *CELL, (-F.col("length_m")).alias("length_m"))
+    changes = into.unionByName(out).groupBy("route_id", "out_id", *CELL).agg(F.sum("length_m").alias("change")).withColumn("sample_id", F.lit(0))
+    return changed_gap(changes, summed, network, "sample_id", "route_id", "out_id").drop("sample_id")
+
+
+def summary(members: DataFrame, vectors: DataFrame, network: DataFrame, walks: DataFrame, parts: DataFrame, bins: DataFrame, pairs: DataFrame, material: float) -> DataFrame:
+    """One row of figures for each set (sample_id, bucket, route_id).
+
+    bins: quartile group of each route and feature; pairs: overlap of routes (left, right, fraction). A cell is
+    material if one member has that share of its whole length in it.
+    """
+    full = walks.join(parts.select("part_id"), "part_id").groupBy("route_id").agg(F.sum("length_m").alias("full_m"))
+    n = lambda b: F.count_if(F.col("bucket") == b)
+    counts = members.join(full, "route_id", "left").groupBy("sample_id").agg(F.count(F.lit(1)).alias("route_count"), n("A").alias("bucket_a"), n("B").alias("bucket_b"), n("C").alias("bucket_c"), F.sum("full_m").alias("traversed_m"))
+    own = members.join(vectors.join(full, "route_id"), "route_id")
+    cell = F.struct(*CELL)
+    cells = own.groupBy("sample_id").agg(F.count_distinct("zone").alias("represented_strata"), F.count_distinct(F.when(F.col("length_m") / F.col("full_m") >= material, cell)).alias("material_cells"), F.count_distinct(cell).alias("touched_cells"))
+    road = parts.filter("not connector")
+    covered = members.join(unique_parts(walks), "route_id").select("sample_id", "part_id").distinct().join(road.select("part_id", "length_m"), "part_id")
+    unique = covered.groupBy("sample_id").agg(F.sum("length_m").alias("unique_rc_m")).withColumn("unique_rc_fraction", F.col("unique_rc_m") / network.agg(F.sum("network_m")).scalar())
+    groups = members.join(bins, "route_id").groupBy("sample_id").agg(F.count_distinct("feature", "bin").alias("quantile_groups"))
+    a, b = (members.select("sample_id", F.col("route_id").alias(x)) for x in ("left", "right"))
+    overlap = a.join(pairs, "left").join(b, ["sample_id", "right"]).groupBy("sample_id").agg(F.max("fraction").alias("max_corridor_overlap"))
+    scores = scored(members, vectors, network).select("sample_id", F.col("value").alias("d_combined"), F.col("top").alias("d_domain_mean"), F.col("length_m").alias("rc_traversed_m"))
+    out = scores.join(counts, "sample_id").join(cells, "sample_id").join(unique, "sample_id").join(groups, "sample_id").join(overlap, "sample_id", "left")
+    return out.fillna(0.0, ["max_corridor_overlap"])
+
+
 def distribution(long: DataFrame, *by: str) -> DataFrame:
     """Count, mean, sample deviation, extremes and linear quantiles of value."""
     q = F.expr("percentile(value, array(0.025, 0.25, 0.5, 0.75, 0.975))")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from wayloom.operators import sets as s
+from wayloom.operators.composition import network_cells
 from wayloom.operators.kinematics import flag_array
+from wayloom.operators.lineage import checkpoint
 
 from .registry import query
-from .sets import GAP, SETS, drawn, gaps, vectors
+from .sets import GAP, SETS, baseline, candidates, drawn, gaps, scores, vectors
 from .views import EVIDENCE, PARTS, TRIPS, WALKS, arcs, evidence, parts, table, trips, walks
 
 
@@ -150,18 +153,17 @@ def heading(spark, sf_dir):
     return rows.select("trip_id", "event_id", *(F.round(F.when(F.col("m") >= 5, F.col(f"d{a}") / F.col("m")), 7).alias(f"u{a}") for a in "xy"))
 
 
-@query(f"""WITH {SETS}, base AS (SELECT route_id, bucket FROM sets WHERE sample_id = 0), rest AS (SELECT c.route_id, c.bucket FROM cand c WHERE c.route_id NOT IN (SELECT route_id FROM base)),
-s AS (SELECT r.route_id, b.route_id AS out_id, gr.d - gb.d AS change FROM rest r JOIN base b USING (bucket) JOIN gap gr ON gr.route_id = r.route_id JOIN gap gb ON gb.route_id = b.route_id)
-SELECT route_id, out_id, round(change, 9) AS change FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY round(change, 10), out_id) AS r FROM s) WHERE r = 1""")
+@query(f"""WITH {SETS}, chosen AS (SELECT route_id, bucket FROM sets WHERE sample_id = 0), rest AS (SELECT c.route_id, c.bucket FROM cand c WHERE c.route_id NOT IN (SELECT route_id FROM chosen)),
+tot AS (SELECT zone, rc, q, coalesce(length_m, 0) AS m FROM net LEFT JOIN (SELECT * FROM setvec WHERE sample_id = 0) USING (zone, rc)),
+swap AS (SELECT r.route_id, b.route_id AS out_id, t.q, t.m - coalesce(o.length_m, 0) + coalesce(i.length_m, 0) AS m FROM rest r JOIN chosen b USING (bucket) CROSS JOIN tot t LEFT JOIN vec i ON i.route_id = r.route_id AND i.zone = t.zone AND i.rc = t.rc LEFT JOIN vec o ON o.route_id = b.route_id AND o.zone = t.zone AND o.rc = t.rc),
+sd AS (SELECT route_id, out_id, 0.5 * sum(abs(q - m / w)) AS d FROM (SELECT *, sum(m) OVER (PARTITION BY route_id, out_id) AS w FROM swap) GROUP BY ALL)
+SELECT route_id, out_id, round(d - v, 9) AS change FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY round(d, 10), out_id) AS r FROM sd), base WHERE r = 1""")
 def reserve_replacement(spark, sf_dir):
-    """For each route outside the first set, the member of its bucket that it best replaces (by the change of the gap)."""
-    base = drawn(spark, sf_dir).filter("sample_id = 0").select("bucket", F.col("route_id").alias("out_id"))
-    k = F.col("s_suppkey")
-    pool = table(spark, sf_dir, "supplier").select(k.alias("route_id"), F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (k % 3 + 1).cast("int")).alias("bucket"))
-    d = gaps(spark, sf_dir)
-    rest = pool.join(base.select(F.col("out_id").alias("route_id")), "route_id", "left_anti").join(d, "route_id")
-    rows = rest.join(base.join(d.select(F.col("route_id").alias("out_id"), F.col("d").alias("out_d")), "out_id"), "bucket").withColumn("change", F.col("d") - F.col("out_d"))
-    return rows.groupBy("route_id").agg(F.min_by(F.struct("out_id", "change"), F.struct(F.round("change", 10), "out_id")).alias("b")).select("route_id", "b.out_id", F.round("b.change", 9).alias("change"))
+    """For each route outside the chosen set, the member of its bucket that it best replaces: the least D of the set after the swap."""
+    members = drawn(spark, sf_dir).filter("sample_id = 0").select("bucket", F.col("route_id").alias("out_id"))
+    d = s.swapped(checkpoint(members), candidates(spark, sf_dir), checkpoint(vectors(spark, sf_dir)), checkpoint(network_cells(parts(spark, sf_dir))))
+    best = d.groupBy("route_id").agg(F.min_by(F.struct("out_id", "d"), F.struct(F.round("d", 10), "out_id")).alias("b"))
+    return best.select("route_id", "b.out_id", F.round(F.col("b.d") - baseline(spark, sf_dir), 9).alias("change"))
 
 
 @query("""WITH p AS (SELECT p_partkey, [x FOR x IN string_split(p_type, ' ') IF x <> ''] AS names FROM part) SELECT p_partkey, CASE WHEN len(names) = 1 THEN names[1] ELSE names[1] || ' -> ' || names[len(names)] END AS label FROM p""")
@@ -191,22 +193,24 @@ def quota_feasibility(spark, sf_dir):
     return sets.join(quota, "bucket").groupBy("sample_id").agg(F.bool_and(F.col("slots") - F.col("used") <= F.col("left_over")).alias("feasible"))
 
 
-@query(f"""WITH {SETS}, m AS (SELECT s.sample_id, s.route_id, g.d, avg(g.d) OVER (PARTITION BY s.sample_id) AS mean, count(*) OVER (PARTITION BY s.sample_id) AS n FROM sets s JOIN gap g USING (route_id))
-SELECT sample_id, route_id, round((mean * n - d) / (n - 1) - mean, 9) AS change FROM m""")
+@query(f"""WITH {SETS}, x AS (SELECT s.sample_id, s.route_id, t.q, t.v - coalesce(o.length_m, 0) AS m FROM sets s JOIN setdense t USING (sample_id) LEFT JOIN vec o ON o.route_id = s.route_id AND o.zone = t.zone AND o.rc = t.rc),
+l AS (SELECT sample_id, route_id, 0.5 * sum(abs(q - m / w)) AS d FROM (SELECT *, sum(m) OVER (PARTITION BY sample_id, route_id) AS w FROM x) WHERE w > 0 GROUP BY ALL)
+SELECT sample_id, route_id, round(d - value, 9) AS change FROM l JOIN scores USING (sample_id)""")
 def leave_one_out_scores(spark, sf_dir):
-    w = Window.partitionBy("sample_id")
-    rows = drawn(spark, sf_dir).join(gaps(spark, sf_dir), "route_id").withColumns({"mean": F.avg("d").over(w), "n": F.count(F.lit(1)).over(w)})
-    return rows.select("sample_id", "route_id", F.round((F.col("mean") * F.col("n") - F.col("d")) / (F.col("n") - 1) - F.col("mean"), 9).alias("change"))
+    """Change of a set's D without each of its routes."""
+    members, v, net = checkpoint(drawn(spark, sf_dir)), checkpoint(vectors(spark, sf_dir)), checkpoint(network_cells(parts(spark, sf_dir)))
+    left = s.without_each(members.select("sample_id", "route_id"), v, net)
+    return left.join(s.scored(members, v, net), "sample_id").select("sample_id", "route_id", F.round(F.col("d") - F.col("value"), 9).alias("change"))
 
 
-@query(f"""WITH {SETS}, m AS (SELECT CASE sample_id % 4 WHEN 0 THEN 'M2' WHEN 1 THEN 'M3' WHEN 2 THEN 'M4' ELSE 'M5' END AS method, value FROM scores) SELECT method, count(*) AS n, round(avg(value), 8) AS d, round(avg(value) - (SELECT avg(d) FROM gap), 8) AS difference FROM m GROUP BY method""")
+@query(f"""WITH {SETS}, m AS (SELECT sample_id // 20 AS method, min_by(sample_id, (round(value, 10), sample_id)) AS sample_id FROM scores GROUP BY 1)
+SELECT method, m.sample_id, round(value, 8) AS d, round(value - v, 8) AS difference, round(top, 8) AS d_domain_mean, abs(length_m / base_m - 1) <= 0.1 AS length_matched FROM m JOIN scores USING (sample_id), base""")
 def method_comparison(spark, sf_dir):
-    from .sets import scores
-
-    s = F.col("sample_id") % 4
-    rows = scores(spark, sf_dir).withColumn("method", F.concat(F.lit("M"), (s + 2).cast("string")))
-    base = gaps(spark, sf_dir).agg(F.avg("d")).scalar()
-    return rows.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 8).alias("d"), F.round(F.avg("value") - base, 8).alias("difference"))
+    """The best set of each method (a block of starts), against the chosen set."""
+    rows = checkpoint(scores(spark, sf_dir))
+    base = lambda name: rows.filter("sample_id = 0").select(name).scalar()
+    best = rows.groupBy(F.floor(F.col("sample_id") / 20).alias("method")).agg(F.min_by(F.struct(*rows.columns), F.struct(F.round("value", 10), "sample_id")).alias("b"))
+    return best.select("method", "b.sample_id", F.round("b.value", 8).alias("d"), F.round(F.col("b.value") - base("value"), 8).alias("difference"), F.round("b.top", 8).alias("d_domain_mean"), (F.abs(F.col("b.length_m") / base("length_m") - 1) <= 0.1).alias("length_matched"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

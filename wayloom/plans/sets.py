@@ -167,16 +167,32 @@ SETS = f"""{GAP}, cand AS (SELECT s_suppkey AS route_id, CASE s_suppkey % 3 WHEN
 draws AS (SELECT cand.*, slots, g.sample_id, (((((((((((17::BIGINT * 48271 + 7 + 1) * 69621) % 2147483647) * 48271 + g.sample_id + 1) * 69621) % 2147483647) * 48271 + 0 + 1) * 69621) % 2147483647) * 48271 + cand.route_id + 1) * 69621) % 2147483647 AS h0 FROM cand JOIN quota USING (bucket) CROSS JOIN (SELECT unnest(range(0, 200)) AS sample_id) g),
 h1 AS (SELECT *, (h0 * h0 + 7 * h0 + 12345) % 2147483647 AS x1 FROM draws), h2 AS (SELECT *, (x1 * x1 + 7 * x1 + 12345) % 2147483647 AS x2 FROM h1), h3 AS (SELECT *, (x2 * x2 + 7 * x2 + 12345) % 2147483647 AS h FROM h2),
 sets AS (SELECT sample_id, bucket, route_id FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, bucket ORDER BY h, route_id) AS r FROM h3) WHERE r <= slots),
-scores AS (SELECT sample_id, avg(d) AS value, max(d) AS top, min(d) AS least FROM sets JOIN gap USING (route_id) GROUP BY sample_id)"""
+setvec AS (SELECT sample_id, zone, rc, sum(length_m) AS length_m FROM sets JOIN vec USING (route_id) GROUP BY ALL), setdense AS (SELECT i.sample_id, n.zone, n.rc, n.q, n.q / sum(n.q) OVER (PARTITION BY i.sample_id, n.zone) AS qz, coalesce(v.length_m, 0) AS v FROM (SELECT DISTINCT sample_id FROM setvec) i CROSS JOIN net n LEFT JOIN setvec v USING (sample_id, zone, rc)),
+setshare AS (SELECT *, v / sum(v) OVER (PARTITION BY sample_id) AS share, sum(v) OVER (PARTITION BY sample_id, zone) AS zm FROM setdense),
+domains AS (SELECT sample_id, zone, 0.5 * sum(abs(qz - v / zm)) AS d FROM setshare WHERE zm > 0 GROUP BY ALL),
+scores AS (SELECT * FROM (SELECT sample_id, 0.5 * sum(abs(q - share)) AS value, sum(v) AS length_m FROM setshare GROUP BY sample_id) JOIN (SELECT sample_id, avg(d) AS top FROM domains GROUP BY sample_id) USING (sample_id)),
+base AS (SELECT value AS v, length_m AS base_m FROM scores WHERE sample_id = 0)"""
+
+
+QUOTA = {"A": 3, "B": 2, "C": 4}
+
+
+def candidates(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("route_id"), F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("bucket"))
 
 
 def drawn(spark, sf_dir):
-    candidates = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("route_id"), F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("bucket"))
-    return s.sampled_sets(candidates, 200, spark.createDataFrame([("A", 3), ("B", 2), ("C", 4)], "bucket string, slots int"), seed=7)
+    return s.sampled_sets(candidates(spark, sf_dir), 200, spark.createDataFrame(list(QUOTA.items()), "bucket string, slots int"), seed=7)
 
 
 def scores(spark, sf_dir):
-    return drawn(spark, sf_dir).join(gaps(spark, sf_dir), "route_id").groupBy("sample_id").agg(F.avg("d").alias("value"), F.max("d").alias("top"), F.min("d").alias("least"))
+    """Of each set: D of its summed vectors (value), the mean of D over the domains it reaches (top), traversed length."""
+    return s.scored(drawn(spark, sf_dir), checkpoint(vectors(spark, sf_dir)), checkpoint(c.network_cells(parts(spark, sf_dir))))
+
+
+def baseline(spark, sf_dir, column: str = "value"):
+    """A figure of the chosen set (number 0)."""
+    return scores(spark, sf_dir).filter("sample_id = 0").select(column).scalar()
 
 
 @query(f"WITH {SETS} SELECT sample_id, bucket, route_id FROM sets")
@@ -189,9 +205,15 @@ def distribution_summary(spark, sf_dir):
     return s.distribution(scores(spark, sf_dir)).select("n", *(rnd(x, 8) for x in ("mean", "sd", "min", "q025", "q25", "median", "q75", "q975", "max")))
 
 
-@query(f"WITH {SETS}, b AS (SELECT avg(d) AS v FROM gap) SELECT count(*) FILTER (value < v - 1e-9) AS below, count(*) FILTER (abs(value - v) <= 1e-9) AS tied, count(*) FILTER (value <= v + 1e-9) AS not_above, count(*) AS n FROM scores, b")
+@query(f"""WITH {SETS}, x AS (SELECT 'all' AS scope, value FROM scores UNION ALL SELECT 'length_matched', value FROM scores, base WHERE abs(length_m / base_m - 1) <= 0.1)
+SELECT scope, count(*) FILTER (value < v - 1e-9) AS below, count(*) FILTER (abs(value - v) <= 1e-9) AS tied, count(*) FILTER (value <= v + 1e-9) AS not_above, count(*) AS n FROM x, base GROUP BY scope""")
 def baseline_comparison(spark, sf_dir):
-    return s.against_baseline(scores(spark, sf_dir), gaps(spark, sf_dir).agg(F.avg("d")).scalar(), 1e-9)
+    """Sets below, tied with and not above the chosen one, over all sets and over those of like length."""
+    rows = checkpoint(scores(spark, sf_dir))
+    base = lambda name: rows.filter("sample_id = 0").select(name).scalar()
+    like = F.abs(F.col("length_m") / base("length_m") - 1) <= 0.1
+    scoped = rows.select("value", F.explode(F.array_compact(F.array(F.lit("all"), F.when(like, "length_matched")))).alias("scope"))
+    return s.against_baseline(scoped, base("value"), 1e-9, "scope")
 
 
 @query(f"WITH {SETS} SELECT c.route_id, count(s.sample_id) AS selected_count, round(count(s.sample_id) / 200.0, 6) AS selected_fraction FROM cand c LEFT JOIN sets s USING (route_id) GROUP BY c.route_id")
@@ -211,17 +233,31 @@ def linear_fit(spark, sf_dir):
     return s.linear_fit(scores(spark, sf_dir), "top", "value").select("n", rnd("slope"), rnd("intercept"), rnd("r2"))
 
 
-@query(f"""WITH {SETS}, f AS (SELECT sample_id // 20 AS family, sample_id, value FROM scores), base AS (SELECT avg(d) AS v FROM gap)
-SELECT family, count(*) AS total, count(*) FILTER (value < v) AS improved, round(min(value), 8) AS min_d, round(max(value), 8) AS max_d FROM f, base GROUP BY family""")
-def family_summary(spark, sf_dir):
-    rows = scores(spark, sf_dir).withColumn("family", F.floor(F.col("sample_id") / 20))
-    base = gaps(spark, sf_dir).agg(F.avg("d")).scalar()
-    return rows.groupBy("family").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("value") < base).alias("improved"), F.round(F.min("value"), 8).alias("min_d"), F.round(F.max("value"), 8).alias("max_d"))
+COMPARED = """a AS (SELECT sample_id, list(route_id) AS ids FROM sets GROUP BY sample_id), b AS (SELECT ids AS base_ids FROM a WHERE sample_id = 0),
+compared AS (SELECT sample_id, len(ids) AS n, len(list_intersect(ids, base_ids)) AS retained, len(list_intersect(ids, base_ids)) / (len(ids) + len(base_ids) - len(list_intersect(ids, base_ids)))::DOUBLE AS jaccard FROM a, b)"""
 
 
-@query(f"WITH {SETS}, n AS (SELECT bucket, count(DISTINCT sample_id) AS n FROM sets GROUP BY bucket) SELECT bucket, n = 200 AS in_all FROM n")
+@query(f"""WITH {SETS}, {COMPARED}, need AS (SELECT sum(slots) AS slots FROM quota)
+SELECT sample_id // 20 AS family, count(*) AS total, count(*) FILTER (n = slots) AS done, count(*) FILTER (n < slots) AS infeasible, count(*) FILTER (jaccard = 1) AS unchanged, CAST(min(retained) AS INT) AS min_retained, round(min(jaccard), 8) AS min_jaccard, round(min(value), 8) AS min_d, round(max(value), 8) AS max_d
+FROM scores JOIN compared USING (sample_id), need GROUP BY 1""")
+def family_summary(spark, sf_dir):
+    """Runs of each family against the chosen set: done, infeasible (slots left open), unchanged, least kept, extremes of D."""
+    sets = checkpoint(drawn(spark, sf_dir)).groupBy("sample_id").agg(F.collect_list("route_id").alias("ids"))
+    rows = sets.withColumn("base", sets.filter("sample_id = 0").select("ids").scalar()).withColumn("retained", F.size(F.array_intersect("ids", "base")))
+    rows = rows.withColumn("jaccard", F.col("retained") / F.size(F.array_union("ids", "base"))).join(scores(spark, sf_dir), "sample_id")
+    n, slots = F.count(F.lit(1)), sum(QUOTA.values())
+    return rows.groupBy(F.floor(F.col("sample_id") / 20).alias("family")).agg(
+        n.alias("total"), F.count_if(F.size("ids") == slots).alias("done"), F.count_if(F.size("ids") < slots).alias("infeasible"), F.count_if(F.col("jaccard") == 1).alias("unchanged"),
+        F.min("retained").alias("min_retained"), F.round(F.min("jaccard"), 8).alias("min_jaccard"), F.round(F.min("value"), 8).alias("min_d"), F.round(F.max("value"), 8).alias("max_d"),
+    )
+
+
+@query(f"WITH {SETS}, f AS (SELECT sample_id // 20 AS family, sample_id, route_id FROM sets), n AS (SELECT family, count(DISTINCT sample_id) AS n_sets FROM f GROUP BY family) SELECT family, route_id FROM f JOIN n USING (family) GROUP BY family, route_id, n_sets HAVING count(*) = n_sets")
 def common_core(spark, sf_dir):
-    return drawn(spark, sf_dir).groupBy("bucket").agg((F.count_distinct("sample_id") == 200).alias("in_all"))
+    """Routes that every set of a family holds."""
+    rows = checkpoint(drawn(spark, sf_dir)).withColumn("family", F.floor(F.col("sample_id") / 20))
+    sets = rows.groupBy("family").agg(F.count_distinct("sample_id").alias("n_sets"))
+    return rows.groupBy("family", "route_id").agg(F.count(F.lit(1)).alias("n")).join(sets, "family").filter("n = n_sets").select("family", "route_id")
 
 
 @query(f"""WITH {SETS}, a AS (SELECT sample_id, list_sort(list(route_id)) AS ids FROM sets GROUP BY sample_id), b AS (SELECT ids AS base FROM a WHERE sample_id = 0)
@@ -290,11 +326,31 @@ def ranked_fill(spark, sf_dir):
     return s.ranked_fill(cand, slots, ["zone", "rc"]).select("zone", "rc", "route_id")
 
 
-@query(f"""WITH {GAP} SELECT route_id, 'D' AS metric, round(d, 9) AS value FROM gap UNION ALL SELECT route_id, 'length', round(sum(length_m), 9) FROM vec GROUP BY route_id""")
+@query(f"""WITH {SETS}, {FEATURES.replace(f"{PARTS}, {WALKS}, ", "")}, r9 AS (SELECT route_id, feature, round(value, 9) AS value FROM long), cut AS (SELECT feature, list_distinct(quantile_cont(value, [0.25, 0.5, 0.75])) AS cuts FROM r9 GROUP BY feature),
+bins AS (SELECT route_id, feature, len([x FOR x IN cuts IF x <= value]) AS bin FROM r9 JOIN cut USING (feature)),
+own AS (SELECT DISTINCT w.route_id, p.part_id, p.length_m, p.connector FROM walks w JOIN parts p USING (part_id)), len AS (SELECT route_id, sum(length_m) AS m FROM own GROUP BY route_id),
+pairs AS (SELECT a.route_id AS l, b.route_id AS r, sum(a.length_m) AS m FROM own a JOIN own b USING (part_id) WHERE a.route_id < b.route_id GROUP BY ALL),
+f AS (SELECT l, r, pairs.m / least(x.m, y.m) AS fraction FROM pairs JOIN len x ON x.route_id = l JOIN len y ON y.route_id = r),
+t AS (SELECT a.sample_id, max(fraction) AS top FROM sets a JOIN sets b ON a.sample_id = b.sample_id AND a.route_id < b.route_id JOIN f ON l = a.route_id AND r = b.route_id GROUP BY a.sample_id),
+full_m AS (SELECT route_id, sum(w.length_m) AS m FROM walks w JOIN parts USING (part_id) GROUP BY route_id),
+counts AS (SELECT sample_id, count(*) AS route_count, count(*) FILTER (bucket = 'A') AS bucket_a, count(*) FILTER (bucket = 'B') AS bucket_b, count(*) FILTER (bucket = 'C') AS bucket_c, sum(m) AS traversed_m FROM sets LEFT JOIN full_m USING (route_id) GROUP BY sample_id),
+cells AS (SELECT sample_id, count(DISTINCT (zone, rc)) AS touched_cells, count(DISTINCT (zone, rc)) FILTER (vec.length_m / m >= 0.12) AS material_cells, count(DISTINCT zone) AS represented_strata FROM sets JOIN vec USING (route_id) JOIN full_m USING (route_id) GROUP BY sample_id),
+uniq AS (SELECT sample_id, sum(length_m) AS unique_m FROM (SELECT DISTINCT sample_id, part_id, length_m FROM sets JOIN own USING (route_id) WHERE NOT connector) GROUP BY sample_id),
+qg AS (SELECT sample_id, count(DISTINCT (feature, bin)) AS quantile_groups FROM sets JOIN bins USING (route_id) GROUP BY sample_id),
+wide AS (SELECT sample_id, round(value, 8)::DOUBLE AS d_combined, round(scores.top, 8)::DOUBLE AS d_domain_mean, route_count::DOUBLE AS route_count, bucket_a::DOUBLE AS bucket_a, bucket_b::DOUBLE AS bucket_b, bucket_c::DOUBLE AS bucket_c, round(traversed_m, 3)::DOUBLE AS traversed_m, round(scores.length_m, 3)::DOUBLE AS rc_traversed_m,
+  represented_strata::DOUBLE AS represented_strata, material_cells::DOUBLE AS material_cells, touched_cells::DOUBLE AS touched_cells, round(unique_m, 2)::DOUBLE AS unique_rc_m, round(unique_m / (SELECT sum(network_m) FROM net), 8)::DOUBLE AS unique_rc_fraction, quantile_groups::DOUBLE AS quantile_groups, round(coalesce(t.top, 0), 8)::DOUBLE AS max_corridor_overlap
+  FROM scores JOIN counts USING (sample_id) JOIN cells USING (sample_id) JOIN uniq USING (sample_id) JOIN qg USING (sample_id) LEFT JOIN t USING (sample_id))
+UNPIVOT wide ON COLUMNS(* EXCLUDE (sample_id)) INTO NAME metric VALUE value""")
 def set_summary(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    rows = c.gap(v, c.network_cells(parts(spark, sf_dir)), "route_id").join(v.groupBy("route_id").agg(F.sum("length_m").alias("length")), "route_id")
-    return rows.select("route_id", F.explode(F.array(F.struct(F.lit("D").alias("metric"), F.round("d", 9).alias("value")), F.struct(F.lit("length").alias("metric"), F.round("length", 9).alias("value")))).alias("x")).select("route_id", "x.*")
+    """Every figure of a set in long form; one grouping by set over members, cells, parts and pairs."""
+    w, p = walks(spark, sf_dir), parts(spark, sf_dir)
+    members, v = checkpoint(drawn(spark, sf_dir)), checkpoint(vectors(spark, sf_dir))
+    bins = c.quartile_groups(long_features(spark, sf_dir).withColumn("value", F.round("value", 9)))
+    wide = s.summary(members, v, checkpoint(c.network_cells(p)), w, p, bins, c.pair_overlap(w, p), 0.12)
+    digits = {"d_combined": 8, "d_domain_mean": 8, "traversed_m": 3, "rc_traversed_m": 3, "unique_rc_m": 2, "unique_rc_fraction": 8, "max_corridor_overlap": 8}
+    figures = [x for x in wide.columns if x != "sample_id"]
+    cells = F.array(*(F.struct(F.lit(x).alias("metric"), (F.round(x, digits[x]) if x in digits else F.col(x)).cast("double").alias("value")) for x in figures))
+    return wide.select("sample_id", F.explode(cells).alias("x")).select("sample_id", "x.*")
 
 
 @query()
