@@ -137,11 +137,30 @@ def test_overlay_and_containment(spark):
     assert out == {(1, 1): pytest.approx(10), (1, None): pytest.approx(10), (2, 1): pytest.approx(3)}
 
 
+def matched(spark, points, candidates):
+    """points: (trip, row, known route, gps valid, interval valid, gps_m, x, y); candidates: (trip, row, segment, distance, progress, dx, dy)."""
+    p = spark.createDataFrame([(t, i, k, g, v, 1.0, m, x, y) for t, i, k, g, v, m, x, y in points], "trip_id string, source_row long, known_route boolean, gps_valid boolean, interval_valid boolean, interval_s double, gps_m double, x double, y double")
+    c = spark.createDataFrame(candidates, "trip_id string, source_row long, segment_id long, distance double, progress double, dx double, dy double")
+    return {(r.trip_id, r.source_row): (r.status, r.segment_id) for r in geometry.match_trips(p, c).collect()}
+
+
 def test_matching_keeps_progress(spark):
-    points = spark.createDataFrame([("t", i, True, i > 1, 1.0, 10.0) for i in (1, 2, 3)], "trip_id string, source_row long, gps_valid boolean, interval_valid boolean, interval_s double, gps_m double")
-    candidates = spark.createDataFrame([("t", 1, 1, 1.0, 10.0), ("t", 2, 1, 1.0, 20.0), ("t", 2, 9, 0.5, 900.0), ("t", 3, 1, 1.0, 30.0)], "trip_id string, source_row long, segment_id long, distance double, progress double")
-    out = geometry.match_trips(points, candidates).orderBy("source_row").collect()
-    assert [(r.status, r.segment_id, r.progress) for r in out] == [("matched", 1, 10.0), ("matched", 1, 20.0), ("matched", 1, 30.0)]
+    points = [("t", i, True, True, i > 1, 10.0, 10.0 * i, 0.0) for i in (1, 2, 3)]
+    candidates = [("t", 1, 1, 1.0, 10.0, 1.0, 0.0), ("t", 2, 1, 1.0, 20.0, 1.0, 0.0), ("t", 2, 9, 0.5, 900.0, 1.0, 0.0), ("t", 3, 1, 1.0, 30.0, 1.0, 0.0)]
+    assert matched(spark, points, candidates) == {("t", i): ("matched", 1) for i in (1, 2, 3)}
+
+
+def test_matching_outcomes(spark):
+    """Heading, routes, gaps, ambiguity by a candidate that is nearer but cost more, the cap of candidates."""
+    points = [("a", 1, True, True, False, 0.0, 0.0, 0.0), ("a", 2, True, True, True, 20.0, 20.0, 0.0), ("a", 3, True, True, True, 20.0, 40.0, 0.0), ("a", 4, True, False, True, 0.0, 41.0, 0.0), ("a", 5, True, True, True, 0.0, 42.0, 0.0), ("a", 6, True, True, True, 0.0, 42.0, 0.0)]
+    points += [("b", 1, False, True, False, 0.0, 0.0, 0.0), ("c", 1, True, True, False, 0.0, 0.0, 0.0), ("c", 2, True, True, True, 100.0, 0.0, 0.0), ("d", 1, True, True, False, 0.0, 0.0, 0.0), ("e", 1, True, True, False, 0.0, 0.0, 0.0), ("e", 2, True, True, True, 0.0, 0.0, 0.0)]
+    candidates = [("a", 1, 1, 1.0, 0.0, 1.0, 0.0), ("a", 2, 2, 1.0, 20.0, -1.0, 0.0), ("a", 3, 3, 1.0, 40.0, 1.0, 0.0), ("a", 5, 5, 1.0, 42.0, 1.0, 0.0), ("a", 6, 6, 41.0, 42.0, 1.0, 0.0), ("b", 1, 1, 1.0, 0.0, 1.0, 0.0)]
+    candidates += [("c", 1, 1, 1.0, 0.0, 1.0, 0.0), ("c", 2, 2, 4.0, 100.0, 1.0, 0.0), ("c", 2, 3, 0.1, 0.0, 1.0, 0.0)]
+    candidates += [("d", 1, i, 1.0, 0.0, 1.0, 0.0) for i in range(13)] + [("e", 1, 1, 1.0, 500.0, 1.0, 0.0), ("e", 2, 1, 1.0, 300.0, 1.0, 0.0)]
+    assert matched(spark, points, candidates) == {
+        ("a", 1): ("matched", 1), ("a", 2): ("opposite_direction", None), ("a", 3): ("matched", 3), ("a", 4): ("unknown_bad_gps", None), ("a", 5): ("matched", 5), ("a", 6): ("off_route", None),
+        ("b", 1): ("unknown_route", None), ("c", 1): ("matched", 1), ("c", 2): ("ambiguous", 2), ("d", 1): ("ambiguous", 0), ("e", 1): ("matched", 1), ("e", 2): ("continuity_unresolved", None),
+    }
 
 
 def test_scalars(spark):

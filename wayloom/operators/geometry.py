@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,35 +79,78 @@ def overlay_length(segments: DataFrame, edges: DataFrame, strip: float) -> DataF
     return placed.join(inside, "point_id", "left").groupBy("segment_id", "polygon_id").agg(F.sum("length_m").alias("length_m"))
 
 
-def match_trips(points: DataFrame, candidates: DataFrame, radius: float = 40.0, most: int = 12) -> DataFrame:
+@dataclass(frozen=True)
+class MatchRules:
+    """Metres, metres a second and shares that decide on a match."""
+
+    radius: float = 40.0
+    most: int = 12
+    max_speed: float = 50.0
+    slack: float = 75.0
+    backward: float = 5.0
+    heading_move: float = 5.0
+    heading_cosine: float = 0.0
+    unsure_distance: float = 3.0
+    unsure_progress: float = 25.0
+
+
+def match_trips(points: DataFrame, candidates: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:  # noqa: B008
     """Matches the points of each trip in order; what the last point chose limits the next one's progress.
 
-    points: trip_id, source_row, gps_valid, interval_valid, interval_s, gps_m; candidates: trip_id, source_row,
-    segment_id, distance, progress. A fold over each run of points that valid intervals link; a run ends where an
-    interval is invalid, so its array stays as small as the gap-free stretch. Adds segment_id, progress, status.
+    points: trip_id, source_row, known_route, gps_valid, interval_valid, interval_s, gps_m, x, y; candidates: trip_id,
+    source_row, segment_id, distance, progress, dx, dy (unit direction). Trips are dealt over tasks, and a task goes
+    along its rows in order with the state of one point, so memory doesn't grow with a trip. Returns trip_id,
+    source_row, segment_id, progress, distance (to the nearest candidate, or to the chosen one), status and confidence.
     """
     near = Window.partitionBy("trip_id", "source_row").orderBy("distance", "progress", "segment_id")
-    ranked = candidates.withColumns({"r": F.row_number().over(near), "n": F.count(F.lit(1)).over(Window.partitionBy("trip_id", "source_row"))}).filter(F.col("r") <= most)
-    lists = ranked.groupBy("trip_id", "source_row").agg(F.array_sort(F.collect_list(F.struct("r", "segment_id", "distance", "progress"))).alias("c"), F.max("n").alias("n"))
-    rows = points.join(lists, ["trip_id", "source_row"], "left")
-    run = F.sum(F.when(F.col("interval_valid"), 0).otherwise(1)).over(Window.partitionBy("trip_id").orderBy("source_row").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("run", run)
-    item = F.struct("source_row", "gps_valid", "interval_s", "gps_m", "c", "n")
-    runs = rows.groupBy("trip_id", "run").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kind = "array<struct<source_row:bigint,segment_id:bigint,progress:double,status:string>>"
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(kind).alias("out"))
-
-    def step(state: Column, p: Column) -> Column:
-        last = state["last"]
-        change = lambda c: c["progress"] - last
-        fits = F.filter(p["c"], lambda c: last.isNull() | ((change(c) >= -5.0) & (change(c) <= 50.0 * p["interval_s"] + 75.0)))
-        cost = lambda c: c["distance"] + F.coalesce(0.05 * F.abs(F.abs(change(c)) - p["gps_m"]), F.lit(0.0))
-        scored = F.array_sort(F.transform(fits, lambda c: F.struct(cost(c).alias("cost"), c["r"].alias("r"), c["segment_id"].alias("segment_id"), c["progress"].alias("progress"), c["distance"].alias("distance"))))
-        best = F.get(scored, 0)
-        unsure = (p["n"] > most) | F.exists(scored, lambda c: (F.abs(c["distance"] - best["distance"]) <= 3.0) & (F.abs(c["progress"] - best["progress"]) >= 25.0))
-        status = F.when(~p["gps_valid"], "unknown_bad_gps").when(p["c"].isNull(), "off_route").when(F.size(scored) == 0, "continuity_unresolved").when(unsure, "ambiguous").otherwise("matched")
-        shown = status.isin("matched", "ambiguous")
-        row = F.struct(p["source_row"].alias("source_row"), F.when(shown, best["segment_id"]).alias("segment_id"), F.when(shown, best["progress"]).alias("progress"), status.alias("status"))
-        return F.struct(F.when(status == "matched", best["progress"]).alias("last"), F.array_append(state["out"], row).cast(kind).alias("out"))
-
-    return runs.select("trip_id", F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("m")).select("trip_id", "m.*")
+    ranked = candidates.filter(F.col("distance") <= rules.radius).withColumns({"r": F.row_number().over(near), "n": F.count(F.lit(1)).over(Window.partitionBy("trip_id", "source_row"))}).filter(F.col("r") <= rules.most)
+    lists = ranked.groupBy("trip_id", "source_row").agg(F.array_sort(F.collect_list(F.struct("r", "segment_id", "distance", "progress", "dx", "dy"))).alias("c"), F.max("n").alias("n"))
+    columns = ["trip_id", "source_row", "known_route", "gps_valid", "interval_valid", "interval_s", "gps_m", "x", "y"]
+    rows = points.select(*columns).join(lists, ["trip_id", "source_row"], "left").select(*columns, "c", "n")
+    kind = points.schema["trip_id"].dataType.simpleString()
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        trip, last, before = None, None, None
+        for batch in batches:
+            out = []
+            for p in batch.to_pylist():
+                if p["trip_id"] != trip:
+                    trip, last, before = p["trip_id"], None, None
+                found, last, before = match_point(p, last, before, rules)
+                out.append(found)
+            names = ["segment_id", "progress", "distance", "status", "confidence"]
+            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))], ["trip_id", "source_row", *names])
+
+    ordered = rows.repartition("trip_id").sortWithinPartitions("trip_id", "source_row")
+    return ordered.mapInArrow(work, f"trip_id {kind}, source_row long, segment_id long, progress double, distance double, status string, confidence double")
+
+
+def match_point(p: dict, last: float | None, before: tuple[float, float] | None, rules: MatchRules) -> tuple[tuple, float | None, tuple[float, float] | None]:
+    """Outcome of one point, the progress that binds the next one, and the place that its heading starts from."""
+    if not p["gps_valid"] or p["x"] is None:
+        return (None, None, None, "unknown_bad_gps", None), None, None if not p["gps_valid"] else before
+    here = (p["x"], p["y"])
+    if not p["known_route"]:
+        return (None, None, None, "unknown_route", None), None, here
+    if not p["c"]:
+        return (None, None, None, "off_route", None), None, here
+    heading, prior = None, last if p["interval_valid"] else None
+    if before is not None and p["interval_valid"]:
+        moved = math.hypot(here[0] - before[0], here[1] - before[1])
+        if moved >= rules.heading_move:
+            heading = ((here[0] - before[0]) / moved, (here[1] - before[1]) / moved)
+    nearest = p["c"][0]["distance"]
+    possible = [c for c in p["c"] if heading is None or c["dx"] * heading[0] + c["dy"] * heading[1] >= rules.heading_cosine]
+    if not possible:
+        return (None, None, nearest, "opposite_direction", None), None, here
+    if prior is not None:
+        possible = [c for c in possible if -rules.backward <= c["progress"] - prior <= rules.max_speed * p["interval_s"] + rules.slack]
+    if not possible:
+        return (None, None, nearest, "continuity_unresolved", None), None, here
+    best = min(possible, key=lambda c: c["distance"] + (0.05 * abs(c["progress"] - prior - (p["gps_m"] or 0.0)) if prior is not None else 0.0))
+    unsure = p["n"] > rules.most or any(c["distance"] <= best["distance"] + rules.unsure_distance and abs(c["progress"] - best["progress"]) >= rules.unsure_progress for c in possible)
+    row = (best["segment_id"], best["progress"], best["distance"], "ambiguous" if unsure else "matched", 0.0 if unsure else max(0.0, 1 - best["distance"] / rules.radius))
+    return row, None if unsure else best["progress"], here

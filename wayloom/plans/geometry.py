@@ -55,11 +55,11 @@ def segment_projection(spark, sf_dir):
     return near(spark, sf_dir).select("point_id", "segment_id", F.round("fraction", 6).alias("fraction"))
 
 
-@query(f"WITH {NEAR}, r AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY point_id) AS n FROM near WHERE distance <= 40 WINDOW w AS (PARTITION BY point_id ORDER BY distance, progress, segment_id)) SELECT point_id, segment_id, CAST(r AS INT) AS r, n > 2 AS overflow FROM r WHERE r <= 2")
+@query(f"WITH {NEAR}, r AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY point_id) AS n FROM near WHERE distance <= 40 WINDOW w AS (PARTITION BY point_id ORDER BY distance, progress, segment_id)) SELECT point_id, segment_id, CAST(r AS INT) AS r, n > 12 AS overflow FROM r WHERE r <= 12")
 def candidate_topk_overflow(spark, sf_dir):
     order = Window.partitionBy("point_id").orderBy("distance", "progress", "segment_id")
-    rows = near(spark, sf_dir).withColumns({"r": F.row_number().over(order), "overflow": F.count(F.lit(1)).over(Window.partitionBy("point_id")) > 2})
-    return rows.filter("r <= 2").select("point_id", "segment_id", "r", "overflow")
+    rows = near(spark, sf_dir).withColumns({"r": F.row_number().over(order), "overflow": F.count(F.lit(1)).over(Window.partitionBy("point_id")) > 12})
+    return rows.filter("r <= 12").select("point_id", "segment_id", "r", "overflow")
 
 
 @query(f"WITH {NODES} SELECT a.node_id AS u, b.node_id AS v, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 5) AS distance FROM nodes a JOIN nodes b ON a.node_id < b.node_id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 16")
@@ -111,11 +111,15 @@ def line_polygon_overlay(spark, sf_dir):
 
 @query()
 def sequential_map_match(spark, sf_dir):
-    """A fold along each gap-free run of points; checked against hand values in tests."""
+    """In order along each trip with the state of one point; checked against hand values for every outcome in tests."""
     e = F.col("event_id")
-    points = table(spark, sf_dir, "events").select(F.col("user_id").alias("trip_id"), e.alias("source_row"), (e % 13 != 0).alias("gps_valid"), (e % 5 != 0).alias("interval_valid"), F.lit(2.0).alias("interval_s"), (e % 9 * 1.0).alias("gps_m"))
+    points = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("trip_id"), e.alias("source_row"), (F.col("user_id") % 19 != 0).alias("known_route"), (e % 13 != 0).alias("gps_valid"), (e % 5 != 0).alias("interval_valid"),
+        F.lit(2.0).alias("interval_s"), (e % 9 * 1.0).cast("double").alias("gps_m"), (e % 1000 * 1.0).cast("double").alias("x"), (e % 777 * 1.0).cast("double").alias("y"),
+    )
     ids = points.select("trip_id", "source_row", F.explode(F.sequence(F.lit(0), (F.col("source_row") % 4 - 1).cast("int"))).alias("i")).filter("source_row % 4 > 0")
-    candidates = ids.select("trip_id", "source_row", (F.col("i") + F.col("source_row") % 3).cast("long").alias("segment_id"), (F.col("i") * 7.0 + F.col("source_row") % 5).alias("distance"), (F.col("i") * 30.0 + F.col("source_row") % 50).alias("progress"))
+    turn = (F.col("i") + F.col("source_row") % 7) * 0.9
+    candidates = ids.select("trip_id", "source_row", (F.col("i") + F.col("source_row") % 3).cast("long").alias("segment_id"), (F.col("i") * 7.0 + F.col("source_row") % 5).alias("distance"), (F.col("i") * 30.0 + F.col("source_row") % 50).alias("progress"), F.cos(turn).alias("dx"), F.sin(turn).alias("dy"))
     return g.match_trips(points, candidates)
 
 
@@ -142,10 +146,10 @@ def step_segmentation(spark, sf_dir):
     return steps(spark, sf_dir).groupBy("route_id", "step").agg(F.any_value("name").alias("name"), F.count(F.lit(1)).alias("n_arcs"), F.round(F.sum("m"), 3).cast("double").alias("length_m"))
 
 
-@query(f"WITH {STEPS} SELECT route_id, sum(starts)::BIGINT AS n_runs, string_agg(CASE WHEN starts = 1 AND step <= 5 THEN name END, '>' ORDER BY pos) AS first_names FROM s GROUP BY route_id")
+@query(f"WITH {STEPS} SELECT route_id, sum(starts)::BIGINT AS n_runs, string_agg(CASE WHEN starts = 1 THEN name END, '>' ORDER BY pos) AS names FROM s GROUP BY route_id")
 def run_collapse(spark, sf_dir):
-    shown = F.array_sort(F.collect_list(F.when((F.col("starts") == 1) & (F.col("step") <= 5), F.struct("pos", "name"))))
-    return steps(spark, sf_dir).groupBy("route_id").agg(F.sum("starts").alias("n_runs"), F.array_join(F.transform(shown, lambda x: x["name"]), ">").alias("first_names"))
+    shown = F.array_sort(F.collect_list(F.when(F.col("starts") == 1, F.struct("pos", "name"))))
+    return steps(spark, sf_dir).groupBy("route_id").agg(F.sum("starts").alias("n_runs"), F.array_join(F.transform(shown, lambda x: x["name"]), ">").alias("names"))
 
 
 @query(f"WITH {STEPS} SELECT route_id, max(step)::BIGINT AS n_steps, round(coalesce(sum(m) FILTER (name = 'NO'), 0), 3) AS unnamed_m FROM s GROUP BY route_id")
