@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayloom.functions.scalar import haversine, speed_kmh
+from wayloom.functions.scalar import haversine, parse_time_strict, speed_kmh
 
 
 @dataclass(frozen=True)
@@ -16,6 +16,7 @@ class TripRules:
     max_speed_kmh: float = 180.0
     max_jump_kmh: float = 180.0
     max_acceleration: float = 8.0
+    max_accuracy_m: float = 100.0
     positive_threshold: float = 0.0
     state_threshold: float = 0.1
     idle_kmh: float = 1.0
@@ -53,7 +54,11 @@ def with_previous(points: DataFrame, rules: TripRules) -> DataFrame:
 
 
 def check_points(points: DataFrame, rules: TripRules) -> DataFrame:
-    """Adds flags (sorted names), valid, gps_valid, speed_valid. No row is dropped; order is never changed."""
+    """Adds flags (sorted names), valid, gps_valid, speed_valid. No row is dropped; order is never changed.
+
+    Optional columns: accuracy_m of the position; trip_valid (null for an unknown trip), trip_start and trip_end in
+    seconds like t.
+    """
     rows = with_previous(points, rules)
     here = {
         "invalid_timestamp": F.col("t").isNull(),
@@ -68,10 +73,45 @@ def check_points(points: DataFrame, rules: TripRules) -> DataFrame:
         "gps_jump": F.col("distance_m") / F.col("interval_s") * 3.6 > rules.max_jump_kmh,
         "acceleration_outlier": F.abs("acceleration") > rules.max_acceleration,
     }
+    if "accuracy_m" in points.columns:
+        known = F.col("accuracy_m").isNotNull()
+        here["invalid_gps_accuracy"] = known & (F.isnan("accuracy_m") | (F.col("accuracy_m") < 0))
+        here["poor_gps_accuracy"] = known & ~F.isnan("accuracy_m") & (F.col("accuracy_m") > rules.max_accuracy_m)
+    if "trip_valid" in points.columns:
+        here["unknown_trip_id"] = F.col("trip_valid").isNull()
+        here["invalid_trip_metadata"] = ~F.col("trip_valid")
+        here["outside_trip_time_range"] = ~F.col("t").between(F.col("trip_start"), F.col("trip_end"))
     hard = lambda names: ~F.arrays_overlap("flags", F.array(*map(F.lit, names)))
     return rows.withColumn("flags", flag_array(here)).drop("repeated").withColumns({"valid": F.size("flags") == 0, "gps_valid": hard(HARD_GPS), "speed_valid": hard(HARD_SPEED)})
 
 
+#: States of a low-emission zone that a trip may name.
+LEZ_STATES = ("unknown", "inside", "outside")
+TRIP_FIELDS = ("trip_id", "route_id", "vehicle_id", "started_at", "ended_at", "measurement_date", "sampling_zone")
+VERSIONS = ("policy_version", "route_version", "source_bundle_sha256")
+
+
+def check_trips(trips: DataFrame, routes: DataFrame, zone: str, required: tuple[str, ...] = TRIP_FIELDS) -> DataFrame:
+    """Adds flags (sorted names) and valid to trips, whose fields are text; every row stays.
+
+    routes: route_id, sampling_zone and the versions that a trip of the route must name. zone: time zone of the
+    measurement date. Times must state their offset.
+    """
+    names = ["sampling_zone", *VERSIONS]
+    wanted = routes.select(F.col("route_id").alias("known_route"), *(F.col(c).alias(f"wanted_{c}") for c in names))
+    rows = trips.withColumn("n_rows", F.count(F.lit(1)).over(Window.partitionBy("trip_id"))).join(wanted, F.col("route_id") == F.col("known_route"), "left")
+    start, end, known = parse_time_strict(F.col("started_at")), parse_time_strict(F.col("ended_at")), F.col("known_route").isNotNull()
+    date = F.when(F.col("measurement_date").rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.col("measurement_date").try_cast("date"))
+    local = F.from_utc_timestamp(F.to_utc_timestamp(start, F.current_timezone()), F.lit(zone))
+    rules = {f"missing:{c}": F.coalesce(F.col(c), F.lit("")) == "" for c in required}
+    rules |= {"duplicate_trip_id": F.col("n_rows") > 1, "unknown_route_id": ~known, "invalid_started_at": start.isNull(), "invalid_ended_at": end.isNull(), "invalid_trip_time_range": end <= start}
+    rules |= {"invalid_measurement_date": date.isNull(), "measurement_date_mismatch": local.cast("date") != date}
+    rules |= {f"{c}_mismatch": known & ~F.col(c).eqNullSafe(F.col(f"wanted_{c}")) for c in names}
+    rules["invalid_lez_status"] = ~F.coalesce(F.col("lez_status").isin(*LEZ_STATES), F.lit(False))
+    out = rows.withColumn("flags", flag_array(rules))
+    return out.select(*trips.columns, "n_rows", "flags", (F.size("flags") == 0).alias("valid"))
+
+
 def with_intervals(checked: DataFrame, rules: TripRules) -> DataFrame:
     """Adds whether the interval that ends at a row counts; the end of a gap can start a new interval."""
     order = Window.partitionBy("trip_id").orderBy("source_row")

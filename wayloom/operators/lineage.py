@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a folder of our own only where none is set (tests)."""
+    """The folder that the cluster shares, as spark.checkpoint.dir names it; one of our own only in local mode (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="wayloom-"))
     return spark.sparkContext.getCheckpointDir()
 
 

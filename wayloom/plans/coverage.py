@@ -120,11 +120,41 @@ def trips_to_routes(spark, sf_dir):
     return rows.select("trip_id", F.array_join(flag_array(rules), ";").alias("flags"))
 
 
-@query("""WITH x AS (SELECT l_suppkey AS trip_id, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, l_shipdate FROM lineitem), d AS (SELECT trip_id, count(*) AS c FROM x GROUP BY trip_id)
-SELECT trip_id, c > 1 AS duplicate_trip_id, c AS n_rows FROM d""")
+TRIP_TEXT = """k AS (SELECT o_orderkey AS k, o_custkey AS c, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') AS next_day FROM orders),
+tt AS (SELECT CAST(k - CASE WHEN k % 29 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS trip_id, CAST(c % 30 AS VARCHAR) AS route_id, CASE WHEN k % 67 = 0 THEN '' ELSE 'V' || c % 9 END AS vehicle_id, day || CASE WHEN k % 31 = 0 THEN 'T02:00:00' ELSE 'T02:00:00+07:00' END AS started_at,
+  CASE WHEN k % 41 = 0 THEN NULL WHEN k % 37 = 0 THEN day || 'T02:00:00+07:00' ELSE day || 'T03:30:00+07:00' END AS ended_at, CASE WHEN k % 43 = 0 THEN next_day WHEN k % 47 = 0 THEN '2024-13-01' ELSE day END AS measurement_date,
+  chr(65 + CAST((c + CASE WHEN k % 53 = 0 THEN 1 ELSE 0 END) % 3 AS INT)) AS sampling_zone, CASE WHEN k % 59 = 0 THEN 'p2' ELSE 'p1' END AS policy_version, CASE WHEN k % 23 = 0 THEN 'r2' ELSE 'r1' END AS route_version, CASE WHEN k % 19 = 0 THEN NULL ELSE 'b1' END AS source_bundle_sha256, CASE WHEN k % 61 = 0 THEN 'maybe' ELSE 'unknown' END AS lez_status FROM k)"""
+
+
+def trip_texts(spark, sf_dir):
+    """Trips as a file would state them: all fields are text, some of them faulty."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    fault = lambda n: k % n == 0
+    day, next_day = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 1), "yyyy-MM-dd")
+    fields = {
+        "trip_id": (k - F.when(fault(29), 1).otherwise(0)).cast("string"), "route_id": (c % 30).cast("string"), "vehicle_id": F.when(fault(67), "").otherwise(F.concat(F.lit("V"), (c % 9).cast("string"))),
+        "started_at": F.concat(day, F.when(fault(31), "T02:00:00").otherwise("T02:00:00+07:00")), "ended_at": F.when(~fault(41), F.concat(day, F.when(fault(37), "T02:00:00+07:00").otherwise("T03:30:00+07:00"))),
+        "measurement_date": F.when(fault(43), next_day).when(fault(47), "2024-13-01").otherwise(day), "sampling_zone": F.char(65 + (c + F.when(fault(53), 1).otherwise(0)) % 3),
+        "policy_version": F.when(fault(59), "p2").otherwise("p1"), "route_version": F.when(fault(23), "r2").otherwise("r1"), "source_bundle_sha256": F.when(~fault(19), "b1"), "lez_status": F.when(fault(61), "maybe").otherwise("unknown"),
+    }
+    return table(spark, sf_dir, "orders").select(*(v.alias(n) for n, v in fields.items()))
+
+
+@query(f"""WITH {TRIP_TEXT}, r AS (SELECT DISTINCT CAST(c_custkey % 30 AS VARCHAR) AS route, chr(65 + CAST(c_custkey % 3 AS INT)) AS zone FROM customer WHERE c_custkey % 30 < 27),
+x AS (SELECT tt.*, r.route IS NOT NULL AS known, r.zone, count(*) OVER (PARTITION BY trip_id) AS n_rows FROM tt LEFT JOIN r ON r.route = tt.route_id)
+SELECT trip_id, route_id, started_at, n_rows, array_to_string(list_sort([f FOR f IN [CASE WHEN vehicle_id = '' THEN 'missing:vehicle_id' END, CASE WHEN ended_at IS NULL THEN 'missing:ended_at' END, CASE WHEN n_rows > 1 THEN 'duplicate_trip_id' END, CASE WHEN NOT known THEN 'unknown_route_id' END,
+  CASE WHEN length(started_at) < 20 THEN 'invalid_started_at' END, CASE WHEN ended_at IS NULL THEN 'invalid_ended_at' END, CASE WHEN length(started_at) > 20 AND ended_at <= started_at THEN 'invalid_trip_time_range' END,
+  CASE WHEN try_cast(measurement_date AS DATE) IS NULL THEN 'invalid_measurement_date' END, CASE WHEN length(started_at) > 20 AND try_cast(measurement_date AS DATE) <> try_cast(started_at[:10] AS DATE) THEN 'measurement_date_mismatch' END,
+  CASE WHEN known AND sampling_zone <> zone THEN 'sampling_zone_mismatch' END, CASE WHEN known AND policy_version <> 'p1' THEN 'policy_version_mismatch' END, CASE WHEN known AND route_version <> 'r1' THEN 'route_version_mismatch' END, CASE WHEN known AND source_bundle_sha256 IS NULL THEN 'source_bundle_sha256_mismatch' END,
+  CASE WHEN lez_status <> 'unknown' THEN 'invalid_lez_status' END] IF f IS NOT NULL]), ';') AS flags FROM x""")
 def trip_qc_flags(spark, sf_dir):
-    n = F.count(F.lit(1))
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("trip_id")).agg((n > 1).alias("duplicate_trip_id"), n.alias("n_rows"))
+    """All checks of a trip's record: its own fields, its id, and what its route asks for."""
+    from wayloom.operators.kinematics import check_trips
+
+    k = F.col("c_custkey")
+    routes = table(spark, sf_dir, "customer").filter(k % 30 < 27).select((k % 30).cast("string").alias("route_id"), F.char(65 + k % 3).alias("sampling_zone"), F.lit("p1").alias("policy_version"), F.lit("r1").alias("route_version"), F.lit("b1").alias("source_bundle_sha256")).distinct()
+    checked = check_trips(trip_texts(spark, sf_dir), routes, "Asia/Bangkok")
+    return checked.select("trip_id", "route_id", "started_at", "n_rows", F.array_join("flags", ";").alias("flags"))
 
 
 @query(f"""WITH {EVIDENCE}, w AS (SELECT *, max(day) FILTER (NOT passed) OVER g AS last_fail, max(day) OVER g AS newest FROM evidence WINDOW g AS (PARTITION BY route_id, field)),

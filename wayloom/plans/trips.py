@@ -57,9 +57,19 @@ def prev_row_kinematics(spark, sf_dir):
     return rows.select("trip_id", "source_row", F.round("interval_s", 4).alias("interval_s"), F.round("distance_m", 4).alias("distance_m"), F.round("acceleration", 7).alias("acceleration"))
 
 
-@query(f"WITH {CHECKED} SELECT trip_id, source_row, array_to_string(flags, ';') AS flags, gps_valid, speed_valid FROM checked")
+@query(f"""WITH {CHECKED}, known AS (SELECT DISTINCT c_custkey AS id, c_custkey % 17 <> 0 AS valid FROM customer),
+more AS (SELECT f.trip_id, f.source_row, list_sort(f.flags || [x FOR x IN [CASE WHEN source_row % 101 = 0 THEN 'invalid_gps_accuracy' END, CASE WHEN source_row % 101 <> 0 AND source_row % 2 = 0 AND source_row % 23 > 10 THEN 'poor_gps_accuracy' END, CASE WHEN id IS NULL THEN 'unknown_trip_id' END, CASE WHEN NOT valid THEN 'invalid_trip_metadata' END,
+  CASE WHEN id IS NOT NULL AND NOT t BETWEEN epoch(TIMESTAMP '2024-01-02') AND epoch(TIMESTAMP '2024-01-28') THEN 'outside_trip_time_range' END] IF x IS NOT NULL]) AS flags FROM flagged f LEFT JOIN known ON id = trip_id)
+SELECT trip_id, source_row, array_to_string(flags, ';') AS flags, NOT list_has_any(flags, ['duplicate_timestamp', 'nonmonotonic_time', 'gps_jump', 'invalid_gps_accuracy', 'poor_gps_accuracy', 'unknown_trip_id', 'invalid_trip_metadata', 'outside_trip_time_range']) AS gps_valid,
+  NOT list_has_any(flags, ['negative_speed', 'speed_outlier', 'invalid_speed', 'invalid_speed_unit', 'duplicate_timestamp', 'nonmonotonic_time', 'unknown_trip_id', 'invalid_trip_metadata', 'outside_trip_time_range']) AS speed_valid FROM more""")
 def point_qc_flags(spark, sf_dir):
-    return k.check_points(points(spark, sf_dir), RULES).select("trip_id", "source_row", F.array_join("flags", ";").alias("flags"), "gps_valid", "speed_valid")
+    """Every check of a point: order, place, speed, accuracy, and its trip."""
+    row = F.col("source_row")
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 17 != 0).alias("trip_valid")).distinct()
+    accuracy = F.when(row % 101 == 0, -1.0).when(row % 2 == 0, (row % 23 * 10).cast("double"))
+    at = lambda day: F.when(F.col("id").isNotNull(), F.lit(day).cast("double"))
+    rows = points(spark, sf_dir).join(known, F.col("trip_id") == F.col("id"), "left").withColumns({"accuracy_m": accuracy, "trip_start": at(1704153600), "trip_end": at(1706400000)}).drop("id")
+    return k.check_points(rows, RULES).select("trip_id", "source_row", F.array_join("flags", ";").alias("flags"), "gps_valid", "speed_valid")
 
 
 @query(f"WITH {CHECKED} SELECT gps_valid, speed_valid, len(flags) = 0 AS valid, count(*) AS n FROM checked GROUP BY ALL")
