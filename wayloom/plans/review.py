@@ -72,10 +72,15 @@ def scope_purity_filter(spark, sf_dir):
     return rows.agg(F.count_distinct("l_suppkey").alias("n_zones"), F.max("l_suppkey").alias("zone")).filter("n_zones = 1")
 
 
-@query("SELECT r_regionkey::BIGINT AS id, CASE WHEN r_regionkey % 2 = 0 THEN 'usable' ELSE 'awaiting_trip_qc' END AS state FROM region")
+@query("""WITH f AS (SELECT l_suppkey AS id, count(*) AS n, sum((l_orderkey * 31 + l_linenumber * 7 + l_partkey) % 1000003) AS mark, count(*) FILTER (l_linenumber < 7) AS qc_n, sum((l_orderkey * 31 + l_linenumber * 7 + l_partkey) % 1000003) FILTER (l_linenumber < 7) AS qc_mark FROM lineitem GROUP BY 1)
+SELECT id, CASE WHEN id % 10 = 9 THEN 'no_qc' WHEN n = qc_n AND mark = qc_mark THEN 'usable' ELSE 'awaiting_trip_qc' END AS state FROM f""")
 def stale_qc_rule(spark, sf_dir):
-    now, made = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.sha2("r_name", 256).alias("h")), table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("old"), F.when(F.col("r_regionkey") % 2 == 0, F.sha2("r_name", 256)).alias("old_h"))
-    return now.join(made, F.col("id") == F.col("old"), "left").select("id", F.when(F.col("h").eqNullSafe(F.col("old_h")), "usable").otherwise("awaiting_trip_qc").alias("state"))
+    """A check counts only for the rows that it saw: the last one saw no seventh lines, and a tenth of the routes have none."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), "l_linenumber", ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7 + F.col("l_partkey")) % 1000003).alias("k"))
+    mark = F.struct(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+    now, checked = rows.groupBy("id").agg(mark.alias("now")), rows.filter("l_linenumber < 7 and id % 10 <> 9").groupBy(F.col("id").alias("checked_id")).agg(mark.alias("then"))
+    state = F.when(F.col("id") % 10 == 9, "no_qc").when(F.col("now").eqNullSafe(F.col("then")), "usable").otherwise("awaiting_trip_qc")
+    return now.join(checked, F.col("id") == F.col("checked_id"), "left").select("id", state.alias("state"))
 
 
 @query("SELECT l.l_suppkey AS route_id, count(*) AS n_passes, count(p.p_partkey) AS n_found, round(sum(p.p_retailprice), 2)::DOUBLE AS length_m FROM lineitem l LEFT JOIN part p ON p.p_partkey = l.l_partkey AND p.p_size > 3 GROUP BY 1")
@@ -226,10 +231,15 @@ def candidate_acceptance(spark, sf_dir):
     return gaps(spark, sf_dir).join(length, "route_id").select("route_id", F.array_join(flag_array(rules), ";").alias("reasons"))
 
 
-@query(f"WITH {TRIPS}, r AS (SELECT DISTINCT route_id FROM trips) SELECT route_id, g.gate, 'unknown' AS state FROM r, (VALUES ('G1'), ('G2'), ('G3')) g(gate)")
+@query(f"""WITH {EVIDENCE}, w AS (SELECT *, max(day) FILTER (NOT passed) OVER g AS last_fail, max(day) OVER g AS newest FROM evidence WINDOW g AS (PARTITION BY route_id, field)),
+g AS (SELECT route_id, field, any_value(last_fail) AS last_fail, any_value(newest) AS newest, count(DISTINCT CASE WHEN passed AND (last_fail IS NULL OR day > last_fail) THEN day END) AS days FROM w GROUP BY ALL)
+SELECT route_id, field, CASE WHEN last_fail = newest THEN 'repair' ELSE 'observe' END AS task, 2 - days AS days_needed FROM g WHERE last_fail = newest OR days < 2""")
 def field_worklists(spark, sf_dir):
-    gates = F.explode(F.array(F.lit("G1"), F.lit("G2"), F.lit("G3"))).alias("gate")
-    return trips(spark, sf_dir).select("route_id").distinct().select("route_id", gates, F.lit("unknown").alias("state"))
+    """What is left to do in the field: gates of a route that failed last, or lack passing days."""
+    from wayloom.operators.coverage import gate_states
+
+    states = gate_states(evidence(spark, sf_dir), 2).filter("state <> 'passed'")
+    return states.select("route_id", "field", F.when(F.col("state") == "failed", "repair").otherwise("observe").alias("task"), (2 - F.col("passing_days")).alias("days_needed"))
 
 
 @query(f"""WITH {GAP}, t AS (SELECT route_id, max(v) AS top, sum(v) AS total FROM dense GROUP BY route_id), raw AS (SELECT route_id, d AS c1, top / total AS c2 FROM gap JOIN t USING (route_id)),
