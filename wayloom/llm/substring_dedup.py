@@ -28,7 +28,7 @@ WINDOW, SEED = 50, 20
 #: Fixed odd multipliers of the rolling hashes.
 SEED_BASE, EDGE_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 KEY = ["d", "h1", "h2"]
-#: Parts into which the paths of one minimizer are dealt.
+#: Parts into which the paths of one minimizer, and the copies of one text, are dealt.
 SALT = 64
 SPAN = "start int, words int, d2 long, p1 long, p2 long, at int"
 
@@ -151,8 +151,12 @@ def repeats(rows: DataFrame) -> DataFrame:
     """
     wide = rows.filter("d is not null")
     texts = written(wide.mapInArrow(seeds_by_text, "d long, h1 long, h2 long, n_words long, seeds array<long>").filter(f"n_words >= {WINDOW}"))
-    firsts = texts.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("first < last")
-    copies = written(texts.select(*KEY).join(firsts, ["h1", "h2"]).filter("d > first").select(*KEY).distinct())
+    # Copies of one text are dealt over parts, so no task gets a large group of them.
+    dealt = texts.select(*KEY, F.pmod(F.xxhash64("d"), F.lit(SALT)).cast("int").alias("s"))
+    parts = written(dealt.groupBy("h1", "h2", "s").agg(F.min("d").alias("low"), F.max("d").alias("high")))
+    firsts = parts.groupBy("h1", "h2").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last").select("h1", "h2", "first")
+    several = written(parts.select("h1", "h2", "s").join(firsts, ["h1", "h2"]))
+    copies = written(dealt.join(several, ["h1", "h2", "s"]).filter("d > first").select(*KEY).distinct())
     seeds = texts.select(*KEY, F.explode("seeds").alias("m"))
     shared = written(seeds.groupBy("m").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("m"))
     wanted = seeds.join(shared, "m", "left_semi").groupBy(*KEY).agg(F.collect_set("m").alias("wanted")).join(copies, KEY, "left_anti")
@@ -192,23 +196,29 @@ def joined_spans(batches: Iterator) -> Iterator:
     """Runs of edges that follow each other both in the text and in the same source become one span."""
     import pyarrow as pa
 
-    names = [*KEY, "start", "words", "d2", "p1", "p2", "at"]
-    kinds = [*[pa.int64()] * 3, *[pa.int32()] * 2, *[pa.int64()] * 3, pa.int32()]
     for batch in batches:
-        for begin in range(0, batch.num_rows, 64):
-            part, out = batch.slice(begin, 64), []
-            for *key, spans in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                edges = sorted((x["src"]["d2"], x["src"]["p1"], x["src"]["p2"], x["start"] - x["src"]["at"], x["start"], x["n"]) for x in spans)
-                last = None
-                for *source, shift, start, n in edges:
-                    if last is not None and last[0] == (*source, shift) and start <= last[2]:
-                        last[2] = max(last[2], start + n)
-                    else:
-                        last = [(*source, shift), start, start + n]
-                        out.append((key, last))
-            if out:
-                rows = [(*key, start, end - start + WINDOW - 1, *source[:3], start - source[3]) for key, (source, start, end) in out]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        for begin in range(0, batch.num_rows, 1024):
+            part = batch.slice(begin, 1024)
+            flat = part.column(3).flatten()
+            row = np.repeat(np.arange(part.num_rows), part.column(3).value_lengths().to_numpy(zero_copy_only=False))
+            start, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            d2, p1, p2, at = (flat.field(2).field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            shift = start - at
+            order = np.lexsort((start, shift, p2, p1, d2, row))
+            keys = [x[order] for x in (row, d2, p1, p2, shift)]
+            start, end = start[order], (start + n)[order]
+            other = np.ones(len(order), bool)
+            other[1:] = np.any([x[1:] != x[:-1] for x in keys], axis=0)
+            level = np.cumsum(other) << 32  # so that ends of one group lie below all places of the next
+            reached = np.maximum.accumulate(end + level)
+            first = other.copy()
+            first[1:] |= (start + level)[1:] > reached[:-1]
+            head = np.nonzero(first)[0]
+            last = np.append(head[1:], len(order)) - 1
+            words = (reached - level)[last] - start[head] + WINDOW - 1
+            which = pa.array(keys[0][head])
+            found = [pa.array(start[head].astype(np.int32)), pa.array(words.astype(np.int32)), *(pa.array(x[head]) for x in keys[1:4]), pa.array((start - keys[4])[head].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(part.column(i).take(which) for i in range(3)), *found], [*KEY, "start", "words", "d2", "p1", "p2", "at"])
 
 
 def digests(rows: DataFrame, spans: DataFrame) -> DataFrame:
