@@ -84,7 +84,7 @@ def test_shortest_paths(spark):
     arcs = spark.createDataFrame([(i, i, i + 1, 1.0) for i in range(5)] + [(9, 0, 3, 2.5)], "arc_id long, from_node long, to_node long, length_m double")
     rules = spark.createDataFrame([], "restriction_id long, from_arc long, to_arc long, kind string")
     legal = checkpoint(network.successors(arcs, rules))
-    best = network.shortest_paths(legal, arcs, spark.createDataFrame([(0, 0), (0, 9)], "origin long, arc_id long"), 9)
+    best = network.shortest_paths(legal, arcs, spark.createDataFrame([(0, 0), (0, 9)], "origin long, arc_id long"))
     assert {r.arc_id: r.cost for r in best.collect()} == {0: 1.0, 1: 2.0, 2: 3.0, 9: 2.5, 3: 3.5, 4: 4.5}
 
 
@@ -212,3 +212,12 @@ def test_swaps_against_brute_force(spark):
         assert (r.in_id, r.out_id) == (i, o) and d < gap(chosen)
         chosen = [*(set(chosen) - {o}), i]
     assert found and not any(gap([*(set(chosen) - {o}), i]) < gap(chosen) - 1e-9 for o in chosen for i in lengths if i not in chosen and (o < 5) == (i < 5)) or len(found) == 4
+
+
+def test_components_of_a_path_take_few_rounds(spark, monkeypatch):
+    made, checkpoint = [], network.checkpoint
+    monkeypatch.setattr(network, "checkpoint", lambda df: made.append(df.columns) or checkpoint(df))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(256)] + [(1000, 1001)], "a long, b long")
+    found = {r.node: r.component for r in network.weak_components(edges).collect()}
+    assert found == {**dict.fromkeys(range(257), 0), 1000: 1000, 1001: 1000}
+    assert sum(c == ["a", "b"] for c in made) - 1 <= 12

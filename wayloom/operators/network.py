@@ -129,37 +129,42 @@ def check_walks(walks: DataFrame, legal: DataFrame) -> DataFrame:
 
 
 def weak_components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) by contraction: each round all nodes take their least neighbour and edges move along."""
+    """node, component (its least node) by contraction: each round a node moves to the one of least hash among itself and its neighbours.
+
+    The hash is another one each round, so a share of the nodes goes whatever the graph's shape, and rounds grow with
+    the logarithm of the nodes. Moves are then followed back from the last round, and each group takes its least node.
+    """
     current = checkpoint(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
-    labels = None
-    while not current.isEmpty():
-        both = current.union(current.select("b", "a"))
-        step = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m")))
-        if labels is None:
-            labels = step.select("node", F.col("m").alias("component"))
-        else:
-            labels = labels.join(step.withColumnRenamed("node", "old"), F.col("component") == F.col("old"), "left").select("node", F.coalesce("m", "component").alias("component"))
-        labels = checkpoint(labels)
-        x, y = step.select(F.col("node").alias("a"), F.col("m").alias("ma")), step.select(F.col("node").alias("b"), F.col("m").alias("mb"))
-        current = checkpoint(current.join(x, "a").join(y, "b").filter("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct())
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
-
-
-def shortest_paths(legal: DataFrame, arcs: DataFrame, starts: DataFrame, rounds: int) -> DataFrame:
-    """Least cost from each origin to every arc over legal turns, at most `rounds` arcs on; (origin, arc_id, cost, before).
+    moves = []
+    while not moves or not current.isEmpty():
+        ranked = lambda c, turn=len(moves): F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("to"))
+        both = current.select(F.col("a").alias("node"), ranked("b").alias("x")).union(current.select(F.col("b").alias("node"), ranked("a").alias("x")))
+        move = checkpoint(both.groupBy("node").agg(F.min("x").alias("x")).select("node", F.least("x", ranked("node"))["to"].alias("to")))
+        moves.append(move)
+        x, y = move.select(F.col("node").alias("a"), F.col("to").alias("ta")), move.select(F.col("node").alias("b"), F.col("to").alias("tb"))
+        current = checkpoint(current.join(x, "a").join(y, "b").filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+    labels = moves.pop()
+    while moves:
+        further = labels.select(F.col("node").alias("old"), F.col("to").alias("further"))
+        labels = checkpoint(moves.pop().join(further, F.col("to") == F.col("old"), "left").select("node", F.coalesce("further", "to").alias("to")))
+    least = labels.groupBy("to").agg(F.min("node").alias("component"))
+    return labels.join(least, "to").select("node", "component")
+
+
+def shortest_paths(legal: DataFrame, arcs: DataFrame, starts: DataFrame) -> DataFrame:
+    """Least cost from each origin to every arc that legal turns reach; (origin, arc_id, cost, before).
 
     starts: origin, arc_id. Each round extends the arcs that improved and keeps the least cost of each state, so the
-    table has one row per origin and arc; it ends early when nothing improves.
+    table has one row per origin and arc; it ends when nothing improves. Lengths must be positive.
     """
     cost = arcs.select(F.col("arc_id").alias("next"), F.col("length_m").alias("step"))
     best = checkpoint(starts.join(arcs.select("arc_id", "length_m"), "arc_id").select("origin", "arc_id", F.col("length_m").alias("cost"), F.lit(None).cast("string").alias("before")))
     front = best
-    for _ in range(rounds):
+    while True:
         grown = front.join(legal, front.arc_id == legal.from_arc).select("origin", F.col("to_arc").alias("next"), "cost", F.col("from_arc").cast("string").alias("before")).join(cost, "next")
         found = grown.groupBy("origin", F.col("next").alias("arc_id")).agg(F.min(F.struct((F.col("cost") + F.col("step")).alias("cost"), "before")).alias("x")).select("origin", "arc_id", "x.cost", "x.before")
         known = best.select("origin", "arc_id", F.col("cost").alias("old"))
         front = checkpoint(found.join(known, ["origin", "arc_id"], "left").filter("old is null or cost < old - 1e-9").drop("old"))
         if front.isEmpty():
-            break
+            return best
         best = checkpoint(best.join(front.select("origin", "arc_id"), ["origin", "arc_id"], "left_anti").unionByName(front))
-    return best

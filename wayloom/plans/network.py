@@ -162,15 +162,18 @@ def turn_rule_integrity_join(spark, sf_dir):
     return r.join(x, "from_arc").join(y, "to_arc").filter("end <> start or end <> via").select("restriction_id")
 
 
-GRAPH = """a AS (SELECT c_custkey AS arc_id, c_custkey % 200 AS from_node, (c_custkey * 7 + 3) % 200 AS to_node FROM customer), r AS (SELECT o_orderkey AS restriction_id, o_custkey AS from_arc, o_orderkey % 150 AS to_arc, CASE WHEN o_orderkey % 9 = 0 THEN 'only' ELSE 'no' END AS kind FROM orders WHERE o_orderkey % 3 = 0),
+GRAPH = """big AS (SELECT greatest(count(*) // 3, 1) AS m FROM customer), a AS (SELECT c_custkey AS arc_id, c_custkey % m AS from_node, (c_custkey * 7 + 3) % m AS to_node FROM customer, big), r AS (SELECT o_orderkey AS restriction_id, o_custkey AS from_arc, (o_custkey * 7 + 3) % m + m * (o_orderkey % 3) AS to_arc, CASE WHEN o_orderkey % 9 = 0 THEN 'only' ELSE 'no' END AS kind FROM orders, big WHERE o_orderkey % 4 < 2),
 m AS (SELECT x.arc_id AS from_arc, y.arc_id AS to_arc FROM a x JOIN a y ON x.to_node = y.from_node), o AS (SELECT from_arc, restriction_id, list(DISTINCT to_arc) AS s FROM r WHERE kind = 'only' GROUP BY ALL),
 legal AS (SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM r WHERE kind = 'no' AND r.from_arc = m.from_arc AND r.to_arc = m.to_arc) AND NOT EXISTS (SELECT 1 FROM o WHERE o.from_arc = m.from_arc AND NOT list_contains(o.s, m.to_arc)))"""
 
 
 def graph(spark, sf_dir):
-    k, o = F.col("c_custkey"), F.col("o_orderkey")
-    a = table(spark, sf_dir, "customer").select(k.alias("arc_id"), (k % 200).alias("from_node"), ((k * 7 + 3) % 200).alias("to_node"), F.lit(1.0).alias("length_m"))
-    r = table(spark, sf_dir, "orders").filter(o % 3 == 0).select(o.alias("restriction_id"), F.col("o_custkey").alias("from_arc"), (o % 150).alias("to_arc"), F.when(o % 9 == 0, "only").otherwise("no").alias("kind"))
+    """Customers as arcs between a third as many nodes, so about three arcs meet at a node; half of the orders as turn rules."""
+    k, o, c = F.col("c_custkey"), F.col("o_orderkey"), F.col("o_custkey")
+    customers = table(spark, sf_dir, "customer")
+    m = customers.agg(F.greatest(F.floor(F.count(F.lit(1)) / 3), F.lit(1)).alias("m")).scalar()
+    a = customers.select(k.alias("arc_id"), (k % m).alias("from_node"), ((k * 7 + 3) % m).alias("to_node"), F.lit(1.0).alias("length_m"))
+    r = table(spark, sf_dir, "orders").filter(o % 4 < 2).select(o.alias("restriction_id"), c.alias("from_arc"), ((c * 7 + 3) % m + m * (o % 3)).alias("to_arc"), F.when(o % 9 == 0, "only").otherwise("no").alias("kind"))
     return a, r
 
 
@@ -179,12 +182,12 @@ def turn_aware_successors(spark, sf_dir):
     return n.successors(*graph(spark, sf_dir))
 
 
-@query(f"""WITH {GRAPH}, w AS (SELECT o_custkey AS route_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_orderkey % 1500 + 1 AS arc_id FROM orders), s AS (SELECT *, lag(arc_id) OVER (PARTITION BY route_id ORDER BY pos) AS before FROM w),
+@query(f"""WITH {GRAPH}, w AS (SELECT o_custkey AS route_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, (o_orderkey * 7 + 3) % 1500 + 1 AS arc_id FROM orders), s AS (SELECT *, lag(arc_id) OVER (PARTITION BY route_id ORDER BY pos) AS before FROM w),
 bad AS (SELECT route_id, min(pos) AS first_bad FROM s WHERE before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM legal l WHERE l.from_arc = s.before AND l.to_arc = s.arc_id) GROUP BY route_id)
 SELECT r.route_id, CAST(first_bad AS BIGINT) AS first_bad FROM (SELECT DISTINCT route_id FROM w) r LEFT JOIN bad USING (route_id)""")
 def walk_validation(spark, sf_dir):
     pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
-    w = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("route_id"), pos.alias("pos"), (F.col("o_orderkey") % 1500 + 1).alias("arc_id"))
+    w = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("route_id"), pos.alias("pos"), ((F.col("o_orderkey") * 7 + 3) % 1500 + 1).alias("arc_id"))
     return n.check_walks(w, n.successors(*graph(spark, sf_dir)))
 
 
@@ -198,11 +201,14 @@ def graph_export(spark, sf_dir):
     return spark.range(1).select(n_of(road, "n_arcs"), n_of(nodes, "n_nodes"), n_of(rules, "n_rules"))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 500 AS a, 1000 + o_orderkey % 900 AS b FROM orders WHERE o_orderkey % 5 = 0), b2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-walk AS (SELECT a AS node, a AS seen FROM b2 UNION SELECT w.node, b2.b FROM walk w JOIN b2 ON b2.a = w.seen) SELECT node, min(seen) AS component FROM walk GROUP BY node""")
+@query("""WITH first AS (SELECT c_custkey AS node, c_custkey - c_custkey % 10 AS component FROM customer) SELECT node, component FROM first WHERE node % 10 <> 0 OR node IN (SELECT c_custkey - 1 FROM customer) OR node IN (SELECT o_custkey FROM orders)
+UNION ALL SELECT 1000000000 + o_orderkey, o_custkey - o_custkey % 10 FROM orders""")
 def weak_components(spark, sf_dir):
-    e = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select((F.col("o_custkey") % 500).alias("a"), (F.col("o_orderkey") % 900 + 1000).alias("b"))
-    return n.weak_components(e)
+    """Customers in chains of ten, each with its orders; what the graph's rule gives at once, the edges must yield."""
+    k = F.col("c_custkey")
+    chain = table(spark, sf_dir, "customer").filter(k % 10 != 0).select((k - 1).alias("a"), k.alias("b"))
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.lit(1000000000) + F.col("o_orderkey")).alias("b"))
+    return n.weak_components(chain.unionByName(own))
 
 
 @query("SELECT l_partkey AS way_id, string_agg(DISTINCT l_shipmode_like, ',' ORDER BY l_shipmode_like) AS tiles FROM (SELECT l_partkey, l_returnflag || l_linestatus AS l_shipmode_like FROM lineitem) GROUP BY l_partkey")
@@ -252,10 +258,10 @@ def name_resolution_join(spark, sf_dir):
 
 @query()
 def batch_shortest_paths(spark, sf_dir):
-    """Iterative: least-cost paths from ten origins over legal turns; checked by brute force in tests."""
+    """Iterative: least-cost paths over legal turns to all arcs, from every arc whose id is divisible by 50; checked by brute force in tests."""
     from wayloom.operators.lineage import checkpoint
 
     a, r = graph(spark, sf_dir)
     legal = checkpoint(n.successors(a, r))
-    starts = a.filter("arc_id <= 10").select(F.col("arc_id").alias("origin"), "arc_id")
-    return n.shortest_paths(legal, checkpoint(a), starts, 6)
+    starts = a.filter("arc_id % 50 = 0").select(F.col("arc_id").alias("origin"), "arc_id")
+    return n.shortest_paths(legal, checkpoint(a), starts)
