@@ -200,7 +200,7 @@ def test_swaps_against_brute_force(spark):
     v = spark.createDataFrame([(i, z, r, float(m)) for i, row in lengths.items() for (z, r, _), m in zip(cells, row, strict=True) if m], "route_id long, zone string, rc string, length_m double")
     pool = spark.createDataFrame([(i, "x" if i < 5 else "y") for i in lengths], "route_id long, bucket string")
     chosen = [2, 4, 6]
-    found = sets.swap_improve(v, network_, spark.createDataFrame([(0, i) for i in chosen], "problem_id long, route_id long"), pool, 4, checkpoint).orderBy("round").collect()
+    found = sets.swap_improve(v, network_, spark.createDataFrame([(0, i) for i in chosen], "problem_id long, route_id long"), pool, checkpoint).orderBy("round").collect()
 
     def gap(ids):
         total = [sum(lengths[j][k] for j in ids) for k in range(3)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,12 +126,13 @@ def linear_fit(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     return fit.select(*by, "n", *(F.when(F.col("varies"), F.col(c)).alias(c) for c in ("slope", "intercept", "r2")))
 
 
-def largest_remainder(classes: DataFrame, slots: int, *by: str, rounds: int = 4) -> DataFrame:
+def largest_remainder(classes: DataFrame, slots: int, *by: str) -> DataFrame:
     """Whole slots in proportion to length_m under cap: full classes are fixed first, then largest remainders.
 
-    Ties go to the class first in order. Classes without length or cap get none. by: independent problems;
-    rounds: at most as many as classes can fill up one after the other.
+    Ties go to the class first in order. Classes without length or cap get none. by: independent problems. There
+    are as many rounds as the largest problem has classes, since each may fill up only after another has.
     """
+    rounds = classes.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     w = Window.partitionBy(*by)
     rows = classes.withColumns({"slots": F.lit(0).cast("long"), "open": (F.col("cap") > 0) & (F.col("length_m") > 0)})
     for _ in range(rounds):
@@ -199,7 +202,7 @@ def greedy_coverage(members: DataFrame, size: int, checkpoint) -> DataFrame:
     return history
 
 
-def swap_improve(vectors: DataFrame, network: DataFrame, members: DataFrame, pool: DataFrame, rounds: int, checkpoint) -> DataFrame:
+def swap_improve(vectors: DataFrame, network: DataFrame, members: DataFrame, pool: DataFrame, checkpoint) -> DataFrame:
     """Rounds that each make the one swap that lowers a problem's gap most, inside a bucket; ends when no swap helps.
 
     members: problem_id, route_id; pool: route_id, bucket. A set has a fixed small size, so a round looks at size
@@ -213,7 +216,7 @@ def swap_improve(vectors: DataFrame, network: DataFrame, members: DataFrame, poo
     dense = checkpoint(dense.withColumn("names", names).select("route_id", "bucket", F.transform("names", lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("v")))
     gap_of = lambda v: 0.5 * F.aggregate(F.zip_with(v, F.col("q"), lambda x, s: F.abs(s - F.try_divide(x, F.aggregate(v, F.lit(0.0), lambda a, y: a + y)))), F.lit(0.0), lambda a, x: a + x)
     history = None
-    for turn in range(1, rounds + 1):
+    for turn in count(1):
         own = members.join(dense, "route_id")
         sums = own.select("problem_id", F.posexplode("v")).groupBy("problem_id", "pos").agg(F.sum("col").alias("s")).groupBy("problem_id").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("a")).select("problem_id", F.transform("a", lambda x: x["s"]).alias("total"))
         sums = checkpoint(sums.withColumn("q", q)).withColumn("now", gap_of(F.col("total")))
@@ -225,7 +228,6 @@ def swap_improve(vectors: DataFrame, network: DataFrame, members: DataFrame, poo
         best = checkpoint(better.groupBy("problem_id").agg(F.min_by(F.struct("out_id", "in_id", "d"), F.struct(F.round("d", 10), "in_id", "out_id")).alias("b")).select("problem_id", F.lit(turn).alias("round"), "b.out_id", "b.in_id", "b.d"))
         history = best if history is None else history.unionByName(best)
         if best.isEmpty():
-            break
+            return history
         left = members.join(best.select("problem_id", F.col("out_id").alias("route_id")), ["problem_id", "route_id"], "left_anti")
         members = checkpoint(left.unionByName(best.select("problem_id", F.col("in_id").alias("route_id"))))
-    return history

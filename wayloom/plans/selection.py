@@ -20,9 +20,9 @@ def pool(spark, sf_dir):
 
 @query()
 def swap_improve(spark, sf_dir):
-    """Iterative: three drawn sets, up to three swaps each; checked by brute force in tests."""
-    sets = drawn(spark, sf_dir).filter("sample_id < 3").select(F.col("sample_id").alias("problem_id"), "route_id")
-    return s.swap_improve(checkpoint(vectors(spark, sf_dir)), c.network_cells(parts(spark, sf_dir)), checkpoint(sets), pool(spark, sf_dir), 3, checkpoint)
+    """Iterative: all drawn sets at once, swaps until none helps; checked by brute force in tests."""
+    sets = drawn(spark, sf_dir).select(F.col("sample_id").alias("problem_id"), "route_id")
+    return s.swap_improve(checkpoint(vectors(spark, sf_dir)), c.network_cells(parts(spark, sf_dir)), checkpoint(sets), pool(spark, sf_dir), checkpoint)
 
 
 @query()

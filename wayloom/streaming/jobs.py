@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,18 +37,16 @@ def checked_points(points: DataFrame, max_gap_s: float, max_acceleration: float)
     """Flags of each point against the last one of its trip, which is kept as state; late rows aren't dropped but flagged."""
 
     def work(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t0, v0 = state.get if state.exists else (None, None)
         rows = pd.concat(list(frames)).sort_values("source_row")
-        out = []
-        for row, t, v in zip(rows.source_row, rows.t, rows.speed, strict=True):
-            dt = None if t0 is None else t - t0
-            flags = [] if dt is None else ["nonmonotonic_time"] if dt <= 0 else ["sampling_gap"] if dt > max_gap_s else []
-            if dt is not None and dt > 0 and abs((v - v0) / 3.6 / dt) > max_acceleration:
-                flags.insert(0, "acceleration_outlier")
-            out.append((key[0], row, ";".join(sorted(flags))))
-            t0, v0 = t, v
-        state.update((float(t0), float(v0)))
-        yield pd.DataFrame(out, columns=["trip_id", "source_row", "flags"])
+        t0, v0 = state.get if state.exists else (np.nan, np.nan)
+        t, v = rows.t.to_numpy(float), rows.speed.to_numpy(float)
+        dt = t - np.append(t0, t[:-1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rough = (dt > 0) & (np.abs((v - np.append(v0, v[:-1])) / 3.6 / dt) > max_acceleration)
+        order = np.where(dt <= 0, "nonmonotonic_time", np.where(dt > max_gap_s, "sampling_gap", ""))
+        flags = np.where(rough, np.where(order == "", "acceleration_outlier", np.char.add("acceleration_outlier;", order)), order)
+        state.update((float(t[-1]), float(v[-1])))
+        yield pd.DataFrame({"trip_id": key[0], "source_row": rows.source_row, "flags": flags})
 
     return points.groupBy("trip_id").applyInPandasWithState(work, "trip_id long, source_row long, flags string", "t double, v double", "append", GroupStateTimeout.NoTimeout)
 
