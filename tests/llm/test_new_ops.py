@@ -74,7 +74,7 @@ def check_whitened(found, vectors, most=32):
     for r in found:
         by[r.component].append(r)
     assert sorted(by) == list(range(1, len(values) + 1))
-    deviation = ((n * x - sums) ** 2).sum(1)
+    deviation = [sum((n * int(c) - int(s)) ** 2 for c, s in zip(row, sums, strict=True)) for row in x]
     for k, (e, b) in enumerate(zip(values, basis.T, strict=True), 1):
         own = sorted((r.vec_id is not None, r.vec_id or 0, r.whitened, int(r.deviation)) for r in by[k])
         sign = 1
