@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +22,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """df computed once and kept in that folder."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in that folder: computed once, and read back with only the columns that are asked for."""
+    path = f"{checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
