@@ -20,8 +20,8 @@ FREQUENT, LONGEST = 65_536, 48
 SAMPLE_DOCS = 8_192
 #: Distinct pre-tokens that a task counts before it passes them on.
 COUNTED = 400_000
-#: Lengths that a worker remembers beside the broadcast table.
-CACHE = 400_000
+#: Lengths that a worker remembers beside the broadcast table, each of a pre-token of so many code points at most.
+CACHE, REMEMBERED = 400_000, 64
 TOKENIZERS: dict = {}
 LENGTHS: dict[str, tuple[str, dict[str, int]]] = {}
 
@@ -41,9 +41,12 @@ def lengths_of(path: str, pieces: list[str]) -> list[int]:
 
 
 def frequent_pieces(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
-    """(piece, n): pre-tokens of about SAMPLE_DOCS whole texts, those of the least hashes; only the sample is split and shuffled."""
+    """(piece, n): pre-tokens of about SAMPLE_DOCS whole texts; only the sample is split and shuffled.
+
+    Rows are drawn one by one, so copies of a text are drawn like other rows and the sample keeps its size.
+    """
     share = F.lit(SAMPLE_DOCS / max(1, docs.count()))
-    chosen = docs.select(F.col(text_col).alias("text")).filter(F.xxhash64("text").cast("double") / 2.0**64 + 0.5 < share)
+    chosen = docs.select(F.col(text_col).alias("text")).filter(F.rand(SAMPLE_DOCS) < share)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -112,8 +115,9 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024, id
                         lengths = list(map(known.get, pieces))
                         if None in lengths:
                             missing = list({x for x, n in zip(pieces, lengths, strict=True) if n is None})
-                            known.update(zip(missing, lengths_of(path, missing), strict=True))
-                            lengths = list(map(known.__getitem__, pieces))
+                            fresh = dict(zip(missing, lengths_of(path, missing), strict=True))
+                            known.update((x, n) for x, n in fresh.items() if len(x) <= REMEMBERED)
+                            lengths = [fresh[x] if n is None else n for x, n in zip(pieces, lengths, strict=True)]
                         total += sum(lengths)
                     counts.append(total)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
