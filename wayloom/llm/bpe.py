@@ -23,8 +23,8 @@ from .common import table
 NONE = 1 << 60
 #: Windows of more bytes than this are merged with a heap.
 WIDE = 192
-#: Pre-tokens that a worker remembers in each of its cache's two generations.
-CACHE = 200_000
+#: Pre-tokens that a worker remembers in each of its cache's two generations, and code points of one at most.
+CACHE, REMEMBERED = 200_000, 64
 #: Inner nodes of the tree up to this many bytes are remembered, since words share their halves.
 SHARED = 8
 #: Pre-tokens that are encoded at a time: memory for a text beside its own ids stays within a block.
@@ -185,6 +185,8 @@ class TextCodec:
         known = self.old.get(piece)
         if known is None:
             known = tuple(self.codec.encode_piece(piece.encode()))
+        if len(piece) > REMEMBERED:
+            return known
         if len(self.young) >= CACHE:
             self.old, self.young = self.young, {}
         self.young[piece] = known
