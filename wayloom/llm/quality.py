@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, table, written
 
 SYMBOLS = "#*$%&|<>"
-#: Accuracy parameter of the sketches (about 0.7 % of ranks at 200, 0.35 % at 400).
-SKETCH_K = 400
+#: Buckets of a sketch grow by this factor, so a quantile is right to within half of it (0.1 %), whatever the number of
+#: rows; a group has under 14,000 buckets from a millionth to a million.
+GROWTH = 1.002
 #: Measure -> ranks of the edge and of the middle that the gap to it is taken from, and gaps beyond the edge that are
 #: far out. No value is fixed. Symbols are rare in prose, so the edge is a quartile; repeats are common in few texts,
 #: so theirs is the 98th percentile.
 HIGH = {"symbol_rate": (0.75, 0.5, 6.0), "dup_line_rate": (0.98, 0.5, 2.0), "repeat_rate": (0.98, 0.5, 2.0), "mean_word": (0.75, 0.25, 6.0)}
 LOW = {"mean_word": (0.25, 0.75, 6.0)}
+#: Rates have a largest value; their threshold lies half way from the edge to it at most, so it always can be passed.
+RATES = ("symbol_rate", "dup_line_rate", "repeat_rate")
 #: Groups with fewer rows take the thresholds of their language, and then those of all rows.
 LEAST_ROWS = 50
 
@@ -69,6 +74,30 @@ def with_rates(rows: DataFrame) -> DataFrame:
     return rows.select("*", rate("n_symbols", "word_chars").alias("symbol_rate"), rate("n_dup_lines", "n_lines").alias("dup_line_rate"), rate("n_repeat_words", "n_words").alias("repeat_rate"), rate("word_chars", "n_words").alias("mean_word"))
 
 
+def sketch(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, measure, bucket, n): counts of values by logarithmic bucket; zero has a bucket of its own.
+
+    Sketches merge by adding counts, so no order of rows or tasks can change them.
+    """
+    bucket = lambda v: F.when(v <= 0, -(1 << 30)).otherwise(F.ceil(F.log(v) / math.log(GROWTH))).cast("int")
+    values = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in HIGH)))
+    return rows.select(*keys, values.alias("x")).select(*keys, "x.*").groupBy(*keys, "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quantiles(counts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, measure, n, q): q has the value at each rank of RANKS, the middle of its bucket."""
+    order = Window.partitionBy(*keys, "measure").orderBy("bucket")
+    whole = Window.partitionBy(*keys, "measure")
+    rows = counts.withColumns({"upto": F.sum("n").over(order), "all": F.sum("n").over(whole)})
+    value = lambda b: F.when(b > -(1 << 30), 2 * F.pow(F.lit(GROWTH), b) / (GROWTH + 1)).otherwise(0.0)
+    at = [F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.col("all") * p)), F.col("bucket"))) for p in RANKS]
+    return rows.groupBy(*keys, "measure").agg(F.max("all").alias("n"), F.array(*at).alias("b")).select(*keys, "measure", "n", F.transform("b", value).alias("q"))
+
+
+#: All ranks that thresholds are made of.
+RANKS = sorted({p for ranks in (HIGH, LOW) for edge, middle, _ in ranks.values() for p in (edge, middle)})
+
+
 def fences(rows: DataFrame, n_keys: int = 2) -> DataFrame:
     """Low and high threshold of each measure for each group, from sketches that merge upwards.
 
@@ -78,22 +107,23 @@ def fences(rows: DataFrame, n_keys: int = 2) -> DataFrame:
     don't enter the sketches.
     """
     keys, measured = [f"key{i}" for i in range(n_keys)], list(HIGH)
-    sketches = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in measured)))
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in measured)]
+    sketches = written(sketch(rows, *keys))
+    merged = lambda *by: sketches.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
 
-    def cut(df: DataFrame, name: str, least: int) -> DataFrame:
+    def cut(counts: DataFrame, by: list[str], name: str, least: int) -> DataFrame:
+        found = quantiles(counts, *by).groupBy(*by).agg(F.max("n").alias("n"), *(F.first(F.when(F.col("measure") == m, F.col("q")), True).alias(m) for m in measured))
         parts = []
         for side, ranks in (("high", HIGH), ("low", LOW)):
             for m, (edge, middle, _) in ranks.items():
-                q = lambda p, m=m: F.kll_sketch_get_quantile_double(m, F.lit(p))
+                q = lambda p, m=m: F.col(m)[RANKS.index(p)]
                 parts.append(F.struct(q(edge).alias("edge"), F.abs(q(edge) - q(middle)).alias("gap")).alias(f"{side}_{m}"))
-        return df.filter(F.col("n") >= least).select(*(k for k in keys if k in df.columns), F.struct(*parts).alias(name))
+        return found.filter(F.col("n") >= least).select(*by, F.struct(*parts).alias(name))
 
-    fine, coarse, whole = cut(sketches, "fine", LEAST_ROWS), cut(sketches.groupBy(keys[0]).agg(*merged), "coarse", LEAST_ROWS), cut(sketches.agg(*merged), "whole", 1)
+    fine, coarse, whole = cut(sketches, keys, "fine", LEAST_ROWS), cut(merged(keys[0]), keys[:1], "coarse", LEAST_ROWS), cut(merged(), [], "whole", 1)
     named = lambda df, prefix: df.select(*(F.col(k).alias(f"{prefix}_{k}") for k in keys if k in df.columns), *(c for c in df.columns if c not in keys))
     fine, coarse = named(fine, "f"), named(coarse, "c")
     on = [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in keys]
-    out = sketches.select(*keys).join(fine, on, "left").join(coarse, F.col(keys[0]).eqNullSafe(F.col(f"c_{keys[0]}")), "left").withColumn("whole", whole.scalar())
+    out = sketches.select(*keys).distinct().join(fine, on, "left").join(coarse, F.col(keys[0]).eqNullSafe(F.col(f"c_{keys[0]}")), "left").withColumn("whole", whole.scalar())
 
     def bound(side: str, measure: str) -> Column:
         if measure not in (ranks := HIGH if side == "high" else LOW):
@@ -101,7 +131,10 @@ def fences(rows: DataFrame, n_keys: int = 2) -> DataFrame:
         of = lambda level, part: F.col(f"{level}.{side}_{measure}.{part}")
         levels = ("fine", "coarse", "whole")
         gap = F.coalesce(*(F.when(of(x, "gap") > 0, of(x, "gap")) for x in levels), F.lit(0.0)) * ranks[measure][2]
-        return (F.coalesce(*(of(x, "edge") for x in levels)) + (gap if side == "high" else -gap)).alias(side)
+        edge = F.coalesce(*(of(x, "edge") for x in levels))
+        if measure in RATES:
+            return F.least(edge + gap, (edge + 1) / 2).alias(side)
+        return (edge + (gap if side == "high" else -gap)).alias(side)
 
     return out.select(*keys, F.struct(*(F.struct(bound("low", m), bound("high", m)).alias(m) for m in measured)).alias("bounds"))
 
