@@ -187,17 +187,6 @@ def point_at_measure(spark, sf_dir):
     return rows.select("route_id", "part_id", "m", "stop", F.explode(asked).alias("at")).select("route_id", "at", "part_id", F.round((F.col("at") - (F.col("stop") - F.col("m"))) / F.col("m"), 7).alias("fraction"))
 
 
-@query(f"""WITH {SETS}, q AS (SELECT sample_id, bucket, count(*) AS used FROM sets WHERE route_id % 2 = 0 GROUP BY ALL), n AS (SELECT bucket, count(*) FILTER (route_id % 2 = 1) AS left_over FROM cand GROUP BY bucket)
-SELECT s.sample_id, bool_and(slots - coalesce(used, 0) <= left_over) AS feasible FROM (SELECT DISTINCT sample_id FROM sets) s CROSS JOIN quota LEFT JOIN q USING (sample_id, bucket) JOIN n USING (bucket) GROUP BY s.sample_id""")
-def quota_feasibility(spark, sf_dir):
-    """Whether a set's even routes can be completed by odd candidates of each bucket."""
-    k = F.col("s_suppkey")
-    pool = table(spark, sf_dir, "supplier").select(F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (k % 3 + 1).cast("int")).alias("bucket"), (k % 2 == 1).alias("odd"))
-    quota = spark.createDataFrame([("A", 3), ("B", 2), ("C", 4)], "bucket string, slots int").join(pool.groupBy("bucket").agg(F.count_if("odd").alias("left_over")), "bucket")
-    sets = drawn(spark, sf_dir).groupBy("sample_id", "bucket").agg(F.count_if(F.col("route_id") % 2 == 0).alias("used"))
-    return sets.join(quota, "bucket").groupBy("sample_id").agg(F.bool_and(F.col("slots") - F.col("used") <= F.col("left_over")).alias("feasible"))
-
-
 @query(f"""WITH {SETS}, x AS (SELECT s.sample_id, s.route_id, t.q, t.v - coalesce(o.length_m, 0) AS m FROM sets s JOIN setdense t USING (sample_id) LEFT JOIN vec o ON o.route_id = s.route_id AND o.zone = t.zone AND o.rc = t.rc),
 l AS (SELECT sample_id, route_id, 0.5 * sum(abs(q - m / w)) AS d FROM (SELECT *, sum(m) OVER (PARTITION BY sample_id, route_id) AS w FROM x) WHERE w > 0 GROUP BY ALL)
 SELECT sample_id, route_id, round(d - value, 9) AS change FROM l JOIN scores USING (sample_id)""")
@@ -242,20 +231,6 @@ def field_worklists(spark, sf_dir):
     return states.select("route_id", "field", F.when(F.col("state") == "failed", "repair").otherwise("observe").alias("task"), (2 - F.col("passing_days")).alias("days_needed"))
 
 
-@query(f"""WITH {GAP}, t AS (SELECT route_id, max(v) AS top, sum(v) AS total FROM dense GROUP BY route_id), raw AS (SELECT route_id, d AS c1, top / total AS c2 FROM gap JOIN t USING (route_id)),
-n AS (SELECT route_id, CASE WHEN max(c1) OVER () > min(c1) OVER () THEN 1 - (c1 - min(c1) OVER ()) / (max(c1) OVER () - min(c1) OVER ()) ELSE 1 END AS s1, CASE WHEN max(c2) OVER () > min(c2) OVER () THEN (c2 - min(c2) OVER ()) / (max(c2) OVER () - min(c2) OVER ()) ELSE 1 END AS s2 FROM raw)
-SELECT route_id, round(0.6 * s1 + 0.4 * s2, 7) AS score FROM n""")
-def criteria_scores(spark, sf_dir):
-    """Two criteria, min-max scaled over the pool (one reversed), weighted; a constant criterion counts as 1."""
-    share = vectors(spark, sf_dir).groupBy("route_id").agg((F.max("length_m") / F.sum("length_m")).alias("c2"))
-    raw = gaps(spark, sf_dir).join(share, "route_id")
-    bounds = raw.agg(F.struct(F.min("d").alias("l1"), F.max("d").alias("h1"), F.min("c2").alias("l2"), F.max("c2").alias("h2"))).scalar()
-    rows = raw.withColumn("b", bounds)
-    s1 = F.when(F.col("b.h1") > F.col("b.l1"), 1 - (F.col("d") - F.col("b.l1")) / (F.col("b.h1") - F.col("b.l1"))).otherwise(1.0)
-    s2 = F.when(F.col("b.h2") > F.col("b.l2"), (F.col("c2") - F.col("b.l2")) / (F.col("b.h2") - F.col("b.l2"))).otherwise(1.0)
-    return rows.select("route_id", F.round(0.6 * s1 + 0.4 * s2, 7).alias("score"))
-
-
 @query(f"""WITH {GAP}, cand AS (SELECT route_id, d FROM gap), a AS (SELECT * FROM cand WHERE route_id % 50 = 0) SELECT a.route_id AS seed, b.route_id AS partner FROM a, LATERAL (SELECT route_id, row_number() OVER (ORDER BY round(abs(cand.d - a.d), 10), route_id) AS r FROM cand WHERE cand.route_id <> a.route_id) b WHERE b.r = 1""")
 def seed_pair_cross_join(spark, sf_dir):
     """The nearest partner by gap of every seed: seeds are the ids divisible by 50, a stated query set."""
