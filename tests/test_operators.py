@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayloom.functions import scalar
-from wayloom.operators import composition, geometry, kinematics, network, sets
+from wayloom.operators import composition, geometry, kinematics, lines, network, sets
 from wayloom.operators.lineage import checkpoint
 from wayloom.sources import files
 
@@ -88,6 +88,55 @@ def test_shortest_paths(spark):
     assert {r.arc_id: r.cost for r in best.collect()} == {0: 1.0, 1: 2.0, 2: 3.0, 9: 2.5, 3: 3.5, 4: 4.5}
 
 
+def brute_path(arcs, legal, origin, anchors, once):
+    """Least (cost, path) over all label-free walks, with the cost of the best known as the only bound."""
+    best = [None]
+
+    def go(path, parts, done, cost):
+        if best[0] is not None and (cost, path) > best[0] and cost >= best[0][0]:
+            return
+        if done == len(anchors):
+            best[0] = min(best[0] or (cost, path), (cost, path))
+            return
+        if len(path) > 8:
+            return
+        for a, (part, start, end, step) in arcs.items():
+            if (path and ((path[-1], a) not in legal or part == parts[-1])) or (not path and start != origin) or (once and part in parts):
+                continue
+            go((*path, a), (*parts, part), done + (end == anchors[done]), cost + step)
+
+    go((), (), 0, 0.0)
+    return best[0]
+
+
+@pytest.mark.parametrize("once", [False, True])
+def test_anchored_paths(spark, once):
+    """Random graphs with turn rules and parts of several arcs: the same costs as all walks of up to eight arcs."""
+    import random
+
+    rng, found, wanted = random.Random(11), {}, {}
+    arcs, problems, legal = {}, {}, set()
+    for g in range(6):
+        own = {g * 100 + i: (g * 100 + i // 2, g * 10 + rng.randrange(6), g * 10 + rng.randrange(6), float(rng.randrange(1, 5))) for i in range(20)}
+        arcs |= own
+        legal |= {(x, y) for x in own for y in own if own[x][2] == own[y][1] and rng.random() < 0.9}
+        for _ in range(3):
+            problems[len(problems)] = (g * 10 + rng.randrange(6), rng.sample([g * 10 + i for i in range(6)], 2))
+    for k, (origin, anchors) in problems.items():
+        wanted[k] = brute_path(arcs, legal, origin, anchors, once)
+    table = spark.createDataFrame([(a, *rest) for a, rest in arcs.items()], "arc_id long, part_id long, from_node long, to_node long, cost double")
+    asked = spark.createDataFrame([(k, o, a) for k, (o, a) in problems.items()], "problem_id long, origin long, anchors array<long>")
+    found = {r.problem_id: (r.cost, tuple(r.arc_ids)) for r in network.anchored_paths(table, spark.createDataFrame(sorted(legal), "from_arc long, to_arc long"), asked, once).collect()}
+    for k, best in wanted.items():
+        if best is None:
+            assert k not in found or len(found[k][1]) > 8
+        else:
+            assert found[k][0] == best[0]
+            path = found[k][1]
+            assert all(pair in legal for pair in zip(path, path[1:])) and (not once or len({arcs[a][0] for a in path}) == len(path))
+    assert 8 < sum(x is not None for x in wanted.values())
+
+
 @pytest.mark.parametrize(("lengths", "caps", "slots"), [((46, 25, 24, 5), (10, 10, 10, 10), (5, 3, 2, 0)), ((40, 30, 20, 10), (0, 3, 10, 10), (0, 3, 5, 2))])
 def test_largest_remainder(spark, lengths, caps, slots):
     rows = [("A", f"RC{i + 1}", float(m), c) for i, (m, c) in enumerate(zip(lengths, caps, strict=True))]
@@ -221,3 +270,26 @@ def test_components_of_a_path_take_few_rounds(spark, monkeypatch):
     found = {r.node: r.component for r in network.weak_components(edges).collect()}
     assert found == {**dict.fromkeys(range(257), 0), 1000: 1000, 1001: 1000}
     assert sum(c == ["a", "b"] for c in made) - 1 <= 12
+
+
+def test_national_grid_there_and_back(spark):
+    """Within a millimetre over the zone; the datum shift moves places by some 200 m; zero shift at the map's own origin."""
+    rows = spark.createDataFrame([(float(lat), 105.0 + dlon) for lat in (8, 15.5, 21, 23.4) for dlon in (-3.0, -0.4, 0.0, 1.7, 3.0)], "lat double, lon double")
+    rows = rows.select("lat", "lon", scalar.national_grid(F.col("lat"), F.col("lon")).alias("n"), *(v.alias(n) for v, n in zip(scalar.metric_grid(F.col("lat"), F.col("lon")), ("gx", "gy"), strict=True)))
+    la, lo = scalar.metric_degrees(F.col("gx"), F.col("gy"))
+    rows = rows.select("lat", "lon", "n.x", "n.y", "gx", "gy", scalar.national_degrees(F.col("n.x"), F.col("n.y")).alias("w"), la.alias("lat3"), lo.alias("lon3"))
+    for r in rows.select("*", F.col("w.lat").alias("lat2"), F.col("w.lon").alias("lon2")).collect():
+        for a, b in ((r.lat2, r.lon2), (r.lat3, r.lon3)):
+            assert abs(a - r.lat) * 111_000 < 1e-3 and abs(b - r.lon) * 111_000 < 1e-3
+        assert 100 < math.hypot(r.x - r.gx, r.y - r.gy) < 300
+
+
+def test_lines(spark):
+    """A bent line with a repeated point: places, tangents that look past the bend, and a closed line."""
+    line = "array(named_struct('x', 0d, 'y', 0d), named_struct('x', 0d, 'y', 0d), named_struct('x', 10d, 'y', 0d), named_struct('x', 10d, 'y', 10d))"
+    closed = "array(named_struct('x', 0d, 'y', 0d), named_struct('x', 3d, 'y', 0d), named_struct('x', 0d, 'y', 0d))"
+    df = spark.range(1).select(F.expr(line).alias("a"), F.expr(closed).alias("c"))
+    at = lambda m: lines.point_at(F.col("a"), F.lit(m))
+    r = df.select(*(at(m).alias(f"p{i}") for i, m in enumerate((0.0, 4.0, 10.0, 15.0, 20.0, 21.0))), lines.tangent(F.col("a"), 12.0).alias("t"), lines.tangent(F.col("a"), 12.0, True).alias("i"), lines.tangent(F.col("c"), 6.0).alias("k"), lines.turn_angle(F.col("a"), F.col("a"), 5.0).alias("turn")).first()
+    assert [tuple(r[f"p{i}"]) for i in range(5)] == [(0, 0), (4, 0), (10, 0), (10, 5), (10, 10)] and r.p5 is None
+    assert tuple(r.t) == (10, 2) and tuple(r.i) == (2, 10) and tuple(r.k) == (3, 0) and abs(r.turn + 90) < 1e-9

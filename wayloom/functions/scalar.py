@@ -127,3 +127,105 @@ def metric_grid(lat: Column, lon: Column, meridian: float = 105.0, scale: float
         x = x + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         y = y + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return easting + scale * a * x, scale * a * y
+
+
+def let(value: Column, body) -> Column:
+    """body(value), computed once though body names it several times."""
+    return F.transform(F.array(value), body)[0]
+
+
+def metric_degrees(x: Column, y: Column, meridian: float = 105.0, scale: float = 0.9996, easting: float = 500_000.0) -> tuple[Column, Column]:
+    """Latitude and longitude of a place on the metric grid, the inverse of metric_grid (same ellipsoid, no datum shift)."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    e2 = f * (2 - f)
+    e = math.sqrt(e2)
+
+    def degrees(p: Column) -> Column:
+        xi, eta = p["xi"], p["eta"]
+        for j, c in enumerate(beta, 1):
+            xi = xi - c * F.sin(2 * j * p["xi"]) * F.cosh(2 * j * p["eta"])
+            eta = eta - c * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"])
+        return let(F.struct(xi.alias("xi"), eta.alias("eta")), latitude)
+
+    def latitude(p: Column) -> Column:
+        t0 = F.sin(p["xi"]) / F.sqrt(F.pow(F.sinh(p["eta"]), 2) + F.pow(F.cos(p["xi"]), 2))
+
+        def closer(t: Column, first: Column) -> Column:  # Newton's step on the tangent of the conformal latitude
+            s = F.sinh(e * F.atanh(e * t / F.sqrt(1 + t * t)))
+            return let(let(s, lambda s: t * F.sqrt(1 + s * s) - s * F.sqrt(1 + t * t)), lambda own: t + (first - own) / F.sqrt(1 + own * own) * (1 + (1 - e2) * t * t) / ((1 - e2) * F.sqrt(1 + t * t)))
+
+        tangent = let(t0, lambda first: let(let(closer(first, first), lambda t: closer(t, first)), lambda t: closer(t, first)))
+        return F.struct(F.degrees(F.atan(tangent)).alias("lat"), (meridian + F.degrees(F.atan2(F.sinh(p["eta"]), F.cos(p["xi"])))).alias("lon"))
+
+    found = let(F.struct(((x - easting) / (scale * a)).alias("eta"), (y / (scale * a)).alias("xi")), degrees)
+    return found["lat"], found["lon"]
+
+
+#: Shift of the national datum to WGS84 (metres, arc seconds, parts per million), position-vector convention.
+DATUM = (-191.90441429, -39.30318279, -111.45032835, -0.00928836, 0.01975479, -0.00427372, 0.252906278)
+
+
+def datum_shift(lat: Column, lon: Column, back: bool = False) -> Column:
+    """WGS84 degrees to the national datum by seven parameters (back: the other way), as a struct.
+
+    Heights are taken as zero on either ellipsoid, which loses a millimetre on the way back; so the way back is corrected
+    by what the way there makes of it.
+    """
+    tx, ty, tz, rx, ry, rz, ppm = DATUM
+    rx, ry, rz = (math.radians(r / 3600) for r in (rx, ry, rz))
+    m = 1 + ppm * 1e-6
+    a, f = 6378137.0, 1 / 298.257223563
+    e2 = f * (2 - f)
+    d = 1 + rx * rx + ry * ry + rz * rz
+
+    def cartesian(p: Column) -> Column:
+        phi, lam = F.radians(p["lat"]), F.radians(p["lon"])
+        v = a / F.sqrt(1 - e2 * F.pow(F.sin(phi), 2))
+        return F.struct((v * F.cos(phi) * F.cos(lam)).alias("x"), (v * F.cos(phi) * F.sin(lam)).alias("y"), (v * (1 - e2) * F.sin(phi)).alias("z"))
+
+    def moved(u: Column) -> Column:
+        x, y, z = u["x"], u["y"], u["z"]
+        return F.struct((tx + m * (x - rz * y + ry * z)).alias("x"), (ty + m * (rz * x + y - rx * z)).alias("y"), (tz + m * (-ry * x + rx * y + z)).alias("z"))
+
+    def moved_back(u: Column) -> Column:  # the exact inverse of the linear map
+        p, q, r = (u["x"] - tx) / m, (u["y"] - ty) / m, (u["z"] - tz) / m
+        along = (rx * p + ry * q + rz * r) / d
+        return F.struct(((p + rz * q - ry * r) / d + rx * along).alias("x"), ((q - rz * p + rx * r) / d + ry * along).alias("y"), ((r + ry * p - rx * q) / d + rz * along).alias("z"))
+
+    def degrees(u: Column) -> Column:
+        flat = F.hypot(u["x"], u["y"])
+        closer = lambda phi: F.atan2(u["z"] + e2 * a / F.sqrt(1 - e2 * F.pow(F.sin(phi), 2)) * F.sin(phi), flat)
+        phi = F.atan2(u["z"], flat * (1 - e2))
+        for _ in range(4):
+            phi = let(phi, closer)
+        return F.struct(F.degrees(phi).alias("lat"), F.degrees(F.atan2(u["y"], u["x"])).alias("lon"))
+
+    start = F.struct(lat.alias("lat"), lon.alias("lon"))
+    shifted = lambda p, way: let(let(let(p, cartesian), way), degrees)
+    if not back:
+        return shifted(start, moved_back)
+    pair = let(start, lambda p: let(shifted(p, moved), lambda g: F.struct(p.alias("p"), g.alias("g"), shifted(g, moved_back).alias("n"))))
+    return let(pair, lambda t: F.struct((t["g"]["lat"] + t["p"]["lat"] - t["n"]["lat"]).alias("lat"), (t["g"]["lon"] + t["p"]["lon"] - t["n"]["lon"]).alias("lon")))
+
+
+def national_grid(lat: Column, lon: Column) -> Column:
+    """WGS84 degrees to metres of the national grid (struct x, y): datum shift, then transverse Mercator."""
+
+    def grid(p: Column) -> Column:
+        x, y = metric_grid(p["lat"], p["lon"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return let(datum_shift(lat, lon), grid)
+
+
+def national_degrees(x: Column, y: Column) -> Column:
+    """Metres of the national grid to WGS84 degrees (struct lat, lon)."""
+
+    def place(p: Column) -> Column:
+        lat, lon = metric_degrees(p["x"], p["y"])
+        return F.struct(lat.alias("lat"), lon.alias("lon"))
+
+    return let(let(F.struct(x.alias("x"), y.alias("y")), place), lambda p: datum_shift(p["lat"], p["lon"], back=True))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import checkpoint
+from .lineage import checkpoint, stored
 
 # Tag keys in order of precedence, access values, and road classes of the rules.
 MODES = ("motorcycle", "motor_vehicle", "vehicle", "access")
@@ -151,6 +153,61 @@ def weak_components(edges: DataFrame) -> DataFrame:
     return labels.join(least, "to").select("node", "component")
 
 
+def anchored_paths(arcs: DataFrame, legal: DataFrame, problems: DataFrame, once: bool = False) -> DataFrame:
+    """The least-cost path of each problem from its origin through its anchors in order; (problem_id, cost, arc_ids).
+
+    arcs: arc_id, part_id, from_node, to_node, cost (above zero); legal: from_arc, to_arc; problems: problem_id, origin,
+    anchors (array of nodes, one at least, in the order they are passed). A part isn't used twice in a row; with once it
+    isn't used twice at all. Problems without a path have no row; of equal costs the least list of arcs counts.
+
+    A label is (problem, last arc, anchors passed) with its cost, path and parts. A round extends only the labels of the
+    round before and writes only those that stay: cheaper than every earlier label of the same arc and anchors (with
+    once: than every one whose parts are among its own) and than a finished path of the problem. A path ends with the
+    arc that reaches the last anchor, so rounds grow with the longest path in arcs.
+    """
+    table = arcs.select("arc_id", "part_id", "from_node", "to_node", F.col("cost").cast("double").alias("step_cost"))
+    table = stored(table)
+    after = stored(legal.join(table.select(F.col("arc_id").alias("to_arc"), "part_id", "to_node", "step_cost"), "to_arc").join(table.select(F.col("arc_id").alias("from_arc"), F.col("part_id").alias("last_part")), "from_arc").filter("part_id <> last_part").drop("last_part"))
+    passed = lambda done: done + (F.col("to_node") == F.get("anchors", done)).cast("int")
+    key = ["problem_id", "arc_id", "done"]
+    parts_of = (lambda old: F.array_append(old, F.col("part_id"))) if once else (lambda old: F.array(F.col("part_id")))
+    grown = problems.select("problem_id", "origin", "anchors").join(table, F.col("origin") == F.col("from_node")).select("problem_id", "anchors", "arc_id", passed(F.lit(0)).alias("done"), F.col("step_cost").alias("cost"), F.array("arc_id").alias("path"), F.array("part_id").alias("parts"))
+    fronts: list[DataFrame] = []
+    ended: list[DataFrame] = []
+    while True:
+        if once:
+            # a label stays unless another of its state is no dearer and used no other part; equal ones: the least path
+            rows = stored(grown)
+            worse = rows.alias("x").join(rows.alias("y"), key).filter("y.cost <= x.cost AND size(array_except(y.parts, x.parts)) = 0 AND (y.cost < x.cost OR size(y.parts) < size(x.parts) OR y.path < x.path)").select(*(F.col(f"x.{c}").alias(c) for c in (*key, "path"))).distinct()
+            best = rows.join(worse, [*key, "path"], "left_anti")
+            if fronts:
+                old = reduce(DataFrame.unionByName, fronts).select(*key, F.col("cost").alias("old_cost"), F.col("parts").alias("old_parts"))
+                beaten = best.join(old, key).filter("old_cost <= cost AND size(array_except(old_parts, parts)) = 0").select(*key, "path").distinct()
+                best = best.join(beaten, [*key, "path"], "left_anti")
+        else:
+            best = grown.groupBy(*key).agg(F.min_by(F.struct("anchors", "cost", "path", "parts"), F.struct("cost", "path")).alias("b")).select(*key, "b.*")
+            if fronts:
+                old = reduce(DataFrame.unionByName, fronts).groupBy(*key).agg(F.min("cost").alias("old_cost"))
+                best = best.join(old, key, "left").filter("old_cost IS NULL OR cost < old_cost").drop("old_cost")
+        if ended:
+            goal = reduce(DataFrame.unionByName, ended).groupBy("problem_id").agg(F.min("cost").alias("goal"))
+            best = best.join(goal, "problem_id", "left").filter("goal IS NULL OR cost <= goal").drop("goal")
+        front = stored(best)
+        if front.isEmpty():
+            break
+        fronts.append(front)
+        ended.append(front.filter(F.col("done") == F.size("anchors")))
+        open_ = front.filter(F.col("done") < F.size("anchors"))
+        steps = open_.withColumnRenamed("arc_id", "from_arc").join(after, "from_arc")
+        if once:
+            steps = steps.filter(~F.array_contains("parts", F.col("part_id")))
+        grown = steps.select("problem_id", "anchors", F.col("to_arc").alias("arc_id"), passed(F.col("done")).alias("done"), (F.col("cost") + F.col("step_cost")).alias("cost"), F.array_append("path", F.col("to_arc")).alias("path"), parts_of(F.col("parts")).alias("parts"))
+    if not ended:
+        return problems.select("problem_id", F.lit(0.0).alias("cost"), F.array().cast(f"array<{arcs.schema['arc_id'].dataType.simpleString()}>").alias("arc_ids")).limit(0)
+    whole = reduce(DataFrame.unionByName, ended)
+    return whole.groupBy("problem_id").agg(F.min_by(F.struct("cost", "path"), F.struct("cost", "path")).alias("b")).select("problem_id", "b.cost", F.col("b.path").alias("arc_ids"))
+
+
 def shortest_paths(legal: DataFrame, arcs: DataFrame, starts: DataFrame) -> DataFrame:
     """Least cost from each origin to every arc that legal turns reach; (origin, arc_id, cost, before).
 

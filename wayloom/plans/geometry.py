@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayloom.functions import scalar
 from wayloom.operators import geometry as g
+from wayloom.operators import lines
 
 from .registry import query
 from .views import table
@@ -141,22 +142,12 @@ def steps(spark, sf_dir):
     return rows.withColumn("step", F.sum("starts").over(order))
 
 
-@query(f"WITH {STEPS} SELECT route_id, CAST(step AS BIGINT) AS step, any_value(name) AS name, count(*) AS n_arcs, round(sum(m), 3) AS length_m FROM s GROUP BY route_id, step")
-def step_segmentation(spark, sf_dir):
-    return steps(spark, sf_dir).groupBy("route_id", "step").agg(F.any_value("name").alias("name"), F.count(F.lit(1)).alias("n_arcs"), F.round(F.sum("m"), 3).cast("double").alias("length_m"))
-
-
 @query(f"WITH {STEPS} SELECT route_id, sum(starts)::BIGINT AS n_runs, string_agg(CASE WHEN starts = 1 THEN name END, '>' ORDER BY pos) AS names FROM s GROUP BY route_id")
 def run_collapse(spark, sf_dir):
     shown = F.array_sort(F.collect_list(F.when(F.col("starts") == 1, F.struct("pos", "name"))))
     return steps(spark, sf_dir).groupBy("route_id").agg(F.sum("starts").alias("n_runs"), F.array_join(F.transform(shown, lambda x: x["name"]), ">").alias("names"))
 
 
-@query(f"WITH {STEPS} SELECT route_id, max(step)::BIGINT AS n_steps, round(coalesce(sum(m) FILTER (name = 'NO'), 0), 3) AS unnamed_m FROM s GROUP BY route_id")
-def instruction_summary(spark, sf_dir):
-    return steps(spark, sf_dir).groupBy("route_id").agg(F.max("step").alias("n_steps"), F.round(F.sum(F.when(F.col("name") == "NO", F.col("m").cast("double")).otherwise(0.0)), 3).alias("unnamed_m"))
-
-
 @query(f"""WITH {STEPS} SELECT route_id, bool_and(m >= 0) AND count(*) = max(pos) AS complete, round(sum(m), 3) AS length_m FROM s GROUP BY route_id""")
 def arc_partition_check(spark, sf_dir):
     by_step = steps(spark, sf_dir).groupBy("route_id", "step").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last"), F.sum("m").alias("m"), F.min("m").alias("least"))
@@ -188,12 +179,6 @@ def reverse_by_direction(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.get(e, F.lit(0)).cast("double"), 6).alias("first"))
 
 
-@query("SELECT vec_id, round(degrees(atan2(embedding[1]::DOUBLE * embedding[4]::DOUBLE - embedding[2]::DOUBLE * embedding[3]::DOUBLE, embedding[1]::DOUBLE * embedding[3]::DOUBLE + embedding[2]::DOUBLE * embedding[4]::DOUBLE)), 5) AS angle FROM embeddings")
-def turn_angle(spark, sf_dir):
-    a, b, c, d = (F.get("embedding", F.lit(i)).cast("double") for i in range(4))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.degrees(F.atan2(a * d - b * c, a * c + b * d)), 5).alias("angle"))
-
-
 @query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0) SELECT q.vec_id AS a, e.vec_id AS b, round(sqrt(list_sum([pow(x[1]::DOUBLE - x[2]::DOUBLE, 2) FOR x IN list_zip(q.embedding, e.embedding)])), 4) AS distance FROM q, embeddings e WHERE e.vec_id <> q.vec_id AND e.label = q.label""")
 def feature_distance(spark, sf_dir):
     """Every fiftieth vector is a query, against all vectors of its label."""
@@ -204,12 +189,6 @@ def feature_distance(spark, sf_dir):
     return q.join(v, "label").filter("a <> vec_id").select("a", F.col("vec_id").alias("b"), F.round(d, 4).alias("distance"))
 
 
-@query("""SELECT CAST(floor(x / 100) AS BIGINT) AS cx, CAST(floor(y / 100) AS BIGINT) AS cy, count(*) AS n, count(*) > 20 AS split FROM (SELECT (c_custkey * 7919 % 10007) / 10.0 AS x, (c_custkey * 104729 % 10009) / 10.0 AS y FROM customer) GROUP BY ALL""")
-def grid_tiles(spark, sf_dir):
-    n = F.count(F.lit(1))
-    return nodes(spark, sf_dir).groupBy(g.cell(F.col("x"), 100.0).alias("cx"), g.cell(F.col("y"), 100.0).alias("cy")).agg(n.alias("n"), (n > 20).alias("split"))
-
-
 @query(f"WITH {NODES} SELECT node_id % 10 AS tile, round(floor(min(x) / 1e-6) * 1e-6 - 1e-6, 5) AS west, round(ceil(max(x) / 1e-6) * 1e-6 + 1e-6, 5) AS east FROM nodes GROUP BY 1")
 def outward_bbox(spark, sf_dir):
     rows = nodes(spark, sf_dir).groupBy((F.col("node_id") % 10).alias("tile")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -217,15 +196,6 @@ def outward_bbox(spark, sf_dir):
     return rows.select("tile", F.round(west, 5).alias("west"), F.round(east, 5).alias("east"))
 
 
-@query()
-def crs_transform(spark, sf_dir):
-    """Transverse Mercator as columns; checked against known points in tests."""
-    from .views import points
-
-    x, y = scalar.metric_grid(F.col("lat"), F.col("lon"))
-    return points(spark, sf_dir).select("trip_id", "source_row", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
-
-
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text FROM pages")
 def error_text_plain(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", scalar.text_without_tags(F.col("html")).alias("text"))
@@ -296,3 +266,90 @@ def missing_part_shift(spark, sf_dir):
     """Only the imputed share (here 0.3) of a feature is shifted, then clamped."""
     v = F.col("s_nationkey").cast("double")
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), 0.7 * v + 0.3 * (v + 4))), 6).alias("shifted"))
+
+
+LINES = """pts AS (SELECT vec_id, label, t.i, embedding[2 * t.i + 1]::DOUBLE AS x, embedding[2 * t.i + 2]::DOUBLE AS y FROM embeddings, range(32) t(i)),
+seg AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)) AS m FROM pts WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+fore AS (SELECT *, sum(m) OVER (PARTITION BY vec_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop FROM seg WHERE m IS NOT NULL),
+back AS (SELECT *, sum(m) OVER (PARTITION BY vec_id ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS stop FROM seg WHERE m IS NOT NULL),
+t_out AS (SELECT f.vec_id, f.x + (1.2 - (f.stop - f.m)) / f.m * (f.x1 - f.x) - p.x AS tx, f.y + (1.2 - (f.stop - f.m)) / f.m * (f.y1 - f.y) - p.y AS ty FROM fore f JOIN pts p ON p.vec_id = f.vec_id AND p.i = 0 WHERE 1.2 > f.stop - f.m AND 1.2 <= f.stop),
+t_in AS (SELECT b.vec_id, p.x - (b.x1 + (1.2 - (b.stop - b.m)) / b.m * (b.x - b.x1)) AS tx, p.y - (b.y1 + (1.2 - (b.stop - b.m)) / b.m * (b.y - b.y1)) AS ty FROM back b JOIN pts p ON p.vec_id = b.vec_id AND p.i = 31 WHERE 1.2 > b.stop - b.m AND 1.2 <= b.stop),
+arc AS (SELECT e.vec_id, label AS route_id, row_number() OVER (PARTITION BY label ORDER BY e.vec_id) AS pos, lag(e.vec_id) OVER (PARTITION BY label ORDER BY e.vec_id) AS before, e.vec_id % 12 AS from_node, (e.vec_id * 5 + 1) % 12 AS to_node, CASE WHEN e.vec_id % 11 = 0 THEN 'none' ELSE 'road' || e.vec_id % 3 END AS name, e.vec_id % 11 = 0 AS unnamed, e.vec_id % 7 = 0 AS round, l.m FROM embeddings e JOIN (SELECT vec_id, sum(m) AS m FROM fore GROUP BY vec_id) l USING (vec_id)),
+ang AS (SELECT arc.*, degrees(atan2(a.tx * b.ty - a.ty * b.tx, a.tx * b.tx + a.ty * b.ty)) AS angle FROM arc LEFT JOIN t_in a ON a.vec_id = arc.before LEFT JOIN t_out b ON b.vec_id = arc.vec_id)"""
+#: How far along a line its direction is looked up here (12 m on roads).
+AHEAD = 1.2
+
+
+def line_of(embedding: str = "embedding"):
+    """A vector of 64 numbers as a line of 32 points."""
+    return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(F.get(embedding, i * 2).cast("double").alias("x"), F.get(embedding, i * 2 + 1).cast("double").alias("y")))
+
+
+def line_arcs(spark, sf_dir):
+    """Vectors as arcs: those of a label, in order, are a route over twelve nodes, with named roads and roundabouts."""
+    k = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("route_id"), k.alias("pos"), line_of().alias("line"), F.when(k % 11 == 0, "none").otherwise(F.concat(F.lit("road"), (k % 3).cast("string"))).alias("road_name"), (k % 11 == 0).alias("unnamed"), (k % 7 == 0).alias("roundabout"), (k % 12).alias("from_node"), ((k * 5 + 1) % 12).alias("to_node"))
+    return rows.withColumn("road_key", F.col("road_name"))
+
+
+@query(f"""WITH {LINES}, ends AS (SELECT vec_id, max(stop) AS len FROM fore GROUP BY vec_id), asked AS (SELECT vec_id, unnest(range(0, floor(len / 0.5)::BIGINT + 1)) * 0.5::DOUBLE AS measure FROM ends),
+found AS (SELECT asked.vec_id, measure, x, y, x1, y1, (measure - (stop - m)) / m AS f, row_number() OVER (PARTITION BY asked.vec_id, measure ORDER BY i) AS r FROM asked JOIN fore ON fore.vec_id = asked.vec_id AND measure >= stop - m - 1e-12 AND measure <= stop)
+SELECT vec_id, measure, round(x + f * (x1 - x), 6) AS x, round(y + f * (y1 - y), 6) AS y FROM found WHERE r = 1""")
+def point_at_measure(spark, sf_dir):
+    """Coordinates every half unit along each line."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", line_of().alias("line")).withColumn("m", lines.measures(F.col("line")))
+    asked = rows.select("vec_id", "line", F.explode(F.sequence(F.lit(0), F.floor(F.element_at("m", -1) / 0.5).cast("int"))).alias("k")).withColumn("measure", F.col("k") * 0.5)
+    return asked.withColumn("p", lines.point_at(F.col("line"), F.col("measure"))).select("vec_id", "measure", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+@query(f"WITH {LINES} SELECT vec_id, before, round(angle, 5) AS angle FROM ang WHERE before IS NOT NULL")
+def turn_angle(spark, sf_dir):
+    """Turn from each line of a route to the next, by directions looked up along both."""
+    arcs = line_arcs(spark, sf_dir)
+    order = Window.partitionBy("route_id").orderBy("pos")
+    rows = arcs.withColumns({"before": F.lag("pos").over(order), "line0": F.lag("line").over(order)}).filter("before is not null")
+    return rows.select(F.col("pos").alias("vec_id"), "before", F.round(lines.turn_angle(F.col("line0"), F.col("line"), AHEAD), 5).alias("angle"))
+
+
+STEP_ROWS = f"""{LINES}, ways AS (SELECT from_node, list(to_node) AS ways FROM arc GROUP BY from_node),
+p AS (SELECT ang.*, lag(name) OVER w AS name0, lag(round) OVER w AS round0, len([x FOR x IN ways IF x <> lag(ang.from_node) OVER w]) > 1 AS junction FROM ang JOIN ways USING (from_node) WINDOW w AS (PARTITION BY route_id ORDER BY pos)),
+q AS (SELECT *, before IS NULL AS first, before IS NULL OR name <> name0 OR coalesce(junction, false) OR round0 <> round OR abs(angle) >= 45 AS split FROM p), s AS (SELECT *, sum(split::INT) OVER (PARTITION BY route_id ORDER BY pos) AS step FROM q),
+k AS (SELECT *, CASE WHEN first THEN 'start' WHEN round AND NOT round0 THEN 'roundabout_enter' WHEN NOT round AND round0 THEN 'roundabout_exit' WHEN round THEN 'roundabout_continue' WHEN abs(angle) <= 15 THEN 'straight' ELSE CASE WHEN abs(angle) <= 45 THEN 'slight_' WHEN abs(angle) < 135 THEN '' WHEN abs(angle) < 165 THEN 'sharp_' ELSE 'uturn' END || CASE WHEN abs(angle) >= 165 THEN '' WHEN angle > 0 THEN 'left' ELSE 'right' END END AS man FROM s),
+st AS (SELECT route_id, step, min_by(man, pos) AS maneuver, min_by(name, pos) AS road_name, sum(m) AS length_m, count(*) AS n_arcs,
+  min_by(array_to_string([x FOR x IN [CASE WHEN unnamed THEN 'unnamed_road' END, CASE WHEN first THEN 'start_unverified' END, CASE WHEN man LIKE 'roundabout%' THEN 'roundabout_review' END, CASE WHEN NOT first AND junction THEN 'junction_review' END, CASE WHEN man = 'uturn' THEN 'uturn_review' END, CASE WHEN man LIKE 'sharp%' THEN 'sharp_turn_review' END] IF x IS NOT NULL], ';'), pos) AS flags FROM k GROUP BY route_id, step),
+every AS (SELECT route_id, step, maneuver, road_name, length_m, n_arcs, flags FROM st UNION ALL SELECT route_id, max(step) + 1, 'arrive', max_by(name, pos), 0, 0, 'end_unverified' FROM k GROUP BY route_id)"""
+
+
+@query(f"WITH {STEP_ROWS} SELECT route_id, step::INT AS step_no, maneuver, road_name, round(length_m, 5) AS length_m, n_arcs::BIGINT AS n_arcs, flags FROM every")
+def step_segmentation(spark, sf_dir):
+    """Steps of routes by road, junction, roundabout and turn, with flags and an arrive row."""
+    arcs = line_arcs(spark, sf_dir)
+    steps = lines.route_steps(arcs, arcs, AHEAD)
+    return steps.select("route_id", "step_no", "maneuver", "road_name", F.round("length_m", 5).alias("length_m"), "n_arcs", F.array_join("flags", ";").alias("flags"))
+
+
+@query(f"WITH {STEP_ROWS} SELECT route_id, count(*) AS n_steps, count(*) FILTER (maneuver NOT IN ('start', 'arrive', 'straight')) AS n_turns, count(*) FILTER (flags <> '') AS n_review, count(*) FILTER (contains(flags, 'unnamed_road')) AS n_unnamed, count(*) FILTER (starts_with(maneuver, 'roundabout')) AS n_roundabout, round(sum(length_m), 4) AS length_m FROM every GROUP BY route_id")
+def instruction_summary(spark, sf_dir):
+    """Steps, turns, steps to review, unnamed roads, roundabouts and length of each route."""
+    arcs = line_arcs(spark, sf_dir)
+    steps = lines.route_steps(arcs, arcs, AHEAD)
+    n = F.count_if
+    return steps.groupBy("route_id").agg(F.count(F.lit(1)).alias("n_steps"), n(~F.col("maneuver").isin("start", "arrive", "straight")).alias("n_turns"), n(F.size("flags") > 0).alias("n_review"), n(F.array_contains("flags", "unnamed_road")).alias("n_unnamed"), n(F.col("maneuver").startswith("roundabout")).alias("n_roundabout"), F.round(F.sum("length_m"), 4).alias("length_m"))
+
+
+@query(f"""WITH {NODES}, c AS (SELECT *, {", ".join(f"floor(x / {400 / 2**d}) AS x{d}, floor(y / {400 / 2**d}) AS y{d}" for d in range(4))} FROM nodes),
+n AS (SELECT *, {", ".join(f"count(*) OVER (PARTITION BY x{d}, y{d}) AS n{d}" for d in range(4))} FROM c), l AS (SELECT *, CASE WHEN n0 <= 20 THEN 0 WHEN n1 <= 20 THEN 1 WHEN n2 <= 20 THEN 2 ELSE 3 END AS depth FROM n)
+SELECT depth, CASE depth WHEN 0 THEN x0 WHEN 1 THEN x1 WHEN 2 THEN x2 ELSE x3 END::BIGINT AS cx, CASE depth WHEN 0 THEN y0 WHEN 1 THEN y1 WHEN 2 THEN y2 ELSE y3 END::BIGINT AS cy, count(*) AS n FROM l GROUP BY ALL""")
+def grid_tiles(spark, sf_dir):
+    """Cells of 400 m, cut in four down to 50 m while they hold more than twenty nodes."""
+    return lines.quadtree(nodes(spark, sf_dir), 400.0, 50.0, 20).groupBy("depth", "cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def crs_transform(spark, sf_dir):
+    """Degrees to the national grid with its datum shift, and back; there and back is checked in tests to a millimetre."""
+    from .views import points
+
+    rows = points(spark, sf_dir).select("trip_id", "source_row", scalar.national_grid(F.col("lat"), F.col("lon")).alias("g"))
+    rows = rows.withColumn("w", scalar.national_degrees(F.col("g.x"), F.col("g.y")))
+    return rows.select("trip_id", "source_row", F.round("g.x", 3).alias("x"), F.round("g.y", 3).alias("y"), F.round("w.lat", 7).alias("lat"), F.round("w.lon", 7).alias("lon"))

@@ -258,10 +258,18 @@ def name_resolution_join(spark, sf_dir):
 
 @query()
 def batch_shortest_paths(spark, sf_dir):
-    """Iterative: least-cost paths over legal turns to all arcs, from every arc whose id is divisible by 50; checked by brute force in tests."""
-    from wayloom.operators.lineage import checkpoint
+    """Iterative: from every tenth node the least-cost path through two anchors over legal turns; checked by brute force in tests.
 
-    a, r = graph(spark, sf_dir)
-    legal = checkpoint(n.successors(a, r))
-    starts = a.filter("arc_id % 50 = 0").select(F.col("arc_id").alias("origin"), "arc_id")
-    return n.shortest_paths(legal, checkpoint(a), starts)
+    Customers are arcs of cost one to nine, thirty from each node; three arcs in a row of ids are one part.
+    """
+    from wayloom.operators.lineage import stored
+
+    k = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer")
+    m = customers.agg(F.greatest(F.floor(F.count(F.lit(1)) / 30), F.lit(1)).alias("m")).scalar()
+    arcs = customers.select(k.alias("arc_id"), m.alias("m")).select("arc_id", "m", F.floor(F.col("arc_id") / 3).alias("part_id"), (F.col("arc_id") % F.col("m")).alias("from_node"), ((F.col("arc_id") * 7 + 31 * F.floor(F.col("arc_id") / F.col("m")) + 3) % F.col("m")).alias("to_node"), (F.col("arc_id") % 9 + 1).cast("double").alias("cost"))
+    arcs = stored(arcs)
+    o = F.col("from_node")
+    problems = stored(arcs.select("from_node", "m").distinct().filter(o % 10 == 0).select(o.alias("problem_id"), o.alias("origin"), F.array((o * 5 + 11) % F.col("m"), (o * 3 + 29) % F.col("m")).alias("anchors")))
+    found = n.anchored_paths(arcs, stored(n.successors(arcs, graph(spark, sf_dir)[1])), problems)
+    return problems.join(found, "problem_id", "left").select("problem_id", F.round("cost", 3).alias("cost"), F.array_join(F.col("arc_ids").cast("array<string>"), ">").alias("arcs"))

@@ -177,16 +177,6 @@ def street_label(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.when(F.size(names) == 1, names[0]).otherwise(F.concat(names[0], F.lit(" -> "), F.element_at(names, -1))).alias("label"))
 
 
-@query("""WITH s AS (SELECT l_suppkey AS route_id, l_orderkey, l_linenumber, l_partkey, l_quantity::DOUBLE AS m, sum(l_quantity::DOUBLE) OVER w AS stop FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING))
-SELECT route_id, q.at::BIGINT AS at, l_partkey AS part_id, round((q.at - (stop - m)) / m, 7) AS fraction FROM s JOIN (SELECT unnest([100, 500, 1000]) AS at) q ON q.at >= stop - m AND q.at < stop""")
-def point_at_measure(spark, sf_dir):
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
-    m = F.col("l_quantity").cast("double")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("route_id"), F.col("l_partkey").alias("part_id"), m.alias("m"), F.sum(m).over(order).alias("stop"))
-    asked = F.filter(F.array(*(F.lit(x).cast("long") for x in (100, 500, 1000))), lambda at: (at >= F.col("stop") - F.col("m")) & (at < F.col("stop")))
-    return rows.select("route_id", "part_id", "m", "stop", F.explode(asked).alias("at")).select("route_id", "at", "part_id", F.round((F.col("at") - (F.col("stop") - F.col("m"))) / F.col("m"), 7).alias("fraction"))
-
-
 @query(f"""WITH {SETS}, x AS (SELECT s.sample_id, s.route_id, t.q, t.v - coalesce(o.length_m, 0) AS m FROM sets s JOIN setdense t USING (sample_id) LEFT JOIN vec o ON o.route_id = s.route_id AND o.zone = t.zone AND o.rc = t.rc),
 l AS (SELECT sample_id, route_id, 0.5 * sum(abs(q - m / w)) AS d FROM (SELECT *, sum(m) OVER (PARTITION BY sample_id, route_id) AS w FROM x) WHERE w > 0 GROUP BY ALL)
 SELECT sample_id, route_id, round(d - value, 9) AS change FROM l JOIN scores USING (sample_id)""")
