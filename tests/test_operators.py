@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayloom.functions import scalar
-from wayloom.operators import composition, geometry, kinematics, lines, network, sets
+from wayloom.operators import composition, geometry, kinematics, lines, network, selection, sets
 from wayloom.operators.lineage import checkpoint
 from wayloom.sources import files
 
@@ -158,98 +158,15 @@ def test_sets_are_uniform(spark):
 
 def test_greedy_against_brute_force(spark):
     cells = [("A", "RC1", 5.0), ("A", "RC2", 3.0), ("B", "RC1", 2.0)]
-    network_ = spark.createDataFrame([(z, r, q / 10) for z, r, q in cells], "zone string, rc string, q double")
-    lengths = {1: (9, 0, 1), 2: (0, 8, 1), 3: (4, 4, 4), 4: (1, 1, 6)}
-    v = spark.createDataFrame([(i, z, r, float(m)) for i, row in lengths.items() for (z, r, _), m in zip(cells, row, strict=True) if m], "route_id long, zone string, rc string, length_m double")
-    found = sets.greedy_gap(v, network_, spark.createDataFrame([(0, i) for i in lengths], "problem_id long, route_id long"), 3, checkpoint).orderBy("round").collect()
-    chosen = []
-    for r in found:
-        d = {}
-        for i in set(lengths) - set(chosen):
-            total = [sum(lengths[j][c] for j in [*chosen, i]) for c in range(3)]
-            d[i] = 0.5 * sum(abs(q / 10 - t / sum(total)) for (_, _, q), t in zip(cells, total, strict=True))
-        best = min(d, key=lambda i: (round(d[i], 10), i))
-        assert r.route_id == best and r.d == pytest.approx(d[best])
-        chosen.append(best)
-
-
-def test_coverage_greedy(spark):
-    members = spark.createDataFrame([(1, 1, 5.0), (1, 2, 5.0), (2, 2, 5.0), (2, 3, 4.0), (3, 4, 6.0)], "route_id long, part_id long, length_m double")
-    assert [(r.route_id, r.gain_m) for r in sets.greedy_coverage(members, 3, checkpoint).orderBy("round").collect()] == [(1, 10.0), (3, 6.0), (2, 4.0)]
-
-
-def test_overlay_and_containment(spark):
-    square = spark.createDataFrame([(1, [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)])], "polygon_id int, ring array<struct<x:double,y:double>>")
-    edges = geometry.polygon_edges(square)
-    line = spark.createDataFrame([(1, -5.0, 5.0, 15.0, 5.0), (2, 2.0, 1.0, 2.0, 4.0)], "segment_id long, ax double, ay double, bx double, by double")
-    out = {(r.segment_id, r.polygon_id): r.length_m for r in geometry.overlay_length(line, edges, 4.0).collect()}
-    assert out == {(1, 1): pytest.approx(10), (1, None): pytest.approx(10), (2, 1): pytest.approx(3)}
-
-
-def matched(spark, points, candidates):
-    """points: (trip, row, known route, gps valid, interval valid, gps_m, x, y); candidates: (trip, row, segment, distance, progress, dx, dy)."""
-    p = spark.createDataFrame([(t, i, k, g, v, 1.0, m, x, y) for t, i, k, g, v, m, x, y in points], "trip_id string, source_row long, known_route boolean, gps_valid boolean, interval_valid boolean, interval_s double, gps_m double, x double, y double")
-    c = spark.createDataFrame(candidates, "trip_id string, source_row long, segment_id long, distance double, progress double, dx double, dy double")
-    return {(r.trip_id, r.source_row): (r.status, r.segment_id) for r in geometry.match_trips(p, c).collect()}
-
-
-def test_matching_keeps_progress(spark):
-    points = [("t", i, True, True, i > 1, 10.0, 10.0 * i, 0.0) for i in (1, 2, 3)]
-    candidates = [("t", 1, 1, 1.0, 10.0, 1.0, 0.0), ("t", 2, 1, 1.0, 20.0, 1.0, 0.0), ("t", 2, 9, 0.5, 900.0, 1.0, 0.0), ("t", 3, 1, 1.0, 30.0, 1.0, 0.0)]
-    assert matched(spark, points, candidates) == {("t", i): ("matched", 1) for i in (1, 2, 3)}
-
-
-def test_matching_outcomes(spark):
-    """Heading, routes, gaps, ambiguity by a candidate that is nearer but cost more, the cap of candidates."""
-    points = [("a", 1, True, True, False, 0.0, 0.0, 0.0), ("a", 2, True, True, True, 20.0, 20.0, 0.0), ("a", 3, True, True, True, 20.0, 40.0, 0.0), ("a", 4, True, False, True, 0.0, 41.0, 0.0), ("a", 5, True, True, True, 0.0, 42.0, 0.0), ("a", 6, True, True, True, 0.0, 42.0, 0.0)]
-    points += [("b", 1, False, True, False, 0.0, 0.0, 0.0), ("c", 1, True, True, False, 0.0, 0.0, 0.0), ("c", 2, True, True, True, 100.0, 0.0, 0.0), ("d", 1, True, True, False, 0.0, 0.0, 0.0), ("e", 1, True, True, False, 0.0, 0.0, 0.0), ("e", 2, True, True, True, 0.0, 0.0, 0.0)]
-    candidates = [("a", 1, 1, 1.0, 0.0, 1.0, 0.0), ("a", 2, 2, 1.0, 20.0, -1.0, 0.0), ("a", 3, 3, 1.0, 40.0, 1.0, 0.0), ("a", 5, 5, 1.0, 42.0, 1.0, 0.0), ("a", 6, 6, 41.0, 42.0, 1.0, 0.0), ("b", 1, 1, 1.0, 0.0, 1.0, 0.0)]
-    candidates += [("c", 1, 1, 1.0, 0.0, 1.0, 0.0), ("c", 2, 2, 4.0, 100.0, 1.0, 0.0), ("c", 2, 3, 0.1, 0.0, 1.0, 0.0)]
-    candidates += [("d", 1, i, 1.0, 0.0, 1.0, 0.0) for i in range(13)] + [("e", 1, 1, 1.0, 500.0, 1.0, 0.0), ("e", 2, 1, 1.0, 300.0, 1.0, 0.0)]
-    assert matched(spark, points, candidates) == {
-        ("a", 1): ("matched", 1), ("a", 2): ("opposite_direction", None), ("a", 3): ("matched", 3), ("a", 4): ("unknown_bad_gps", None), ("a", 5): ("matched", 5), ("a", 6): ("off_route", None),
-        ("b", 1): ("unknown_route", None), ("c", 1): ("matched", 1), ("c", 2): ("ambiguous", 2), ("d", 1): ("ambiguous", 0), ("e", 1): ("matched", 1), ("e", 2): ("continuity_unresolved", None),
-    }
-
-
-def test_scalars(spark):
-    one = spark.range(1)
-    x, y = scalar.metric_grid(F.lit(0.0), F.lit(105.0))
-    assert tuple(one.select(x, y).first()) == pytest.approx((500_000, 0), abs=1e-6)
-    a, b = one.select(scalar.metric_grid(F.lit(21.0), F.lit(105.8))[0], scalar.metric_grid(F.lit(21.0), F.lit(105.8))[1]).first()
-    c, d = one.select(scalar.metric_grid(F.lit(21.001), F.lit(105.8))[0], scalar.metric_grid(F.lit(21.001), F.lit(105.8))[1]).first()
-    assert math.hypot(c - a, d - b) == pytest.approx(110.7, abs=0.2)
-    times = spark.createDataFrame([("2026-10-06T08:00:00+07:00",), ("2026-10-06T08:00:00",), ("2026-10-06T01:00:00Z",)], "t string")
-    got = [r[0] for r in times.select(scalar.parse_time_strict(F.col("t"))).collect()]
-    assert got[1] is None and got[0] == got[2]
-    names = [one.select(scalar.maneuver(F.lit(v))).first()[0] for v in (15, 30, 90, -150, 179)]
-    assert names == ["straight", "slight_left", "left", "sharp_right", "uturn"]
-    assert all(p < q for p, q in pairwise([0, 1, 2]))
-
-
-def test_files(spark, tmp_path):
-    path = tmp_path / "t.csv"
-    path.write_text("﻿a,b,b\n1,2,3\n4,\"x, y\",5\n6,7\n8,9,10,11\n")
-    rows, issues = files.scan_csv(spark, str(path), ["a", "z"])
-    assert issues == ["duplicate_header:b", "missing_column:z"]
-    assert sorted((r.a, r.b, tuple(r.flags)) for r in rows.collect()) == [("1", "2", ()), ("4", "x, y", ()), ("6", "7", ("short_csv_row",)), ("8", "9", ("extra_csv_fields",))]
-    df = spark.createDataFrame([(1, "=x", [1])], "id long, t string, l array<int>")
-    files.write_csv(df, str(tmp_path / "out"), ["t", "l"], safe=True)
-    assert tuple(spark.read.csv(str(tmp_path / "out"), header=True, escape="\\").first()) == ("'=x", "[1]")
-    files.snapshot(df, str(tmp_path / "snap"), "f")
-    assert files.snapshot(df.limit(0), str(tmp_path / "snap"), "f").count() == 1
-    with pytest.raises(ValueError, match="test data"):
-        files.refuse_test_data(df.withColumn("is_test_data", F.lit("true")))
-
-
-def test_swaps_against_brute_force(spark):
-    cells = [("A", "RC1", 5.0), ("A", "RC2", 3.0), ("B", "RC1", 2.0)]
-    network_ = spark.createDataFrame([(z, r, q / 10) for z, r, q in cells], "zone string, rc string, q double")
     lengths = {1: (9, 0, 1), 2: (0, 8, 1), 3: (4, 4, 4), 4: (1, 1, 6), 5: (5, 3, 2), 6: (7, 1, 0)}
-    v = spark.createDataFrame([(i, z, r, float(m)) for i, row in lengths.items() for (z, r, _), m in zip(cells, row, strict=True) if m], "route_id long, zone string, rc string, length_m double")
-    pool = spark.createDataFrame([(i, "x" if i < 5 else "y") for i in lengths], "route_id long, bucket string")
+    schema = "scenario string, route_id long, bucket string, stratum string, eligible boolean, v array<double>, p array<double>, bins array<string>, unique_m double"
+    pool = spark.createDataFrame([("x", i, "x" if i < 5 else "y", "s", True, [float(m) for m in row], [0.0] * 3, [], 1.0) for i, row in lengths.items()], schema)
     chosen = [2, 4, 6]
-    found = sets.swap_improve(v, network_, spark.createDataFrame([(0, i) for i in chosen], "problem_id long, route_id long"), pool, checkpoint).orderBy("round").collect()
+    problems, members = spark.createDataFrame([(0, "x")], "problem_id long, scenario string"), spark.createDataFrame([(0, i) for i in chosen], "problem_id long, route_id long")
+    rules = selection.Rules((("x", 2), ("y", 1)), diversity=0.0, domain_worse=9.0)  # no guard binds
+    scenarios, parts = spark.createDataFrame([("x", 0.5)], "scenario string, fraction double"), spark.createDataFrame([], "route_id long, part_id long, length_m double")
+    network_ = selection.Network(tuple(q for *_, q in cells), tuple(z for z, *_ in cells))
+    found = selection.swaps(problems, members, pool, parts, scenarios, rules, network_)[1].orderBy("round").collect()
 
     def gap(ids):
         total = [sum(lengths[j][k] for j in ids) for k in range(3)]

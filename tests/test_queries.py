@@ -12,13 +12,17 @@ def con():
     return connect(SF)
 
 
+#: Ten suppliers can't fill the quota of a set, so no start is completed and no whole set is there to swap in.
+EMPTY_HERE = ("history_flatten", "swap_improve")
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     df = catalog.QUERIES[name](spark, SF)
     if name in catalog.ORACLE_SQL:
         assert mismatch(df, con, catalog.ORACLE_SQL[name]) is None
     else:
-        assert df.columns and df.count() >= 0
+        assert df.columns and (df.count() > 0 or name in EMPTY_HERE)
 
 
 def test_entry(spark):

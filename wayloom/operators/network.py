@@ -100,6 +100,33 @@ def severity(status: Column) -> Column:
     return F.element_at(F.create_map(*(x for k, v in SEVERITY.items() for x in (F.lit(k), F.lit(v)))), status)
 
 
+# Tag keys by mode, and the turn values that the rules know.
+RESTRICTION_KEYS = ("restriction:motorcycle", "restriction:motor_vehicle", "restriction:vehicle", "restriction")
+EXCEPTED = ("motorcycle", "motor_vehicle", "vehicle")
+HOUR_KEYS = ("day_on", "day_off", "hour_on", "hour_off")
+TURN_VALUES = ("no_left_turn", "no_right_turn", "no_straight_on", "no_u_turn", "no_entry", "no_exit", "only_left_turn", "only_right_turn", "only_straight_on", "only_u_turn")
+
+
+def restriction_spec(tags: Column, members: Column) -> Column:
+    """struct(status, reason, value, via_node) of a relation by its tags (map) and members (array of role, type, ref).
+
+    Not applicable: no restriction, this mode excepted, or a value for other modes only. To be reviewed: conditions and
+    hours, unknown values or missing roles, a via that isn't one node. What is left is a candidate rule at its node.
+    """
+    tokens = F.transform(F.split(F.coalesce(tags["except"], F.lit("")), ";"), lambda x: F.trim(x))
+    conditional = F.exists(F.map_keys(tags), lambda x: (x.startswith("restriction") & x.endswith(":conditional")) | x.isin(*HOUR_KEYS))
+    value = F.coalesce(*(tags[x] for x in RESTRICTION_KEYS))
+    ways = lambda role: F.filter(members, lambda m: (m["role"] == role) & (m["type"] == "way"))
+    via = F.filter(members, lambda m: m["role"] == "via")
+    malformed = (F.size(ways("from")) == 0) | (F.size(ways("to")) == 0) | (F.size(via) == 0) | ~value.isin(*TURN_VALUES)
+    one_node = (F.size(via) == 1) & (via[0]["type"] == "node")
+    reason = F.when(~tags["type"].eqNullSafe(F.lit("restriction")), "not_a_restriction").when(F.arrays_overlap(tokens, F.array(*map(F.lit, EXCEPTED))), "excepted_mode").when(conditional, "conditional_not_evaluated")
+    reason = reason.when(value.isNull(), "for_another_mode").when(malformed, "unsupported_or_malformed").when(~one_node, "via_way").otherwise("via_node")
+    status = lambda r: F.when(r.isin("not_a_restriction", "excepted_mode", "for_another_mode"), "not_applicable").when(r == "via_node", "candidate").otherwise("review_required")
+    told = lambda r: F.when(r.isin("unsupported_or_malformed", "via_way", "via_node"), value)
+    return F.transform(F.array(reason), lambda r: F.struct(status(r).alias("status"), r.alias("reason"), told(r).alias("value"), F.when(r == "via_node", F.get(via, F.lit(0))["ref"]).alias("via_node")))[0]
+
+
 def split_ways(refs: DataFrame) -> DataFrame:
     """Segments of ways, cut at inner cut nodes. refs: way_id, pos, node_id, cut. One row a segment: way_id, start_index, end_index, from_node, to_node."""
     order = Window.partitionBy("way_id").orderBy("pos")

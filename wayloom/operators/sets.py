@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import count
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .composition import CELL, gap, unique_parts
+from .lineage import stored
 
 PRIME = 2147483647
 
@@ -33,6 +34,50 @@ def sampled_sets(candidates: DataFrame, n_sets: int, quota: DataFrame, seed: int
     return draws.withColumn("r", rank).filter("r <= slots").select("sample_id", "bucket", "route_id")
 
 
+def overlap_within(members: DataFrame, parts: DataFrame, *by: str) -> DataFrame:
+    """(by, left, right, fraction) of the pairs of routes inside each set that share parts: common length over the shorter one's.
+
+    members: by, route_id; parts: route_id, part_id, length_m, a part once a route. Only members are expanded to parts, and
+    only inside their set, so pairs of routes that are in no set together are never made.
+    """
+    own = members.select(*by, "route_id").join(parts, "route_id")
+    length = parts.groupBy("route_id").agg(F.sum("length_m").alias("m"))
+    a, b = own.withColumnRenamed("route_id", "left"), own.select(*by, F.col("route_id").alias("right"), "part_id")
+    common = a.join(b, [*by, "part_id"]).filter(F.col("left") < F.col("right")).groupBy(*by, "left", "right").agg(F.sum("length_m").alias("common_m"))
+    named = lambda side: length.select(F.col("route_id").alias(side), F.col("m").alias(f"{side}_m"))
+    return common.join(named("left"), "left").join(named("right"), "right").select(*by, "left", "right", F.try_divide("common_m", F.least("left_m", "right_m")).alias("fraction"))
+
+
+def accepted_sets(candidates: DataFrame, n_sets: int, quota: DataFrame, seed: int, required: list[str], parts: DataFrame, most_overlap: float, most_attempts: int) -> tuple[DataFrame, DataFrame]:
+    """n_sets random sets that keep all rules: (sets: sample_id, attempt, bucket, route_id; attempts: sample_id, attempt, reason).
+
+    Each draw is as in sampled_sets, keyed by set and attempt. A set that fails a rule is rejected whole, never repaired, and
+    only rejected sets are drawn again, until all are accepted or most_attempts are used up. Reasons, in this order: too
+    few candidates for the quota, a required stratum missing, two routes that overlap too much; accepted: null.
+    candidates: route_id, bucket, stratum.
+    """
+    spark = candidates.sparkSession
+    candidates, parts, quota = stored(candidates), stored(parts), stored(quota)
+    open_ = spark.range(n_sets).withColumnRenamed("id", "sample_id")
+    whole = quota.agg(F.sum("slots")).scalar()
+    kept, log = [], []
+    for attempt in range(most_attempts):
+        draws = candidates.join(quota, "bucket").join(F.broadcast(open_)).withColumn("h", mix(F.lit(seed), F.col("sample_id"), F.lit(attempt), F.col("route_id")))
+        rank = F.row_number().over(Window.partitionBy("sample_id", "bucket").orderBy("h", "route_id"))
+        drawn = stored(draws.withColumn("r", rank).filter("r <= slots").select("sample_id", "bucket", "route_id", "stratum"))
+        close = overlap_within(drawn, parts, "sample_id").groupBy("sample_id").agg(F.max("fraction").alias("top"))
+        facts = drawn.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("stratum").alias("strata")).join(close, "sample_id", "left").withColumn("whole", whole)
+        lacking = F.size(F.array_except(F.array(*map(F.lit, required)), "strata")) > 0 if required else F.lit(False)
+        reason = F.when(F.col("n") < F.col("whole"), "insufficient").when(lacking, "required_strata").when(F.coalesce("top", F.lit(0.0)) >= most_overlap, "overlap")
+        judged = stored(open_.join(facts, "sample_id", "left").select("sample_id", F.lit(attempt).alias("attempt"), F.when(F.col("n").isNull(), "insufficient").otherwise(reason).alias("reason")))
+        log.append(judged)
+        kept.append(drawn.join(judged.filter("reason is null").select("sample_id", "attempt"), "sample_id").select("sample_id", "attempt", "bucket", "route_id"))
+        open_ = judged.filter("reason is not null").select("sample_id")
+        if open_.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, log)
+
+
 def scored(members: DataFrame, vectors: DataFrame, network: DataFrame) -> DataFrame:
     """Per set: D of the summed vectors of its routes (value), mean of D over the zones it reaches (top), length_m.
 
@@ -74,10 +119,10 @@ def swapped(members: DataFrame, pool: DataFrame, vectors: DataFrame, network: Da
     return changed_gap(changes, summed, network, "sample_id", "route_id", "out_id").drop("sample_id")
 
 
-def summary(members: DataFrame, vectors: DataFrame, network: DataFrame, walks: DataFrame, parts: DataFrame, bins: DataFrame, pairs: DataFrame, material: float) -> DataFrame:
+def summary(members: DataFrame, vectors: DataFrame, network: DataFrame, walks: DataFrame, parts: DataFrame, bins: DataFrame, material: float) -> DataFrame:
     """One row of figures for each set (sample_id, bucket, route_id).
 
-    bins: quartile group of each route and feature; pairs: overlap of routes (left, right, fraction). A cell is
+    bins: quartile group of each route and feature. A cell is
     material if one member has that share of its whole length in it.
     """
     full = walks.join(parts.select("part_id"), "part_id").groupBy("route_id").agg(F.sum("length_m").alias("full_m"))
@@ -90,8 +135,8 @@ def summary(members: DataFrame, vectors: DataFrame, network: DataFrame, walks: D
     covered = members.join(unique_parts(walks), "route_id").select("sample_id", "part_id").distinct().join(road.select("part_id", "length_m"), "part_id")
     unique = covered.groupBy("sample_id").agg(F.sum("length_m").alias("unique_rc_m")).withColumn("unique_rc_fraction", F.col("unique_rc_m") / network.agg(F.sum("network_m")).scalar())
     groups = members.join(bins, "route_id").groupBy("sample_id").agg(F.count_distinct("feature", "bin").alias("quantile_groups"))
-    a, b = (members.select("sample_id", F.col("route_id").alias(x)) for x in ("left", "right"))
-    overlap = a.join(pairs, "left").join(b, ["sample_id", "right"]).groupBy("sample_id").agg(F.max("fraction").alias("max_corridor_overlap"))
+    own_parts = unique_parts(walks).join(parts.select("part_id", "length_m"), "part_id")
+    overlap = overlap_within(members, own_parts, "sample_id").groupBy("sample_id").agg(F.max("fraction").alias("max_corridor_overlap"))
     scores = scored(members, vectors, network).select("sample_id", F.col("value").alias("d_combined"), F.col("top").alias("d_domain_mean"), F.col("length_m").alias("rc_traversed_m"))
     out = scores.join(counts, "sample_id").join(cells, "sample_id").join(unique, "sample_id").join(groups, "sample_id").join(overlap, "sample_id", "left")
     return out.fillna(0.0, ["max_corridor_overlap"])
@@ -200,34 +245,3 @@ def greedy_coverage(members: DataFrame, size: int, checkpoint) -> DataFrame:
         covered = members.join(best.select("route_id"), "route_id", "left_semi").select("part_id")
         left = checkpoint(left.join(covered, "part_id", "left_anti"))
     return history
-
-
-def swap_improve(vectors: DataFrame, network: DataFrame, members: DataFrame, pool: DataFrame, checkpoint) -> DataFrame:
-    """Rounds that each make the one swap that lowers a problem's gap most, inside a bucket; ends when no swap helps.
-
-    members: problem_id, route_id; pool: route_id, bucket. A set has a fixed small size, so a round looks at size
-    times pool candidates of the bucket for each problem. Returns problem_id, round, out_id, in_id, d.
-    """
-    cells = checkpoint(network.select("zone", "rc", "q"))
-    q = cells.agg(F.array_sort(F.collect_list(F.struct("zone", "rc", "q"))).alias("a")).select(F.transform("a", lambda x: x["q"]).alias("q")).scalar()
-    # one dense vector per route: the grid of cells is a fixed small dimension
-    dense = pool.select("route_id", "bucket").join(vectors, "route_id", "left").groupBy("route_id", "bucket").agg(F.map_from_entries(F.filter(F.collect_list(F.struct(F.concat_ws("|", "zone", "rc").alias("k"), "length_m")), lambda x: x["length_m"].isNotNull())).alias("m"))
-    names = cells.agg(F.array_sort(F.collect_list(F.concat_ws("|", "zone", "rc"))).alias("a")).scalar()
-    dense = checkpoint(dense.withColumn("names", names).select("route_id", "bucket", F.transform("names", lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("v")))
-    gap_of = lambda v: 0.5 * F.aggregate(F.zip_with(v, F.col("q"), lambda x, s: F.abs(s - F.try_divide(x, F.aggregate(v, F.lit(0.0), lambda a, y: a + y)))), F.lit(0.0), lambda a, x: a + x)
-    history = None
-    for turn in count(1):
-        own = members.join(dense, "route_id")
-        sums = own.select("problem_id", F.posexplode("v")).groupBy("problem_id", "pos").agg(F.sum("col").alias("s")).groupBy("problem_id").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("a")).select("problem_id", F.transform("a", lambda x: x["s"]).alias("total"))
-        sums = checkpoint(sums.withColumn("q", q)).withColumn("now", gap_of(F.col("total")))
-        outs = own.select("problem_id", "bucket", F.col("route_id").alias("out_id"), F.col("v").alias("ov")).join(sums, "problem_id")
-        ins = dense.select(F.col("route_id").alias("in_id"), "bucket", F.col("v").alias("iv"))
-        taken = members.select("problem_id", F.col("route_id").alias("in_id"))
-        swaps = outs.join(ins, "bucket").join(taken, ["problem_id", "in_id"], "left_anti").withColumn("new", F.zip_with(F.zip_with("total", "ov", lambda a, b: a - b), "iv", lambda a, b: a + b))
-        better = swaps.withColumn("d", gap_of(F.col("new"))).filter("d < now - 1e-9")
-        best = checkpoint(better.groupBy("problem_id").agg(F.min_by(F.struct("out_id", "in_id", "d"), F.struct(F.round("d", 10), "in_id", "out_id")).alias("b")).select("problem_id", F.lit(turn).alias("round"), "b.out_id", "b.in_id", "b.d"))
-        history = best if history is None else history.unionByName(best)
-        if best.isEmpty():
-            return history
-        left = members.join(best.select("problem_id", F.col("out_id").alias("route_id")), ["problem_id", "route_id"], "left_anti")
-        members = checkpoint(left.unionByName(best.select("problem_id", F.col("in_id").alias("route_id"))))

@@ -95,12 +95,33 @@ def review_list_export(spark, sf_dir):
     return tagged(spark, sf_dir).select("way_id", n.way_status(F.col("tags")).alias("status")).filter("status = 'review_required'")
 
 
-@query("""SELECT restriction_id, CASE WHEN n_from = 0 OR n_to = 0 THEN 'review_required' WHEN n_via <> 1 THEN 'review_required' ELSE 'candidate' END AS status FROM (
-SELECT l_orderkey AS restriction_id, count(*) FILTER (l_returnflag = 'A') AS n_from, count(*) FILTER (l_returnflag = 'R') AS n_to, count(*) FILTER (l_returnflag = 'N') AS n_via FROM lineitem GROUP BY l_orderkey)""")
+RULE_TAGS = """rt AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 17 = 0 THEN 'route' ELSE 'restriction' END AS type, (['', 'bicycle', 'motorcycle ; bus', 'psv;vehicle'])[CASE WHEN o_orderkey % 13 < 3 THEN o_orderkey % 13 + 2 ELSE 1 END] AS exc,
+  o_orderkey % 19 = 0 AS conditional, o_orderkey % 23 = 0 AS hours, CASE WHEN o_orderkey % 29 = 0 THEN 'no_right_turn' END AS mc, CASE WHEN o_orderkey % 31 = 0 THEN 'only_straight_on' END AS mv,
+  CASE WHEN o_orderkey % 11 <> 0 THEN (['no_left_turn', 'only_u_turn', 'no_entry', 'no_parking', 'no_exit'])[o_orderkey % 5 + 1] END AS general FROM orders),
+rm AS (SELECT l_orderkey AS id, count(*) FILTER (l_returnflag = 'A' AND l_linenumber % 6 <> 0) AS n_from, count(*) FILTER (l_returnflag = 'R' AND l_linenumber % 6 <> 0) AS n_to, count(*) FILTER (l_returnflag = 'N') AS n_via, count(*) FILTER (l_returnflag = 'N' AND l_linenumber % 6 = 0) AS n_via_way, min(l_partkey) FILTER (l_returnflag = 'N') AS via FROM lineitem GROUP BY l_orderkey)"""
+
+
+@query(f"""WITH {RULE_TAGS}, x AS (SELECT rt.*, coalesce(mc, mv, general) AS value, coalesce(n_from, 0) AS n_from, coalesce(n_to, 0) AS n_to, coalesce(n_via, 0) AS n_via, coalesce(n_via_way, 0) AS n_via_way, via FROM rt LEFT JOIN rm USING (id)),
+y AS (SELECT *, CASE WHEN type <> 'restriction' THEN 'not_a_restriction' WHEN exc IN ('motorcycle ; bus', 'psv;vehicle') THEN 'excepted_mode' WHEN conditional OR hours THEN 'conditional_not_evaluated' WHEN value IS NULL THEN 'for_another_mode'
+  WHEN n_from = 0 OR n_to = 0 OR n_via = 0 OR value NOT IN ('no_left_turn', 'no_right_turn', 'no_straight_on', 'no_u_turn', 'no_entry', 'no_exit', 'only_left_turn', 'only_right_turn', 'only_straight_on', 'only_u_turn') THEN 'unsupported_or_malformed' WHEN n_via <> 1 OR n_via_way > 0 THEN 'via_way' ELSE 'via_node' END AS reason FROM x)
+SELECT id AS restriction_id, CASE WHEN reason IN ('not_a_restriction', 'excepted_mode', 'for_another_mode') THEN 'not_applicable' WHEN reason = 'via_node' THEN 'candidate' ELSE 'review_required' END AS status, reason, CASE WHEN reason IN ('unsupported_or_malformed', 'via_way', 'via_node') THEN value END AS value, CASE WHEN reason = 'via_node' THEN via END AS via_node FROM y""")
 def restriction_parse(spark, sf_dir):
-    members = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("restriction_id")).agg(F.collect_list("l_returnflag").alias("roles"))
-    size = lambda r: F.size(F.filter("roles", lambda x: x == r))
-    return members.select("restriction_id", F.when((size("A") == 0) | (size("R") == 0) | (size("N") != 1), "review_required").otherwise("candidate").alias("status"))
+    """Turn restrictions of tags and members: exceptions, conditions, the value of the first mode that has one, roles; with the reason."""
+    k = F.col("o_orderkey")
+    tag = lambda name, condition, value: F.when(condition, F.struct(F.lit(name).alias("key"), value.alias("value")))
+    general = F.element_at(F.array(*map(F.lit, ("no_left_turn", "only_u_turn", "no_entry", "no_parking", "no_exit"))), (k % 5 + 1).cast("int"))
+    exceptions = F.element_at(F.array(*map(F.lit, ("bicycle", "motorcycle ; bus", "psv;vehicle"))), F.least(k % 13 + 1, F.lit(3)).cast("int"))
+    pairs = [
+        tag("type", F.lit(True), F.when(k % 17 == 0, "route").otherwise("restriction")), tag("except", k % 13 < 3, exceptions), tag("restriction:conditional", k % 19 == 0, F.lit("no_left_turn @ (Mo-Fr)")), tag("hour_on", k % 23 == 0, F.lit("07:00")),
+        tag("restriction:motorcycle", k % 29 == 0, F.lit("no_right_turn")), tag("restriction:motor_vehicle", k % 31 == 0, F.lit("only_straight_on")), tag("restriction", k % 11 != 0, general),
+    ]
+    tags = table(spark, sf_dir, "orders").select(k.alias("restriction_id"), F.map_from_entries(F.array_compact(F.array(*pairs))).alias("tags"))
+    role = F.when(F.col("l_returnflag") == "A", "from").when(F.col("l_returnflag") == "R", "to").otherwise("via")
+    way = F.when(F.col("l_returnflag") == "N", F.col("l_linenumber") % 6 == 0).otherwise(F.col("l_linenumber") % 6 != 0)
+    members = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(role.alias("role"), F.when(way, "way").otherwise("node").alias("type"), F.col("l_partkey").alias("ref"))).alias("members"))
+    rows = tags.join(members, F.col("restriction_id") == F.col("id"), "left")
+    spec = n.restriction_spec(F.col("tags"), F.coalesce("members", F.array().cast(members.schema["members"].dataType)))
+    return rows.select("restriction_id", spec.alias("s")).select("restriction_id", "s.*")
 
 
 @query(f"WITH {TAGS}, bad AS (SELECT DISTINCT l_partkey AS way_id FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7) SELECT w.way_id, CASE WHEN b.way_id IS NOT NULL AND status <> 'excluded' THEN 'review_required' ELSE status END AS status FROM ways w LEFT JOIN bad b USING (way_id)")

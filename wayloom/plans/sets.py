@@ -195,9 +195,26 @@ def baseline(spark, sf_dir, column: str = "value"):
     return scores(spark, sf_dir).filter("sample_id = 0").select(column).scalar()
 
 
-@query(f"WITH {SETS} SELECT sample_id, bucket, route_id FROM sets")
+TRIES = f"""{GAP}, cand AS (SELECT s_suppkey AS route_id, CASE s_suppkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS bucket, 'S' || s_nationkey % 3 AS stratum FROM supplier), quota(bucket, slots) AS (VALUES ('A', 3), ('B', 2), ('C', 4)),
+draws AS (SELECT cand.*, slots, g.sample_id, t.attempt, (((((((((((17::BIGINT * 48271 + 7 + 1) * 69621) % 2147483647) * 48271 + g.sample_id + 1) * 69621) % 2147483647) * 48271 + t.attempt + 1) * 69621) % 2147483647) * 48271 + cand.route_id + 1) * 69621) % 2147483647 AS h0 FROM cand JOIN quota USING (bucket) CROSS JOIN (SELECT unnest(range(0, 100)) AS sample_id) g CROSS JOIN (SELECT unnest(range(0, 6)) AS attempt) t),
+h1 AS (SELECT *, (h0 * h0 + 7 * h0 + 12345) % 2147483647 AS x1 FROM draws), h2 AS (SELECT *, (x1 * x1 + 7 * x1 + 12345) % 2147483647 AS x2 FROM h1), h3 AS (SELECT *, (x2 * x2 + 7 * x2 + 12345) % 2147483647 AS h FROM h2),
+tried AS (SELECT sample_id, attempt, bucket, route_id, stratum FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, attempt, bucket ORDER BY h, route_id) AS r FROM h3) WHERE r <= slots),
+own AS (SELECT DISTINCT w.route_id, p.part_id, p.length_m FROM walks w JOIN parts p USING (part_id)), len AS (SELECT route_id, sum(length_m) AS m FROM own GROUP BY route_id),
+pairs AS (SELECT a.route_id AS l, b.route_id AS r, sum(a.length_m) AS m FROM own a JOIN own b USING (part_id) WHERE a.route_id < b.route_id GROUP BY ALL), f AS (SELECT l, r, pairs.m / least(x.m, y.m) AS fraction FROM pairs JOIN len x ON x.route_id = l JOIN len y ON y.route_id = r),
+tops AS (SELECT a.sample_id, a.attempt, max(fraction) AS top FROM tried a JOIN tried b ON a.sample_id = b.sample_id AND a.attempt = b.attempt AND a.route_id < b.route_id JOIN f ON l = a.route_id AND r = b.route_id GROUP BY ALL),
+judged AS (SELECT t.sample_id, t.attempt, CASE WHEN count(*) < 9 THEN 'insufficient' WHEN count(DISTINCT stratum) < 3 THEN 'required_strata' WHEN coalesce(max(top), 0) >= 0.28 THEN 'overlap' END AS reason, string_agg(t.route_id::VARCHAR, ';' ORDER BY t.route_id) AS routes FROM tried t LEFT JOIN tops USING (sample_id, attempt) GROUP BY t.sample_id, t.attempt),
+first_ok AS (SELECT sample_id, min(attempt) AS ok FROM judged WHERE reason IS NULL GROUP BY sample_id)"""
+
+
+@query(f"WITH {TRIES} SELECT j.sample_id, j.attempt::INT AS attempt, reason, CASE WHEN reason IS NULL THEN routes END AS routes FROM judged j LEFT JOIN first_ok USING (sample_id) WHERE ok IS NULL OR j.attempt <= ok")
 def stratified_set_sampling(spark, sf_dir):
-    return drawn(spark, sf_dir)
+    """A hundred random sets with all strata and a cap on overlap: every attempt with its reason, and the routes of the accepted ones."""
+    pool = candidates(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("route_id"), F.concat(F.lit("S"), (F.col("s_nationkey") % 3).cast("string")).alias("stratum")), "route_id")
+    own = c.unique_parts(walks(spark, sf_dir)).join(parts(spark, sf_dir).select("part_id", "length_m"), "part_id")
+    quota = spark.createDataFrame(list(QUOTA.items()), "bucket string, slots int")
+    found, attempts = s.accepted_sets(pool, 100, quota, 7, ["S0", "S1", "S2"], own, 0.28, 6)
+    routes = found.groupBy("sample_id", "attempt").agg(F.array_join(F.array_sort(F.collect_list("route_id")).cast("array<string>"), ";").alias("routes"))
+    return attempts.join(routes, ["sample_id", "attempt"], "left")
 
 
 @query(f"""WITH {SETS} SELECT count(*) AS n, round(avg(value), 8) AS mean, round(stddev_samp(value), 8) AS sd, round(min(value), 8) AS "min", round(quantile_cont(value, 0.025), 8) AS q025, round(quantile_cont(value, 0.25), 8) AS q25, round(quantile_cont(value, 0.5), 8) AS median, round(quantile_cont(value, 0.75), 8) AS q75, round(quantile_cont(value, 0.975), 8) AS q975, round(max(value), 8) AS "max" FROM scores""")
@@ -283,10 +300,9 @@ f AS (SELECT l, r, pairs.m / least(x.m, y.m) AS fraction FROM pairs JOIN len x O
 t AS (SELECT a.sample_id, max(fraction) AS top FROM sets a JOIN sets b ON a.sample_id = b.sample_id AND a.route_id < b.route_id JOIN f ON l = a.route_id AND r = b.route_id GROUP BY a.sample_id)
 SELECT s.sample_id, CASE WHEN coalesce(top, 0) >= 0.06 THEN 'overlap' END AS reason FROM (SELECT DISTINCT sample_id FROM sets) s LEFT JOIN t USING (sample_id)""")
 def hard_set_constraints(spark, sf_dir):
-    members = drawn(spark, sf_dir)
-    pairs = c.pair_overlap(walks(spark, sf_dir), parts(spark, sf_dir))
-    a, b = members.select("sample_id", F.col("route_id").alias("left")), members.select("sample_id", F.col("route_id").alias("right"))
-    top = a.join(pairs, "left").join(b, ["sample_id", "right"]).groupBy("sample_id").agg(F.max("fraction").alias("top"))
+    members = checkpoint(drawn(spark, sf_dir))
+    own = c.unique_parts(walks(spark, sf_dir)).join(parts(spark, sf_dir).select("part_id", "length_m"), "part_id")
+    top = s.overlap_within(members, own, "sample_id").groupBy("sample_id").agg(F.max("fraction").alias("top"))
     return members.select("sample_id").distinct().join(top, "sample_id", "left").select("sample_id", F.when(F.coalesce("top", F.lit(0.0)) >= 0.06, "overlap").alias("reason"))
 
 
@@ -346,7 +362,7 @@ def set_summary(spark, sf_dir):
     w, p = walks(spark, sf_dir), parts(spark, sf_dir)
     members, v = checkpoint(drawn(spark, sf_dir)), checkpoint(vectors(spark, sf_dir))
     bins = c.quartile_groups(long_features(spark, sf_dir).withColumn("value", F.round("value", 9)))
-    wide = s.summary(members, v, checkpoint(c.network_cells(p)), w, p, bins, c.pair_overlap(w, p), 0.12)
+    wide = s.summary(members, v, checkpoint(c.network_cells(p)), w, p, bins, 0.12)
     digits = {"d_combined": 8, "d_domain_mean": 8, "traversed_m": 3, "rc_traversed_m": 3, "unique_rc_m": 2, "unique_rc_fraction": 8, "max_corridor_overlap": 8}
     figures = [x for x in wide.columns if x != "sample_id"]
     cells = F.array(*(F.struct(F.lit(x).alias("metric"), (F.round(x, digits[x]) if x in digits else F.col(x)).cast("double").alias("value")) for x in figures))
