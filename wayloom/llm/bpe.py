@@ -256,6 +256,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text of `documents` by the tree of halves, their digest and that of what they decode to."""
     import public_tokenizers
 
     return encode_texts(table(spark, sf_dir, "documents"), os.fspath(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN, digests=True)

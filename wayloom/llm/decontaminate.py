@@ -193,8 +193,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """One row for each document and item of which the document holds a passage: n_blocks, edits, start_char, end_char.
 
     Items are cut into blocks of BLOCK code points, STEP apart (a shorter item is one block). A block
-    is found where the text, both normalised, aligns with it with at most a tenth of its code points edited; no
-    such place is missed, so no passage of BLOCK + STEP - 1 code points or more is. n_blocks counts the item's
+    is found where the text, both normalised, aligns with it with at most a tenth of its code points edited and
+    shares LEAST_GRAMS q-grams or more with it: for a block of 72 that holds for up to 6 edits wherever they are, for one of
+    40 for up to 2. Within those no place is missed, and so no passage of BLOCK + STEP - 1 code points or more. n_blocks counts the item's
     places, edits is their least, the span covers them. Items under SHORTEST code points are found as they are,
     between blanks; under SHORT_WORDS words, null and empty ones find nothing; neither do null and empty texts.
     Repeated rows of a document count as one; an empty table on either side gives no rows; other columns aren't read. A null
@@ -262,4 +263,5 @@ def drop_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> Dat
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of `benchmark` items in all whole `documents`: a row for each document and item found."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -233,4 +233,5 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of `documents`, learned from those that aren't held out."""
     return identify(table(spark, sf_dir, "documents"))

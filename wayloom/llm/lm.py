@@ -8,7 +8,8 @@ product of two matrices of exponentials.
 
 Training covers all training tokens. A hash of id and text deals documents to shards of about SHARD tokens, and
 orders them inside a shard; each round takes the shared parameters through every shard, and averages what comes out
-(parameters and squared gradients) by tokens. So the model grows with the corpus and doesn't depend on its files.
+(parameters and squared gradients) by tokens. So all of the corpus is learned from, whatever its files; but averaging
+costs some of the gain, more with more shards, and the size of the model is fixed.
 """
 
 from __future__ import annotations
@@ -294,6 +295,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every whole text of `documents`; held-out ones (crc32 of the id modulo 7 is 2) aren't learned from."""
     held = crc_of_id(F.col("doc_id")) % 7 == 2
     scored = score_texts(table(spark, sf_dir, "documents"), ~held)
     return scored.select("doc_id", (~F.col("trained_on")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

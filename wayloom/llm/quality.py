@@ -160,4 +160,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts of all `documents`, with thresholds of each language and source."""
     return judge(table(spark, sf_dir, "documents"))

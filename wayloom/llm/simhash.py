@@ -187,4 +187,5 @@ def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_co
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all whole `documents`, and the smallest id that each reaches over links of 2 bits or fewer."""
     return near_groups(table(spark, sf_dir, "documents"))

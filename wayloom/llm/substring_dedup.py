@@ -324,4 +324,5 @@ def strip_rows(batches: Iterator) -> Iterator:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` without the words of 50-word windows that also start in a document with a smaller id."""
     return strip_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))

@@ -126,6 +126,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024, id
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text of `documents`, as the library counts them."""
     import public_tokenizers
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)

@@ -227,5 +227,6 @@ def held_out() -> Column:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of `documents`, learned from the labelled ones that aren't held out. A score of 0.5 counts as toxic."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return score(docs, fit(docs, labels.filter(~held_out()))).select("doc_id", held_out().alias("held_out"), "score", "predicted")

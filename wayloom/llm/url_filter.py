@@ -186,6 +186,7 @@ def suspicious_hosts(pages: DataFrame, words: tuple[str, ...] = LISTED_WORDS, ur
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every url of `pages`: by the longest rule that fits, else by the cascade."""
     pages = table(spark, sf_dir, "pages")
     return judge_urls(pages, [parse_rule(x) for x in RULES], suspicious_hosts(pages))
 
