@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +31,38 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Where written() notes its tables, inside a noting() block.
+NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage is cut, and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if (noted := NOTED.get()) is not None:
+        noted.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def noting() -> Iterator[list[str]]:
+    """A list of the tables that written() makes inside the block."""
+    token = NOTED.set(paths := [])
+    try:
+        yield paths
+    finally:
+        NOTED.reset(token)
+
+
+def drop_tables(spark: SparkSession, paths: list[str], *kept: DataFrame) -> None:
+    """Deletes tables of written(), but for those that a kept DataFrame reads."""
+    read = {x.rsplit("/", 2)[1] for df in kept for x in df.inputFiles()} if paths else set()
+    for path in paths:
+        if path.rsplit("/", 1)[1] not in read:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Rows up to which Spark may choose to broadcast a side of a join (some 20 MB of numbers).
 BROADCAST_ROWS = 500_000
 
