@@ -250,17 +250,6 @@ def tile_union(spark, sf_dir):
     return ids.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS tile, count(*) AS n, count(DISTINCT l_linenumber) AS ids, count(*) FILTER (l_quantity < 1 OR l_quantity > 45) AS outside FROM lineitem GROUP BY l_orderkey), m AS (SELECT o_orderkey AS tile, CAST(floor(o_totalprice) AS BIGINT) % 6 + 1 AS stated FROM orders)
-SELECT m.tile, array_to_string([x FOR x IN [CASE WHEN c.tile IS NULL THEN 'empty' END, CASE WHEN outside > 0 THEN 'out_of_range' END, CASE WHEN c.n <> stated THEN 'wrong_count' END, CASE WHEN c.n <> c.ids THEN 'repeated_id' END] IF x IS NOT NULL], ';') AS flags FROM m LEFT JOIN c USING (tile)""")
-def tile_payload_rules(spark, sf_dir):
-    q = F.col("l_quantity")
-    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_linenumber").alias("ids"), F.count_if((q < 1) | (q > 45)).alias("outside"))
-    m = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tile"), (F.floor("o_totalprice").cast("long") % 6 + 1).alias("stated")).join(c, F.col("tile") == F.col("id"), "left")
-    rules = {"empty": F.col("id").isNull(), "out_of_range": F.col("outside") > 0, "repeated_id": F.col("n") != F.col("ids"), "wrong_count": F.col("n") != F.col("stated")}
-    names = F.array_compact(F.array(*(F.when(rules[x], F.lit(x)) for x in ("empty", "out_of_range", "wrong_count", "repeated_id"))))
-    return m.select("tile", F.array_join(names, ";").alias("flags"))
-
-
 @query("SELECT p_partkey AS unit FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 10")
 def unassigned_units(spark, sf_dir):
     used = table(spark, sf_dir, "lineitem").filter("l_quantity > 10").select(F.col("l_partkey").alias("unit"))

@@ -21,18 +21,6 @@ def network_tables_scan(spark, sf_dir):
     return arcs(spark, sf_dir).join(wanted, "to_node", "left_semi").select("from_node", "to_node")
 
 
-@query("SELECT event_id, event_id % 97 = 0 AS is_test FROM events WHERE event_id % 97 = 0")
-def test_data_guard(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 97 == 0).alias("is_test")).filter("is_test")
-
-
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'invalid_source_schema;negative' ELSE 'negative' END AS flags FROM events WHERE value > 100")
-def schema_quarantine(spark, sf_dir):
-    flags = F.array(F.lit("negative"))
-    both = F.when(F.col("event_type") == "error", F.array_sort(F.array_union(flags, F.array(F.lit("invalid_source_schema"))))).otherwise(flags)
-    return table(spark, sf_dir, "events").filter("value > 100").select("event_id", F.array_join(both, ";").alias("flags"))
-
-
 @query("""SELECT o_orderkey AS tile, array_to_string([x FOR x IN [CASE WHEN n IS NULL THEN 'absent' END, CASE WHEN n IS NOT NULL AND n IS DISTINCT FROM o_orderkey % 7 + 1 THEN 'count_differs' END] IF x IS NOT NULL], ';') AS problems
 FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def tile_cache_rules(spark, sf_dir):

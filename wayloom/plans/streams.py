@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from wayloom.operators.lineage import checkpoint_folder
+from wayloom.operators.lineage import checkpoint_folder, stored
 from wayloom.sources import files
+from wayloom.sources.tiles import checked_tiles, tile_objects
 from wayloom.streaming import jobs
 
 from .registry import query
@@ -43,11 +44,53 @@ def stream_observation_import(spark, sf_dir):
     return jobs.run_to_table(jobs.new_rows(rows, "observation_id", "ts", "1 day").select("observation_id"), "append")
 
 
-@query("SELECT p_partkey AS id, count(*) - 1 AS n_removed FROM part GROUP BY p_partkey")
+#: Tiles of the stand-in: an order's parts as nodes, in the words of a server's answer. Faults go by the order's number.
+TILE_TIME, TILE_BASE = "2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z"
+
+
+def tiles(spark, sf_dir):
+    """(tile, body): the parts of an order are nodes, their name tells apart contents, and a count record ends it."""
+    tile = F.col("o_orderkey")
+    node = F.struct(
+        F.lit("node").alias("type"), (F.col("l_partkey") + 1).alias("id"), F.when(tile % 17 == 0, 0).otherwise(1).alias("version"), F.lit(TILE_TIME).alias("timestamp"),
+        F.when(tile % 13 == 0, 91.0).otherwise(21.0).alias("lat"), F.lit(105.8).alias("lon"), F.create_map(F.lit("name"), F.when(tile % 50 == 7, "new").otherwise("old")).alias("tags"),
+    )
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_partkey").distinct()
+    grouped = table(spark, sf_dir, "orders").select("o_orderkey").join(rows, tile == F.col("k"), "left").groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.when(F.col("l_partkey").isNotNull(), F.to_json(node)))).alias("nodes"))
+    n = F.size("nodes")
+    stated = F.to_json(F.struct(F.lit("count").alias("type"), F.lit(0).alias("id"), F.struct(n.cast("string").alias("nodes"), F.lit("0").alias("ways"), F.lit("0").alias("relations"), (n + F.when(tile % 11 == 0, 1).otherwise(0)).cast("string").alias("total")).alias("tags")))
+    parts = F.when(tile % 19 == 0, F.col("nodes")).otherwise(F.array_append("nodes", stated))
+    base = F.when(tile % 23 == 0, TILE_TIME).otherwise(TILE_BASE)
+    remark = F.when(tile % 29 == 0, F.lit('"remark": "runtime error", ')).otherwise("")
+    body = F.concat(F.lit("{"), remark, F.lit('"osm3s": {"timestamp_osm_base": "'), base, F.lit('"}, "elements": ['), F.array_join(parts, ", "), F.lit("]}"))
+    return grouped.select(tile.alias("tile"), F.when(tile % 31 == 0, F.substring(body, F.lit(1), F.length(body) - 2)).otherwise(body).alias("body"))
+
+
+SNAPSHOT = "2024-01-15T00:00:00Z"
+TILE_FAULTS = """n AS (SELECT DISTINCT l_orderkey AS k, l_partkey FROM lineitem), c AS (SELECT k, count(*) AS n FROM n GROUP BY 1), f AS (SELECT o_orderkey AS t, coalesce(n, 0) AS n FROM orders LEFT JOIN c ON k = o_orderkey),
+tiles AS (SELECT t AS tile, CASE WHEN t % 31 = 0 THEN NULL ELSE array_to_string([x FOR x IN [CASE WHEN t % 13 = 0 AND n > 0 THEN 'bad_place' END, CASE WHEN t % 17 = 0 AND n > 0 THEN 'bad_version' END, CASE WHEN t % 19 = 0 AND n = 0 THEN 'no_elements' END,
+  CASE WHEN t % 19 = 0 THEN 'no_final_count' END, CASE WHEN t % 23 = 0 THEN 'old_base' END, CASE WHEN t % 29 = 0 THEN 'remark' END, CASE WHEN t % 11 = 0 AND t % 19 <> 0 THEN 'wrong_count' END] IF x IS NOT NULL], ';') END AS problems FROM f)"""
+
+
+@query(f"""WITH {TILE_FAULTS}, r AS (SELECT tile, l_partkey + 1 AS id, CASE WHEN tile % 50 = 7 THEN 'new' ELSE 'old' END AS body, row_number() OVER w AS rn, first_value(CASE WHEN tile % 50 = 7 THEN 'new' ELSE 'old' END) OVER w AS known FROM tiles JOIN n ON k = tile WHERE problems = '' WINDOW w AS (PARTITION BY l_partkey ORDER BY tile % 3, tile))
+SELECT tile, id, CASE WHEN rn = 1 THEN 'new' WHEN body = known THEN 'repeat' ELSE 'conflict' END AS outcome FROM r UNION ALL SELECT tile, NULL, 'not_whole' FROM tiles WHERE problems IS DISTINCT FROM ''""")
 def stream_tile_ingest(spark, sf_dir):
-    """Objects that land in files, counted by id as they come; the newest count of an id stands."""
-    counts = stream(spark, sf_dir, "part").groupBy(F.col("p_partkey").alias("id")).agg((F.count(F.lit(1)) - 1).alias("n_removed"))
-    return jobs.run_to_table(counts, "update", ["id"])
+    """Tiles land in three parts, each read when it is there: those with a problem go to a table of their own, the
+    objects of the others are new, repeat or conflict by the state that the parts before left."""
+    path, objects, faulty = scratch(spark), jobs.stream_root(spark), jobs.stream_root(spark)
+    made = stored(tiles(spark, sf_dir))
+    for part in range(3):
+        made.filter(F.col("tile") % 3 == part).write.mode("append").parquet(path)
+        landed = checked_tiles(spark.readStream.schema(made.schema).parquet(path), F.lit(SNAPSHOT).cast("timestamp"))
+        found = jobs.run_to_table(jobs.first_contents(tile_objects(landed)), "append", root=objects)
+        bad = jobs.run_to_table(landed.filter("size(problems) > 0").select("tile"), "append", root=faulty)
+    return found.select("tile", "id", "outcome").unionByName(bad.select("tile", F.lit(None).cast("long").alias("id"), F.lit("not_whole").alias("outcome")))
+
+
+@query(f"WITH {TILE_FAULTS} SELECT tile, coalesce(problems, 'not_json') AS flags FROM tiles")
+def tile_payload_rules(spark, sf_dir):
+    """Every tile with the rules of a whole answer that it breaks."""
+    return checked_tiles(tiles(spark, sf_dir), F.lit(SNAPSHOT).cast("timestamp")).select("tile", F.array_join("problems", ";").alias("flags"))
 
 
 def scratch(spark):
@@ -115,3 +158,52 @@ def raw_archive_check(spark, sf_dir):
     stored = spark.read.parquet(path).agg(F.count(F.lit(1))).scalar()
     out = rows.agg(F.count(F.lit(1)).alias("n_bronze"))
     return out.select("n_bronze", stored.alias("n_silver"), (F.col("n_bronze") == stored).alias("equal"))
+
+
+#: Files of the stand-in: the events of 500 ids each. Headers go by the file's number, faults by the event's id.
+HEADERS = ("event_id,user_id,event_type,value", "event_id,user_id,event_type", "event_id,user_id,event_type,event_type,value", "value,event_id,user_id,event_type", '"event_id",user_id,event_type,value')
+
+
+def csv_files(spark, sf_dir, path):
+    """Each group of events as a CSV file under its own header, quoted where a value has a comma."""
+    name, value = F.concat(F.lit('"'), "event_type", F.lit(', x"')), F.floor("value").cast("string")
+    number = F.floor(F.col("event_id") / 500).cast("long")
+    cells = {"event_id": F.col("event_id").cast("string"), "user_id": F.col("user_id").cast("string"), "event_type": name, "value": value}
+    bodies = [[cells[c.strip('"')] for c in h.split(",")] for h in HEADERS]
+    cut = (F.col("event_id") % 13 != 0) & (F.col("event_id") % 17 == 0)
+    line = F.lit(None)
+    for k, body in enumerate(bodies):
+        whole = F.concat_ws(",", *body, F.when(F.col("event_id") % 13 == 0, F.lit("more")))
+        line = F.when(number % len(HEADERS) == k, F.when(cut, F.concat_ws(",", *body[:-1])).otherwise(whole)).otherwise(line)
+    rows = table(spark, sf_dir, "events").select(number.alias("file"), F.col("event_id").alias("at"), line.alias("value"))
+    header = F.element_at(F.array(*map(F.lit, HEADERS)), (F.col("file") % len(HEADERS) + 1).cast("int"))
+    heads = rows.select("file").distinct().select("file", F.lit(-1).cast("long").alias("at"), header.alias("value"))
+    ordered = heads.unionByName(rows).repartition("file").sortWithinPartitions("file", "at").select("file", "value")
+    ordered.write.partitionBy("file").option("quote", "").option("sep", "\x01").option("escape", "").option("emptyValue", "").csv(path)
+
+
+@query("""WITH e AS (SELECT *, (event_id // 500) % 5 AS kind, event_id % 13 = 0 AS long, event_id % 13 <> 0 AND event_id % 17 = 0 AS short FROM events)
+SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, CASE WHEN NOT (short AND kind IN (1, 3)) THEN event_type || ', x' END AS event_type,
+  CASE WHEN kind <> 1 AND NOT (short AND kind <> 3) THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS value, kind NOT IN (1, 2) AS valid,
+  array_to_string([x FOR x IN [CASE WHEN long THEN 'extra_csv_fields' END, CASE WHEN kind IN (1, 2) THEN 'invalid_source_schema' END, CASE WHEN short THEN 'short_csv_row' END] IF x IS NOT NULL], ';') AS flags FROM e""")
+def schema_quarantine(spark, sf_dir):
+    """All events through CSV files of five headers, of which two are faulty: their rows are kept and marked."""
+    path = scratch(spark)
+    csv_files(spark, sf_dir, path)
+    return files.scan_quarantined(spark, path, ["event_id", "user_id", "event_type", "value"]).select("event_id", "user_id", "event_type", "value", "valid", F.array_join("flags", ";").alias("flags"))
+
+
+@query("""SELECT event_id, array_to_string([x FOR x IN [CASE WHEN event_id % 97 = 0 THEN 'column' END, CASE WHEN event_id % 5 IN (1, 2) THEN 'path' END, CASE WHEN event_id % 5 = 3 THEN 'sidecar' END] IF x IS NOT NULL], ';') AS marks FROM events""")
+def test_data_guard(spark, sf_dir):
+    """All events from five folders: two are test data by their names, one by the file beside it, one says it isn't."""
+    path = scratch(spark)
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 97 == 0).alias("is_test_data"))
+    for k, folder in enumerate(("live", "fixtures", "north_demo", "told", "denied")):
+        rows.filter(F.col("event_id") % 5 == k).write.parquet(f"{path}/{folder}")
+    for folder, told in (("told", "true"), ("denied", "false")):
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}/{files.SIDECAR}")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+        out.write(bytearray(f'{{"is_test_data": {told}}}'.encode()))
+        out.close()
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
+    return files.test_data_marks(read, path).select("event_id", F.array_join("marks", ";").alias("marks"))

@@ -18,9 +18,17 @@ from wayloom.operators.lineage import checkpoint_folder
 BATCH = "wayloom_batch"
 
 
-def run_to_table(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Drains what the source holds now into a table of the shared folder; with keys, each key's newest batch counts."""
-    spark, root = stream.sparkSession, f"{checkpoint_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+def stream_root(spark) -> str:
+    """A new place for a job's state and table."""
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def run_to_table(stream: DataFrame, mode: str, keys: list[str] | None = None, root: str | None = None) -> DataFrame:
+    """Drains what the source holds now into a table of the shared folder; with keys, each key's newest batch counts.
+
+    A root of an earlier run goes on where that one ended: state and batches are kept, and only what landed since is read.
+    """
+    spark, root = stream.sparkSession, root or stream_root(stream.sparkSession)
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/table/{BATCH}={number}")
@@ -59,3 +67,23 @@ def windowed_sums(points: DataFrame, width: str, lateness: str) -> DataFrame:
 def new_rows(rows: DataFrame, key: str, time: str, lateness: str) -> DataFrame:
     """The first row of every key within the watermark."""
     return rows.withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
+
+
+def first_contents(objects: DataFrame) -> DataFrame:
+    """(kind, id, tile, version, outcome) of each object that lands: new, repeat (the content that is known), or conflict.
+
+    The state of an object is the digest of the first content that came; a differing one never replaces it. Inside
+    a batch tiles count in the order of their ids. Rows of one object in one batch are the tiles that share it.
+    """
+
+    def work(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["tile", "digest"], kind="stable")
+        known = state.get[0] if state.exists else None
+        outcome = np.where(rows.digest == (known or rows.digest.iloc[0]), "repeat", "conflict").astype(object)
+        if known is None:
+            outcome[0] = "new"
+            state.update((rows.digest.iloc[0],))
+        yield pd.DataFrame({"kind": key[0], "id": key[1], "tile": rows.tile, "version": rows.version, "outcome": outcome})
+
+    tile = objects.schema["tile"].dataType.simpleString()
+    return objects.groupBy("kind", "id").applyInPandasWithState(work, f"kind string, id long, tile {tile}, version long, outcome string", "digest string", "append", GroupStateTimeout.NoTimeout)
