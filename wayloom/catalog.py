@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import coverage, geometry, network, review, routes, selection, sets, streams, trips
+from .plans import coverage, geometry, network, observations, review, routes, selection, sets, streams, trips
 from .plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "operating_summary"

@@ -30,12 +30,6 @@ def tile_cache_rules(spark, sf_dir):
     return rows.select(F.col("o_orderkey").alias("tile"), F.array_join(flag_array(rules), ";").alias("problems"))
 
 
-@query(f"""WITH {EVIDENCE} SELECT observation_id, array_to_string([x FOR x IN [CASE WHEN day > DATE '2024-01-20' THEN 'future_time' END, CASE WHEN route_id % 10 = 9 THEN 'unknown_route' END, CASE WHEN value > 200 THEN 'value_out_of_range' END] IF x IS NOT NULL], ';') AS problems FROM evidence""")
-def observation_rules(spark, sf_dir):
-    rules = {"future_time": F.col("day") > F.to_date(F.lit("2024-01-20")), "unknown_route": F.col("route_id") % 10 == 9, "value_out_of_range": F.col("value") > 200}
-    return evidence(spark, sf_dir).select("observation_id", F.array_join(flag_array(rules), ";").alias("problems"))
-
-
 @query("SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/?#]+') THEN 'ok' ELSE 'bad_uri' END AS outcome FROM pages")
 def evidence_uri_rule(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.when(F.col("url").rlike("^https?://[^/?#]+"), "ok").otherwise("bad_uri").alias("outcome"))
