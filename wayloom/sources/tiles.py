@@ -68,7 +68,9 @@ def checked_tiles(tiles: DataFrame, snapshot: Column) -> DataFrame:
     """tiles (tile, body) with payload and problems, of which a body that is no JSON object has one, not_json; works on streams as on tables."""
     whole = F.coalesce(F.schema_of_variant(F.try_parse_json("body")).startswith("OBJECT"), F.lit(False))
     rows = tiles.select("tile", parsed(F.col("body")).alias("payload"), whole.alias("whole"))
-    return rows.select("tile", "payload", F.when(F.col("whole"), payload_problems(F.col("payload"), snapshot)).otherwise(F.array(F.lit("not_json"))).alias("problems"))
+    problems = F.when(F.col("whole"), payload_problems(F.col("payload"), snapshot)).otherwise(F.array(F.lit("not_json")))
+    # A row made by a generator: no filter on problems goes below it, where the text would be parsed anew for every rule.
+    return rows.select("tile", F.inline(F.array(F.struct("payload", problems.alias("problems")))))
 
 
 def tile_objects(checked: DataFrame) -> DataFrame:
