@@ -21,3 +21,16 @@ def test_gates_are_judged_once_for_equal_walks(spark, con, monkeypatch):
     monkeypatch.setattr(routes.co, "candidate_gates", lambda walk, *more: seen.append(walk.select("route_id").distinct().count()) or judge(walk, *more))
     assert mismatch(catalog.QUERIES["candidate_gate_join"](spark, SF), con, catalog.ORACLE_SQL["candidate_gate_join"]) is None
     assert seen == [525]
+
+
+def test_last_bits_break_no_tie(spark, tmp_path):
+    """Point 4090 lies as far from segments 5130 and 3050 in everything but the last bit; the smaller id comes first."""
+    import duckdb
+
+    con = duckdb.connect()
+    for name, sql in (("customer", "SELECT unnest([4090, 80132])::BIGINT AS c_custkey"), ("supplier", "SELECT range AS s_suppkey FROM range(6000)")):
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet'")
+    df = catalog.QUERIES["candidate_topk_overflow"](spark, str(tmp_path))
+    assert {(r.segment_id, r.r) for r in df.filter("point_id = 4090").collect()} >= {(3050, 2), (5130, 3)}
+    assert mismatch(df, con, catalog.ORACLE_SQL["candidate_topk_overflow"]) is None
