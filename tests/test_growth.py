@@ -34,3 +34,14 @@ def test_last_bits_break_no_tie(spark, tmp_path):
     df = catalog.QUERIES["candidate_topk_overflow"](spark, str(tmp_path))
     assert {(r.segment_id, r.r) for r in df.filter("point_id = 4090").collect()} >= {(3050, 2), (5130, 3)}
     assert mismatch(df, con, catalog.ORACLE_SQL["candidate_topk_overflow"]) is None
+
+
+def test_cells_with_many_pairs_are_split(spark, con, monkeypatch):
+    """With 20 candidates a task, most cells are listed in shares; the rows are the same."""
+    from wayloom.operators import geometry
+
+    monkeypatch.setattr(geometry, "PAIRS", 20)
+    for name in ("grid_near_join", "segment_projection", "endpoint_snap_pairs"):
+        df = catalog.QUERIES[name](spark, SF)
+        assert mismatch(df, con, catalog.ORACLE_SQL[name]) is None
+        assert df.rdd.getNumPartitions() > 4
