@@ -45,3 +45,13 @@ def test_cells_with_many_pairs_are_split(spark, con, monkeypatch):
         df = catalog.QUERIES[name](spark, SF)
         assert mismatch(df, con, catalog.ORACLE_SQL[name]) is None
         assert df.rdd.getNumPartitions() > 4
+
+
+def test_nearest_compares_few_nodes(spark):
+    """A thousand nodes in one place and 40,000 on a grid: cells shrink, ties go to the least id, far points find none."""
+    from wayloom.operators.geometry import nearest
+
+    nodes = spark.range(40000).selectExpr("id AS node_id", "id % 200 * 1.0 AS x", "floor(id / 200) * 1.0 AS y").union(spark.range(50000, 51000).selectExpr("id", "0.25D", "0.25D"))
+    points = spark.createDataFrame([(1, 10.5, 10.5), (2, 0.25, 0.25), (3, 209.0, 199.0), (4, 260.0, 0.0), (5, 219.0, 199.0)], "point_id long, px double, py double")
+    found = {r.point_id: r.node_id for r in nearest(points, nodes, 20.0).collect()}
+    assert found == {1: 2010, 2: 50000, 3: 39999, 5: 39999}
