@@ -1,5 +1,7 @@
 """Work that must not grow faster than the tables, and orders that must not hang on the last bit of a float."""
 
+import re
+
 import pytest
 from oracle import connect, mismatch
 
@@ -55,3 +57,15 @@ def test_nearest_compares_few_nodes(spark):
     points = spark.createDataFrame([(1, 10.5, 10.5), (2, 0.25, 0.25), (3, 209.0, 199.0), (4, 260.0, 0.0), (5, 219.0, 199.0)], "point_id long, px double, py double")
     found = {r.point_id: r.node_id for r in nearest(points, nodes, 20.0).collect()}
     assert found == {1: 2010, 2: 50000, 3: 39999, 5: 39999}
+
+
+@pytest.mark.parametrize("name", ["junction_degree", "undirected_edge_union", "dangling_endpoint_anti_join"])
+def test_tasks_go_by_rows(spark, con, monkeypatch, name):
+    """Rows are dealt by their number, over more tasks than the session's partitions where there are many."""
+    from wayloom.operators import lineage
+
+    monkeypatch.setattr(lineage, "TASK_ROWS", 5000)
+    df = catalog.QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert any(int(x) >= 12 for x in re.findall(r"RepartitionByExpression .*, (\d+)", plan))
+    assert mismatch(df, con, catalog.ORACLE_SQL[name]) is None
