@@ -59,7 +59,7 @@ def test_nearest_compares_few_nodes(spark):
     assert found == {1: 2010, 2: 50000, 3: 39999, 5: 39999}
 
 
-@pytest.mark.parametrize("name", ["junction_degree", "undirected_edge_union", "dangling_endpoint_anti_join", "arc_partition_check"])
+@pytest.mark.parametrize("name", ["junction_degree", "undirected_edge_union", "dangling_endpoint_anti_join", "arc_partition_check", "segment_decision"])
 def test_tasks_go_by_rows(spark, con, monkeypatch, name):
     """Rows are dealt by their number, over more tasks than the session's partitions where there are many."""
     from wayloom.operators import lineage
