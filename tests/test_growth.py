@@ -69,3 +69,10 @@ def test_tasks_go_by_rows(spark, con, monkeypatch, name):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert any(int(x) >= 12 for x in re.findall(r"RepartitionByExpression .*, (\d+)", plan))
     assert mismatch(df, con, catalog.ORACLE_SQL[name]) is None
+
+
+def test_partners_are_found_without_a_sort(spark, con):
+    """The rows of the cross join go into plain minima: no sort of them, whose memory grows with pairs."""
+    df = catalog.QUERIES["seed_pair_cross_join"](spark, SF)
+    assert mismatch(df, con, catalog.ORACLE_SQL["seed_pair_cross_join"]) is None
+    assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
