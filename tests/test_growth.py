@@ -76,3 +76,11 @@ def test_partners_are_found_without_a_sort(spark, con):
     df = catalog.QUERIES["seed_pair_cross_join"](spark, SF)
     assert mismatch(df, con, catalog.ORACLE_SQL["seed_pair_cross_join"]) is None
     assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["route_pair_overlap", "overlap_review_filter"])
+def test_pairs_of_routes_are_not_shuffled(spark, con, name):
+    """The two length columns come with the lists; the plan joins nothing to the pairs."""
+    df = catalog.QUERIES[name](spark, SF)
+    assert mismatch(df, con, catalog.ORACLE_SQL[name]) is None
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
