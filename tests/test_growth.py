@@ -84,3 +84,13 @@ def test_pairs_of_routes_are_not_shuffled(spark, con, name):
     df = catalog.QUERIES[name](spark, SF)
     assert mismatch(df, con, catalog.ORACLE_SQL[name]) is None
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rounds_of_components_are_stored_as_columns(spark, monkeypatch):
+    """No round is a checkpoint of rows; a chain of nine and a pair keep their least nodes."""
+    from wayloom.operators import network
+
+    monkeypatch.setattr(network, "checkpoint", None)
+    edges = spark.range(1, 9).selectExpr("id AS a", "id + 1 AS b").union(spark.sql("SELECT 20L, 30L"))
+    found = {r.node: r.component for r in network.weak_components(edges).collect()}
+    assert found == {**dict.fromkeys(range(1, 10), 1), 20: 20, 30: 20}
