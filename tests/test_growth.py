@@ -94,3 +94,10 @@ def test_rounds_of_components_are_stored_as_columns(spark, monkeypatch):
     edges = spark.range(1, 9).selectExpr("id AS a", "id + 1 AS b").union(spark.sql("SELECT 20L, 30L"))
     found = {r.node: r.component for r in network.weak_components(edges).collect()}
     assert found == {**dict.fromkeys(range(1, 10), 1), 20: 20, 30: 20}
+
+
+def test_csv_files_hold_many_events(spark, con):
+    """10,000 events are in five files, one for each header, not in twenty."""
+    df = catalog.QUERIES["schema_quarantine"](spark, SF)
+    assert len(df.inputFiles()) == 5
+    assert mismatch(df, con, catalog.ORACLE_SQL["schema_quarantine"]) is None

@@ -160,12 +160,15 @@ def raw_archive_check(spark, sf_dir):
     return out.select("n_bronze", stored.alias("n_silver"), (F.col("n_bronze") == stored).alias("equal"))
 
 
-#: Files of the stand-in: the events of 500 ids each. Headers go by the file's number, faults by the event's id.
+#: Files of the stand-in: headers go by the number of 500 ids, faults by the event's id. A file has FILE_GROUPS such groups of one header.
 HEADERS = ("event_id,user_id,event_type,value", "event_id,user_id,event_type", "event_id,user_id,event_type,event_type,value", "value,event_id,user_id,event_type", '"event_id",user_id,event_type,value')
 
 
+FILE_GROUPS = 500
+
+
 def csv_files(spark, sf_dir, path):
-    """Each group of events as a CSV file under its own header, quoted where a value has a comma."""
+    """The events as CSV files, each under its own header, quoted where a value has a comma."""
     name, value = F.concat(F.lit('"'), "event_type", F.lit(', x"')), F.floor("value").cast("string")
     number = F.floor(F.col("event_id") / 500).cast("long")
     cells = {"event_id": F.col("event_id").cast("string"), "user_id": F.col("user_id").cast("string"), "event_type": name, "value": value}
@@ -175,7 +178,9 @@ def csv_files(spark, sf_dir, path):
     for k, body in enumerate(bodies):
         whole = F.concat_ws(",", *body, F.when(F.col("event_id") % 13 == 0, F.lit("more")))
         line = F.when(number % len(HEADERS) == k, F.when(cut, F.concat_ws(",", *body[:-1])).otherwise(whole)).otherwise(line)
-    rows = table(spark, sf_dir, "events").select(number.alias("file"), F.col("event_id").alias("at"), line.alias("value"))
+    kinds = len(HEADERS)
+    file = F.floor(number / (kinds * FILE_GROUPS)).cast("long") * kinds + number % kinds
+    rows = table(spark, sf_dir, "events").select(file.alias("file"), F.col("event_id").alias("at"), line.alias("value"))
     header = F.element_at(F.array(*map(F.lit, HEADERS)), (F.col("file") % len(HEADERS) + 1).cast("int"))
     heads = rows.select("file").distinct().select("file", F.lit(-1).cast("long").alias("at"), header.alias("value"))
     ordered = heads.unionByName(rows).repartition("file").sortWithinPartitions("file", "at").select("file", "value")
