@@ -96,6 +96,35 @@ def test_rounds_of_components_are_stored_as_columns(spark, monkeypatch):
     assert found == {**dict.fromkeys(range(1, 10), 1), 20: 20, 30: 20}
 
 
+def test_repeats_inside_a_batch_of_tiles(spark, tmp_path):
+    """Tiles are read in one pass; a tile that lands twice at once is new once, and later batches know the first content."""
+    import json
+
+    from pyspark.sql import functions as F
+    from test_sources import NODES, payload
+
+    from wayloom.sources.tiles import checked_tiles, landed_objects
+    from wayloom.streaming import jobs
+
+    path, root, other = str(tmp_path / "landing"), jobs.stream_root(spark), {**NODES[0], "lat": 20.0}
+    for batch in ([(2, payload(*NODES)), (2, payload(*NODES)), (1, payload(other))], [(3, payload(NODES[0])), (4, payload(other)), (5, payload({**NODES[0], "id": 0}))]):
+        spark.createDataFrame([(t, json.dumps(x)) for t, x in batch], "tile long, body string").coalesce(1).write.mode("append").parquet(path)
+        landed = checked_tiles(spark.readStream.schema("tile long, body string").parquet(path), F.lit("2024-02-01T00:00:00Z").cast("timestamp"))
+        found = jobs.ingest(landed_objects(landed), root)
+    rows = sorted((r.tile, r.id or 0, r.outcome) for r in found.collect())
+    assert rows == [(1, 1, "new"), (2, 1, "conflict"), (2, 1, "conflict"), (2, 2, "new"), (2, 2, "repeat"), (3, 1, "conflict"), (4, 1, "repeat"), (5, 0, "not_whole")]
+
+
+def test_rules_of_tiles_name_each_list_once(spark):
+    """The texts of elements' times are read in one place, not in every rule that needs them."""
+    from pyspark.sql import functions as F
+
+    from wayloom.sources.tiles import checked_tiles
+
+    plan = checked_tiles(spark.createDataFrame([(1, "{}")], "tile long, body string"), F.lit("2024-01-15T00:00:00Z").cast("timestamp"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"RLIKE\(lambda \w+#\d+\.timestamp", plan)) == 1
+
+
 def test_csv_files_hold_many_events(spark, con):
     """10,000 events are in five files, one for each header, not in twenty."""
     df = catalog.QUERIES["schema_quarantine"](spark, SF)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wayloom.operators.lineage import checkpoint_folder, stored
 from wayloom.sources import files
-from wayloom.sources.tiles import checked_tiles, tile_objects
+from wayloom.sources.tiles import checked_tiles, landed_objects
 from wayloom.streaming import jobs
 
 from .registry import query
@@ -51,12 +51,14 @@ TILE_TIME, TILE_BASE = "2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z"
 def tiles(spark, sf_dir):
     """(tile, body): the parts of an order are nodes, their name tells apart contents, and a count record ends it."""
     tile = F.col("o_orderkey")
-    node = F.struct(
-        F.lit("node").alias("type"), (F.col("l_partkey") + 1).alias("id"), F.when(tile % 17 == 0, 0).otherwise(1).alias("version"), F.lit(TILE_TIME).alias("timestamp"),
+    node = lambda part: F.struct(
+        F.lit("node").alias("type"), (part + 1).alias("id"), F.when(tile % 17 == 0, 0).otherwise(1).alias("version"), F.lit(TILE_TIME).alias("timestamp"),
         F.when(tile % 13 == 0, 91.0).otherwise(21.0).alias("lat"), F.lit(105.8).alias("lon"), F.create_map(F.lit("name"), F.when(tile % 50 == 7, "new").otherwise("old")).alias("tags"),
     )
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_partkey").distinct()
-    grouped = table(spark, sf_dir, "orders").select("o_orderkey").join(rows, tile == F.col("k"), "left").groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.when(F.col("l_partkey").isNotNull(), F.to_json(node)))).alias("nodes"))
+    # Numbers are shuffled, not texts: a tile's nodes are written out where its parts have met.
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_partkey").alias("parts"))
+    own = F.coalesce("parts", F.array().cast(rows.schema["parts"].dataType))
+    grouped = table(spark, sf_dir, "orders").select("o_orderkey").join(rows, tile == F.col("k"), "left").select("o_orderkey", F.array_sort(F.transform(own, lambda x: F.to_json(node(x)))).alias("nodes"))
     n = F.size("nodes")
     stated = F.to_json(F.struct(F.lit("count").alias("type"), F.lit(0).alias("id"), F.struct(n.cast("string").alias("nodes"), F.lit("0").alias("ways"), F.lit("0").alias("relations"), (n + F.when(tile % 11 == 0, 1).otherwise(0)).cast("string").alias("total")).alias("tags")))
     parts = F.when(tile % 19 == 0, F.col("nodes")).otherwise(F.array_append("nodes", stated))
@@ -75,16 +77,15 @@ tiles AS (SELECT t AS tile, CASE WHEN t % 31 = 0 THEN NULL ELSE array_to_string(
 @query(f"""WITH {TILE_FAULTS}, r AS (SELECT tile, l_partkey + 1 AS id, CASE WHEN tile % 50 = 7 THEN 'new' ELSE 'old' END AS body, row_number() OVER w AS rn, first_value(CASE WHEN tile % 50 = 7 THEN 'new' ELSE 'old' END) OVER w AS known FROM tiles JOIN n ON k = tile WHERE problems = '' WINDOW w AS (PARTITION BY l_partkey ORDER BY tile % 3, tile))
 SELECT tile, id, CASE WHEN rn = 1 THEN 'new' WHEN body = known THEN 'repeat' ELSE 'conflict' END AS outcome FROM r UNION ALL SELECT tile, NULL, 'not_whole' FROM tiles WHERE problems IS DISTINCT FROM ''""")
 def stream_tile_ingest(spark, sf_dir):
-    """Tiles land in three parts, each read when it is there: those with a problem go to a table of their own, the
-    objects of the others are new, repeat or conflict by the state that the parts before left."""
-    path, objects, faulty = scratch(spark), jobs.stream_root(spark), jobs.stream_root(spark)
+    """Tiles land in three parts, each read when it is there: those with a problem are marked, the objects of the others
+    are new, repeat or conflict by what is known from the parts before."""
+    path, root = scratch(spark), jobs.stream_root(spark)
     made = stored(tiles(spark, sf_dir))
     for part in range(3):
         made.filter(F.col("tile") % 3 == part).write.mode("append").parquet(path)
         landed = checked_tiles(spark.readStream.schema(made.schema).parquet(path), F.lit(SNAPSHOT).cast("timestamp"))
-        found = jobs.run_to_table(jobs.first_contents(tile_objects(landed)), "append", root=objects)
-        bad = jobs.run_to_table(landed.filter("size(problems) > 0").select("tile"), "append", root=faulty)
-    return found.select("tile", "id", "outcome").unionByName(bad.select("tile", F.lit(None).cast("long").alias("id"), F.lit("not_whole").alias("outcome")))
+        found = jobs.ingest(landed_objects(landed), root)
+    return found.select("tile", "id", "outcome")
 
 
 @query(f"WITH {TILE_FAULTS} SELECT tile, coalesce(problems, 'not_json') AS flags FROM tiles")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.operators.selection import let
+
 OBJECT = "struct<type:string,id:bigint,version:bigint,timestamp:string,lat:double,lon:double,nodes:array<bigint>,members:array<struct<type:string,ref:bigint,role:string>>,tags:map<string,string>>"
 PAYLOAD = f"struct<remark:string,osm3s:struct<timestamp_osm_base:string>,elements:array<{OBJECT}>>"
 KINDS = ("node", "way", "relation")
@@ -28,40 +33,44 @@ def payload_problems(payload: Column, snapshot: Column) -> Column:
     the tile), missing_members, bad_version, bad_time (unreadable or without a zone), newer_than_snapshot,
     old_base (the server's data end before the snapshot, or it doesn't say).
     """
-    e = F.coalesce(payload["elements"], F.array().cast(f"array<{OBJECT}>"))
-    objects = F.filter(e, lambda x: ~x["type"].eqNullSafe("count"))
-    of_kind = lambda kind: F.filter(objects, lambda x: x["type"].eqNullSafe(kind))
-    of = {k: of_kind(k) for k in KINDS}
-    counts = F.filter(e, lambda x: x["type"].eqNullSafe("count"))
-    tags, none = F.get(counts, 0)["tags"], F.lit(None).cast("boolean")
-    stated = lambda name: F.when(F.try_element_at(tags, F.lit(name)).rlike("^[0-9]+$"), F.try_element_at(tags, F.lit(name)).try_cast("long"))
-    wrong = ~stated("total").eqNullSafe(F.size(objects).cast("long"))
-    for k in KINDS:
-        wrong = wrong | ~stated(f"{k}s").eqNullSafe(F.size(of[k]).cast("long"))
-    bad = lambda x, limit: x.isNull() | F.isnan(x) | (F.abs(x) > limit)
-    keys = F.transform(objects, lambda x: F.concat_ws("/", x["type"], x["id"].cast("string")))
-    refs = F.flatten(F.transform(of["way"], lambda x: F.coalesce(x["nodes"], F.array().cast("array<bigint>"))))
-    members = F.flatten(F.transform(of["relation"], lambda x: x["members"]))
-    wanted = F.transform(members, lambda m: F.concat_ws("/", m["type"], m["ref"].cast("string")))
-    times = F.transform(objects, lambda x: zoned_time(x["timestamp"]))
+    none, strings, longs = F.lit(None).cast("boolean"), F.array().cast("array<string>"), F.array().cast("array<bigint>")
+    known = F.coalesce(payload["elements"], F.array().cast(f"array<{OBJECT}>"))
     base = zoned_time(payload["osm3s"]["timestamp_osm_base"])
-    rules = {
-        "bad_id": F.exists(objects, lambda x: x["id"].isNull() | (x["id"] <= 0)),
-        "bad_place": F.exists(of["node"], lambda x: bad(x["lat"], 90) | bad(x["lon"], 180)),
-        "bad_time": F.exists(times, lambda t: t.isNull()),
-        "bad_version": F.exists(objects, lambda x: x["version"].isNull() | (x["version"] < 1)),
-        "missing_members": F.exists(of["relation"], lambda x: x["members"].isNull()) | (F.size(F.array_except(F.coalesce(wanted, F.array().cast("array<string>")), keys)) > 0),
-        "missing_nodes": F.exists(of["way"], lambda x: x["nodes"].isNull() | (F.size(x["nodes"]) < 2)) | (F.size(F.array_except(refs, F.transform(of["node"], lambda x: x["id"]))) > 0),
-        "newer_than_snapshot": F.exists(times, lambda t: t > snapshot),
-        "no_elements": F.size(e) == 0,
-        "no_final_count": (F.size(counts) != 1) | ~F.try_element_at(e, F.lit(-1))["type"].eqNullSafe("count"),
-        "old_base": base.isNull() | (base < snapshot),
-        "remark": F.length(payload["remark"]) > 0,
-        "repeated_id": F.size(F.array_distinct(keys)) < F.size(keys),
-        "unknown_element": F.exists(objects, lambda x: x["type"].isNull() | ~x["type"].isin(*KINDS)),
-        "wrong_count": (F.size(counts) == 1) & wrong,
-    }
-    return F.array_compact(F.array(*(F.when(F.coalesce(rule, none), F.lit(name)) for name, rule in rules.items())))
+    bad = lambda x, limit: x.isNull() | F.isnan(x) | (F.abs(x) > limit)
+
+    def named(e: Column, objects: Column, counts: Column, times: Column, keys: Column, of: dict[str, Column]) -> Column:
+        def wrong(tags: Column) -> Column:
+            stated = lambda name: F.when(F.try_element_at(tags, F.lit(name)).rlike("^[0-9]+$"), F.try_element_at(tags, F.lit(name)).try_cast("long"))
+            sizes = {"total": F.size(objects), **{f"{k}s": F.size(of[k]) for k in KINDS}}
+            return reduce(or_, (~stated(name).eqNullSafe(n.cast("long")) for name, n in sizes.items()))
+
+        refs = F.flatten(F.transform(of["way"], lambda x: F.coalesce(x["nodes"], longs)))
+        wanted = F.transform(F.flatten(F.transform(of["relation"], lambda x: x["members"])), lambda m: F.concat_ws("/", m["type"], m["ref"].cast("string")))
+        missing_nodes = F.exists(of["way"], lambda x: x["nodes"].isNull() | (F.size(x["nodes"]) < 2)) | (F.size(F.array_except(refs, F.transform(of["node"], lambda x: x["id"]))) > 0)
+        missing_members = F.exists(of["relation"], lambda x: x["members"].isNull()) | (F.size(F.array_except(F.coalesce(wanted, strings), keys)) > 0)
+        rules = {
+            "bad_id": F.exists(objects, lambda x: x["id"].isNull() | (x["id"] <= 0)),
+            "bad_place": F.exists(of["node"], lambda x: bad(x["lat"], 90) | bad(x["lon"], 180)),
+            "bad_time": F.exists(times, lambda t: t.isNull()),
+            "bad_version": F.exists(objects, lambda x: x["version"].isNull() | (x["version"] < 1)),
+            "missing_members": F.when(F.size(of["relation"]) > 0, missing_members),
+            "missing_nodes": F.when(F.size(of["way"]) > 0, missing_nodes),
+            "newer_than_snapshot": F.exists(times, lambda t: t > snapshot),
+            "no_elements": F.size(e) == 0,
+            "no_final_count": (F.size(counts) != 1) | ~F.try_element_at(e, F.lit(-1))["type"].eqNullSafe("count"),
+            "old_base": base.isNull() | (base < snapshot),
+            "remark": F.length(payload["remark"]) > 0,
+            "repeated_id": F.size(F.array_distinct(keys)) < F.size(keys),
+            "unknown_element": F.exists(objects, lambda x: x["type"].isNull() | ~x["type"].isin(*KINDS)),
+            "wrong_count": (F.size(counts) == 1) & wrong(F.get(counts, 0)["tags"]),
+        }
+        return F.array_compact(F.array(*(F.when(F.coalesce(rule, none), F.lit(name)) for name, rule in rules.items())))
+
+    # Each list is made once and named in the rules: Spark makes what lambdas are given anew wherever it is written.
+    of_kind = lambda objects, kind: F.filter(objects, lambda x: x["type"].eqNullSafe(kind))
+    lists = lambda e, objects: F.struct(F.filter(e, lambda x: x["type"].eqNullSafe("count")).alias("counts"), F.transform(objects, lambda x: zoned_time(x["timestamp"])).alias("times"), F.transform(objects, lambda x: F.concat_ws("/", x["type"], x["id"].cast("string"))).alias("keys"), *(of_kind(objects, k).alias(k) for k in KINDS))
+    rules_of = lambda e, objects: let(lists(e, objects), lambda x: named(e, objects, x["counts"], x["times"], x["keys"], {k: x[k] for k in KINDS}))
+    return let(known, lambda e: let(F.filter(e, lambda x: ~x["type"].eqNullSafe("count")), lambda objects: rules_of(e, objects)))
 
 
 def checked_tiles(tiles: DataFrame, snapshot: Column) -> DataFrame:
@@ -73,8 +82,20 @@ def checked_tiles(tiles: DataFrame, snapshot: Column) -> DataFrame:
     return rows.select("tile", F.inline(F.array(F.struct("payload", problems.alias("problems")))))
 
 
+def digest(e: Column) -> Column:
+    content = F.struct(*(e[c].alias(c) for c in ("type", "id", "version", "timestamp", "lat", "lon", "nodes", "members")), F.array_sort(F.map_entries(e["tags"])).alias("tags"))
+    return F.sha2(F.to_json(content), 256)
+
+
 def tile_objects(checked: DataFrame) -> DataFrame:
     """(kind, id, tile, version, digest) of the objects of tiles without a problem; the order of tags doesn't matter to the digest."""
     whole = checked.filter(F.size("problems") == 0).select("tile", F.explode("payload.elements").alias("e")).filter("e.type <> 'count'")
-    content = F.struct(*(f"e.{c}" for c in ("type", "id", "version", "timestamp", "lat", "lon", "nodes", "members")), F.array_sort(F.map_entries("e.tags")).alias("tags"))
-    return whole.select(F.col("e.type").alias("kind"), F.col("e.id").alias("id"), "tile", F.col("e.version").alias("version"), F.sha2(F.to_json(content), 256).alias("digest"))
+    return whole.select(F.col("e.type").alias("kind"), F.col("e.id").alias("id"), "tile", F.col("e.version").alias("version"), digest(F.col("e")).alias("digest"))
+
+
+def landed_objects(checked: DataFrame) -> DataFrame:
+    """tile_objects, and a row with a null kind for each tile with a problem: both from one pass over the texts."""
+    none = F.array(F.lit(None).cast(OBJECT))
+    own = F.when(F.size("problems") == 0, F.filter("payload.elements", lambda x: x["type"] != "count")).otherwise(none)
+    rows = checked.select("tile", F.explode(own).alias("e"))
+    return rows.select(F.col("e.type").alias("kind"), F.col("e.id").alias("id"), "tile", F.col("e.version").alias("version"), F.when(F.col("e").isNotNull(), digest(F.col("e"))).alias("digest"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from wayloom.operators.lineage import checkpoint_folder
 
@@ -87,3 +88,35 @@ def first_contents(objects: DataFrame) -> DataFrame:
 
     tile = objects.schema["tile"].dataType.simpleString()
     return objects.groupBy("kind", "id").applyInPandasWithState(work, f"kind string, id long, tile {tile}, version long, outcome string", "digest string", "append", GroupStateTimeout.NoTimeout)
+
+
+def ingest(landed: DataFrame, root: str) -> DataFrame:
+    """Drains landed objects (kind, id, tile, version, digest; a null kind for a tile that isn't whole) into a table below root.
+
+    Outcomes are those of first_contents, and not_whole. What is known of an object is a row of a table that grows with
+    the objects, not with what lands; a batch is joined with it, so no object costs a call of Python. A batch that is
+    run again sees only what the batches before it left, and writes over its own rows.
+    """
+    spark, at = landed.sparkSession, {x: f"{root}/{x}" for x in ("landed", "known", "table")}
+    known_schema = StructType([landed.schema[c] for c in ("kind", "id", "digest")])
+
+    def read(name: str, number: int, schema: StructType) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{at[name]}/{BATCH}={number}")
+
+    def store(batch: DataFrame, number: int) -> None:
+        path = f"{at['landed']}/{BATCH}={number}"
+        batch.withColumn("place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+        rows = spark.read.schema(StructType([*landed.schema.fields, StructField("place", LongType())])).parquet(path)
+        objects = rows.filter("kind is not null")
+        first = objects.groupBy("kind", "id").agg(F.min(F.struct("tile", "digest", "place")).alias("first"))
+        earlier = reduce(DataFrame.unionByName, (read("known", n, known_schema) for n in range(number))) if number else spark.createDataFrame([], known_schema)
+        states = first.join(earlier.withColumnRenamed("digest", "known"), ["kind", "id"], "left")
+        states.filter("known is null").select("kind", "id", "first.digest").write.mode("overwrite").parquet(f"{at['known']}/{BATCH}={number}")
+        outcome = F.when(F.col("known").isNull() & (F.col("place") == F.col("first.place")), "new").when(F.col("digest") == F.coalesce("known", "first.digest"), "repeat").otherwise("conflict")
+        judged = objects.join(states, ["kind", "id"]).select("kind", "id", "tile", "version", outcome.alias("outcome"))
+        faulty = rows.filter("kind is null").select("kind", "id", "tile", "version", F.lit("not_whole").alias("outcome"))
+        judged.unionByName(faulty).write.mode("overwrite").parquet(f"{at['table']}/{BATCH}={number}")
+
+    landed.writeStream.outputMode("append").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(store).start().awaitTermination()
+    schema = StructType([*(landed.schema[c] for c in ("kind", "id", "tile", "version")), StructField("outcome", StringType()), StructField(BATCH, IntegerType())])
+    return spark.read.schema(schema).option("basePath", at["table"]).parquet(at["table"]).drop(BATCH)
