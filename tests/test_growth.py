@@ -130,3 +130,24 @@ def test_csv_files_hold_many_events(spark, con):
     df = catalog.QUERIES["schema_quarantine"](spark, SF)
     assert len(df.inputFiles()) == 5
     assert mismatch(df, con, catalog.ORACLE_SQL["schema_quarantine"]) is None
+
+
+def test_pool_reads_walks_once(spark, monkeypatch):
+    """Vectors, lengths, features and parts of routes come from one pass over the walks."""
+    from wayloom.plans import selection
+
+    seen, walks = [], selection.walks
+    monkeypatch.setattr(selection, "walks", lambda *x: seen.append(1) or walks(*x))
+    pool, own, _ = selection.base_pool(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and pool.count() > 0 and own.count() == own.select("route_id", "part_id").distinct().count()
+
+
+def test_gap_of_pairs_is_compiled(spark):
+    """D of a pair by columns equals D by lambdas to the last bit, and the plan has no lambda."""
+    from wayloom.operators import selection as sel
+
+    q = [0.5, 0.3, 0.2]
+    rows = spark.sql("SELECT array(id * 1.1, id / 3D, 7D - id) AS a, array(0.1D, id / 7D, 0D) AS b FROM range(8)").unionAll(spark.sql("SELECT array(0D, 0D, 0D), array(0D, 0D, 0D)"))
+    found = sel.with_gap(rows, [sel.F.col("a")[i] + sel.F.col("b")[i] for i in range(3)], q, "d")
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r.d == r.e for r in found.withColumn("e", sel.gap_of(sel.plus(sel.F.col("a"), sel.F.col("b")), q)).collect())
