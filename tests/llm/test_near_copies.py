@@ -69,3 +69,37 @@ def test_groups_of_null_and_shared_ids(spark):
     docs = spark.createDataFrame([(1, other), (2, same), (2, other), (3, same), (None, same), (None, other), (4, None), (5, ""), (2, same)], "doc_id long, text string")
     kept = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.simhash_dedup(spark, docs, SF).collect()))
     assert kept == sorted([(1, other), (2, same), (2, same), (0, same), (0, other), (4, "")])
+
+
+def test_crowd_of_unlike_texts_is_not_paired_up(spark, monkeypatch):
+    """Copies of one text that are nearly all too unlike each other: the groups are those of brute force, from some pairs a text."""
+    rng, compared, similar = random.Random(11), [], near_copies.similar
+    base = [f"v{rng.randrange(5000)}" for _ in range(200)]
+    rows = list(enumerate(" ".join(edited(rng, base, n)) for n in [0, 2, 4] * 20 + [5, 6] * 120))
+
+    def counted(pairs, texts):
+        compared.append(pairs.count())
+        return similar(pairs, texts)
+
+    monkeypatch.setattr(near_copies, "similar", counted)
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == brute_components(rows)
+    assert sum(compared[1:]) < 5 * len(rows)  # the first are those of small keys and hubs
+
+
+def test_golay_keys_of_whole_fingerprints_find_copies(spark, monkeypatch):
+    """Long texts that differ in one word meet by Golay keys, with no sample in common."""
+    import numpy as np
+
+    rng, rows = random.Random(5), []
+    for _ in range(20):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(6000)]
+        rows += [" ".join(words), " ".join(edited(rng, words, 1))]
+    rows = list(enumerate(rows))
+
+    def no_samples(prints):
+        return np.random.default_rng(hash(prints[0]) % 2**32).integers(-(2**62), 2**62, (len(prints), 1))
+
+    monkeypatch.setattr(near_copies, "print_keys", no_samples)
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == brute_components(rows) == {i: i - i % 2 for i, _ in rows}

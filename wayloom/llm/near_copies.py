@@ -1,9 +1,10 @@
-"""Near copies by the Jaccard similarity of word shingles: keys of min-hashed samples find candidates, the shingles decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash fingerprints find candidates, the shingles decide.
 
-At a similarity of 0.8 the fingerprints of two whole texts differ in about ten of 64 bits, far beyond what Golay keys
-reach. So a text gets a fingerprint of each of several small samples of its shingles, those of least hash under a
-permutation; texts that share all shingles of a sample have the same fingerprint, which is then a key without error.
-That is banding of min-hashes, with a fingerprint as the band's name.
+The fingerprints of whole texts meet by Golay keys, as in simhash.py, which find all that differ in 2 bits or fewer. At
+a similarity of 0.8 they differ in about ten of 64 bits. So a text also gets a fingerprint of each of several small
+samples of its shingles, those of least hash under a permutation; texts that share all shingles of a sample have the
+same fingerprint, which is a key without error (banding of min-hashes; one other shingle of four changes a dozen bits,
+so Golay keys of samples would find no more).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, side, written
 from .components import components
+from .simhash import links as golay_links
 from .url_filter import possibly_in
 
 SEED = 42
@@ -25,17 +27,16 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Permutations, and shingles of a sample (the least of BAND permutations): at 0.8, all 24 samples miss 3 pairs in a million.
 HASHES, BAND = 96, 4
 #: A key with more texts isn't paired up. Each of its texts is compared with HUBS of them; what isn't linked then
-#: meets by FINE keys of FINE_BAND min-hashes, whose texts are paired up however many they are.
-PAIRED, HUBS, FINE, FINE_BAND = 16, 4, 256, 12
-#: Rounds in which the texts of a fine key are compared with one of them, before those left apart are paired up.
-STAR_ROUNDS = 1
+#: meets by its rarest shingles.
+PAIRED, HUBS = 16, 1
+#: Rounds in which the texts of a rare shingle are compared with one of them, before those left apart are paired up.
+STAR_ROUNDS = 2
 #: Candidates that are compared agree in so many min-hashes at least; a pair at 0.8 has 77 in the mean, with a deviation of 4.
 AGREED = 60
 
 RNG = np.random.default_rng(SEED)
 MULTIPLIERS = RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MASKS = RNG.integers(0, 2**64, HASHES, dtype=np.uint64)
-FINE_PICKS = np.array([RNG.choice(HASHES, FINE_BAND, replace=False) for _ in range(FINE)])
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -73,13 +74,12 @@ def sample_prints(held: np.ndarray) -> np.ndarray:
     return np.packbits(2 * bits.sum(1) > BAND, axis=1).view(np.uint64).ravel()
 
 
-def band_keys(signs: np.ndarray, picks: np.ndarray) -> np.ndarray:
-    """(texts, bands) int64 keys of the picked min-hashes; bands differ in their keys."""
-    key = np.broadcast_to(np.arange(1, len(picks) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(signs), len(picks)))
-    for k in range(picks.shape[1]):
-        key = (key ^ signs[:, picks[:, k]].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-        key = key ^ (key >> np.uint64(32))
-    return key.view(np.int64)
+def whole_print(hashes: np.ndarray) -> int:
+    """SimHash fingerprint of a whole set of shingles; of an empty one zero."""
+    total = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), 8192):
+        total += np.unpackbits(hashes[start : start + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes)).view(np.int64)[0])
 
 
 def text_print(docs: DataFrame, text_col: str = "text"):
@@ -88,7 +88,7 @@ def text_print(docs: DataFrame, text_col: str = "text"):
 
 
 def document_signs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_print, node, signs, prints) of every row; node is a hash of the whole set of shingles."""
+    """(doc_id, text_print, node, fp, signs, prints) of every row; node is a hash of the whole set of shingles, fp its fingerprint."""
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -99,13 +99,14 @@ def document_signs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 part = batch.slice(start, 128)
                 sets = [shingles(x) for x in byte_texts(part.column(2))]
                 node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                fp = np.array([whole_print(x) for x in sets], np.int64)
                 found = [min_hashes(x) for x in sets]
                 signs, prints = [x.tobytes() for x, _ in found], [sample_prints(x).tobytes() for _, x in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), pa.array(signs, pa.binary()), pa.array(prints, pa.binary())], ["doc_id", "text_print", "node", "signs", "prints"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), pa.array(fp), pa.array(signs, pa.binary()), pa.array(prints, pa.binary())], ["doc_id", "text_print", "node", "fp", "signs", "prints"])
             pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_print(docs, text_col).alias("text_print"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id {kind}, text_print long, node long, signs binary, prints binary")
+    return docs.select(F.col(id_col).alias("doc_id"), text_print(docs, text_col).alias("text_print"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id {kind}, text_print long, node long, fp long, signs binary, prints binary")
 
 
 def with_keys(nodes: DataFrame, source: str, keys_of) -> DataFrame:
@@ -130,8 +131,37 @@ def print_keys(prints: list[bytes]) -> np.ndarray:
     return ((prints_ ^ (np.arange(1, prints_.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def fine_keys(signs: list[bytes]) -> np.ndarray:
-    return band_keys(np.frombuffer(b"".join(signs), np.uint16).reshape(-1, HASHES), FINE_PICKS)
+def rare_shingles(texts: DataFrame) -> DataFrame:
+    """(shingle, node, size, at): the rarest shingles of each text (node, text), and each one's place from the rarest on.
+
+    Similar texts share a shingle among the rarest of each: if size - SIMILAR * size + 1 of them, rounded down, aren't in
+    the other, too few are left. Those that no other text has come first and bring nobody together, so they have no row.
+    """
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                sets = [shingles(x) for x in byte_texts(part.column(1))]
+                sizes = np.array([len(x) for x in sets], np.int64)
+                node = part.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(node, sizes)), pa.array(np.repeat(sizes, sizes))], ["shingle", "node", "size"])
+            pa.default_memory_pool().release_unused()
+
+    held = written(texts.select("node", "text").mapInArrow(work, "shingle long, node long, size long"))
+    common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    ranked = held.join(common, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))
+    own = F.col("size") - F.size("ranked")
+    first = F.col("size") - F.ceil(F.col("size") * SIMILAR - 1e-9) + 1 - own
+    rare = ranked.withColumn("own", own).select("node", "size", "own", F.posexplode(F.slice("ranked", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("at", "x"))
+    return written(rare.select("x.shingle", "node", "size", (F.col("own") + F.col("at")).alias("at")))
+
+
+def may_be_similar(x: str, y: str):
+    """Whether texts whose first common shingle is at these places can still share enough."""
+    return F.least(F.col(f"{x}.size") - F.col(f"{x}.at"), F.col(f"{y}.size") - F.col(f"{y}.at")) >= (F.col(f"{x}.size") + F.col(f"{y}.size")) * (SIMILAR / (1 + SIMILAR)) - 1e-9
 
 
 def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -179,14 +209,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts link when the Jaccard similarity of their sets of SHINGLE words (ASCII lower case) is SIMILAR or more;
     texts without a word link with each other. Candidates come by fingerprints of samples; those that also agree in
-    AGREED min-hashes are compared by the shingles, so no link is false; a pair at exactly 0.8 is missed by all keys
-    of the first kind in 3 of a million cases. Texts of a key with more than PAIRED first link to some of its members; those that then are
-    in one component need no comparison, and the others are compared by fine keys. Equal sets meet before any of this. Rows with
+    AGREED min-hashes are compared by the shingles, so no link is false; a pair at exactly 0.8 is missed by all samples
+    in 3 of a million cases. Texts of a key with more than PAIRED first link to some of its members; those that then are
+    in one component need no comparison. The others meet by their rarest shingles, which miss none: first each with one
+    text of a shingle, then all that are still apart and may share enough by the shingles' places. Equal sets meet
+    before any of this. Rows with
     a null id keep a null component and link nothing; repeated rows are all returned; an empty table gives no
     rows; other columns aren't read.
     """
     rows = written(document_signs(docs, id_col, text_col))
-    nodes = written(rows.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_print")).alias("held"), F.first("signs").alias("signs"), F.first("prints").alias("prints")))
+    nodes = written(rows.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_print")).alias("held"), F.first("fp").alias("fp"), F.first("signs").alias("signs"), F.first("prints").alias("prints")))
     keys = written(with_keys(nodes, "prints", print_keys))
     sizes = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     shared = written(keys.join(side(sizes), "key"))
@@ -194,32 +226,37 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs_of = lambda k: k.alias("x").join(k.alias("y"), "key").filter("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     hubs = many.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k), "key")) for k in range(HUBS)))).alias("hubs"))
     stars = many.join(hubs, "key").select("node", F.explode("hubs").alias("hub")).filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    pairs = written(agreeing(pairs_of(few).union(stars).distinct(), nodes))
+    close = golay_links(nodes.select("fp", "node"))
+    pairs = written(agreeing(pairs_of(few).union(stars).union(close).distinct(), nodes))
 
-    def with_texts(found: DataFrame) -> DataFrame:
-        held = written(nodes.join(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), "node", "left_semi").select("node", F.col("held.doc_id").alias("i"), F.col("held.text_print").alias("p")))
+    def with_texts(some: DataFrame) -> DataFrame:
+        held = written(nodes.join(some, "node", "left_semi").select("node", F.col("held.doc_id").alias("i"), F.col("held.text_print").alias("p")))
         own = docs.select(F.col(id_col).alias("i2"), text_print(docs, text_col).alias("p2"), F.col(text_col).alias("text"))
         own = own.filter(possibly_in(held.select(F.col("p").alias("key")), F.col("p2")))
         return written(side(held).join(own, (F.col("i") == F.col("i2")) & (F.col("p") == F.col("p2"))).dropDuplicates(["node"]).select("node", "text"))
 
-    links = written(similar(pairs, with_texts(pairs)))
+    links = written(similar(pairs, with_texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())))
     found = components(links)
-    crowd = many.select("node").distinct()
-    fine = None if crowd.isEmpty() else written(with_keys(nodes.join(crowd, "node", "left_semi"), "signs", fine_keys))
+    crowd = written(many.select("node").distinct())
+    texts = None if crowd.isEmpty() else with_texts(crowd)
+    rare = None if texts is None else rare_shingles(texts)
     last = False
-    for turn in count(1) if fine is not None else ():
-        label = written(nodes.join(crowd, "node", "left_semi").join(found, "node", "left").select("node", "signs", F.coalesce("component", "node").alias("c")))
-        keyed = fine.join(side(label.select("node", "c")), "node")
-        mixed = keyed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("node", "c"), F.xxhash64("node", F.lit(turn), "key")).alias("hub")).filter("low < high").select("key", "hub")
-        apart = written(keyed.join(mixed, "key"))
-        cross = apart.filter("c <> hub.c").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+    for turn in count(1) if rare is not None else ():
+        label = written(crowd.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c")))
+        keyed = rare.join(side(label), "node")
+        drawn = F.xxhash64("node", F.lit(turn), "shingle")
+        near = F.struct(F.col("at") / F.col("size"), drawn)  # the text with the least of its own is similar to most
+        mixed = keyed.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("size").alias("least"), F.min_by(F.struct("node", "c", "size", "at"), near if turn == 1 else drawn).alias("hub")).filter("low < high").select("shingle", "least", "hub")
+        within = (F.col("size") - F.col("at")) >= (F.col("size") + F.col("least")) * (SIMILAR / (1 + SIMILAR)) - 1e-9
+        apart = written(keyed.alias("x").join(mixed, "shingle").filter(within).select("x.*", "hub"))
         if apart.isEmpty():
             break
         if last:
             left = apart.drop("hub")
-            cross = left.alias("x").join(left.alias("y"), "key").filter("x.node < y.node AND x.c <> y.c").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        cross = written(agreeing(cross.distinct(), label))
-        more = written(similar(cross, with_texts(cross)))
+            cross = left.alias("x").join(left.alias("y"), "shingle").filter("x.node < y.node AND x.c <> y.c").filter(may_be_similar("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        else:
+            cross = apart.alias("x").filter("c <> hub.c").filter(may_be_similar("x", "hub")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+        more = written(similar(written(cross.distinct()), texts))
         if not more.isEmpty():
             links = written(links.union(more))
             found = components(links)
