@@ -137,6 +137,57 @@ def test_anchored_paths(spark, once):
     assert 8 < sum(x is not None for x in wanted.values())
 
 
+def least_path(arcs, after, origin, anchors):
+    """Least (cost, path) over the states (arc, anchors passed), cheapest first."""
+    import heapq
+
+    def step(cost, path, done, a):
+        return cost + arcs[a][3], (*path, a), done + (arcs[a][2] == anchors[done])
+
+    heap, seen = [step(0.0, (), 0, a) for a in arcs if arcs[a][1] == origin], set()
+    heapq.heapify(heap)
+    while heap:
+        cost, path, done = heapq.heappop(heap)
+        if done == len(anchors):
+            return cost, path
+        if (path[-1], done) not in seen:
+            seen.add((path[-1], done))
+            for a in after.get(path[-1], ()):
+                heapq.heappush(heap, step(cost, path, done, a))
+    return None
+
+
+@pytest.mark.parametrize("costs", [(1.0, 2.0, 3.0), (0.25, 2.0, 7.5)])
+def test_anchored_paths_write_few_labels(spark, monkeypatch, costs):
+    """Equal costs give the least path; labels stay near the anchors: fewer than a third of problems times arcs are written where a step is the least cost."""
+    import random
+
+    rng, nodes = random.Random(5), 400
+    arcs = {i: (i // 2, rng.randrange(nodes), rng.randrange(1, nodes), rng.choice(costs)) for i in range(4 * nodes)}
+    starting = {}
+    for a, (_, start, _, _) in arcs.items():
+        starting.setdefault(start, []).append(a)
+    legal = sorted((x, y) for x in arcs if rng.random() < 0.9 for y in starting.get(arcs[x][2], ()) if rng.random() < 0.9)
+    after = {}
+    for x, y in legal:
+        if arcs[x][0] != arcs[y][0]:
+            after.setdefault(x, []).append(y)
+    # node 0 is never reached; one anchor, three, the same twice, and the origin itself are asked for as well
+    problems = {k: (rng.randrange(nodes), [rng.randrange(1, nodes) for _ in range(2)]) for k in range(30)}
+    problems |= {30: (7, [0, 9]), 31: (7, [9, 0]), 32: (8, [21]), 33: (9, [5, 77, 130]), 34: (11, [42, 42]), 35: (12, [12, 60])}
+    wanted = {k: least_path(arcs, after, o, found) for k, (o, found) in problems.items()}
+    written, keep = [], network.stored
+    monkeypatch.setattr(network, "stored", lambda df: written.append(keep(df)) or written[-1])
+    table = spark.createDataFrame([(a, *rest) for a, rest in arcs.items()], "arc_id long, part_id long, from_node long, to_node long, cost double")
+    asked = spark.createDataFrame([(k, o, a) for k, (o, a) in problems.items()], "problem_id long, origin long, anchors array<long>")
+    rows = network.anchored_paths(table, spark.createDataFrame(legal, "from_arc long, to_arc long"), asked).collect()
+    assert {r.problem_id: (r.cost, tuple(r.arc_ids)) for r in rows} == {k: x for k, x in wanted.items() if x}
+    assert len(rows) > 25
+    feasible = {k for k, x in wanted.items() if x}
+    labels = sum(df.filter(df.problem_id.isin(*feasible)).count() for df in written if {"problem_id", "arc_id", "path"} <= set(df.columns))
+    assert costs[0] < 1 or labels < len(feasible) * len(arcs) / 3  # steps wider than the least cost write their labels again
+
+
 @pytest.mark.parametrize(("lengths", "caps", "slots"), [((46, 25, 24, 5), (10, 10, 10, 10), (5, 3, 2, 0)), ((40, 30, 20, 10), (0, 3, 10, 10), (0, 3, 5, 2))])
 def test_largest_remainder(spark, lengths, caps, slots):
     rows = [("A", f"RC{i + 1}", float(m), c) for i, (m, c) in enumerate(zip(lengths, caps, strict=True))]
