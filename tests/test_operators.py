@@ -71,6 +71,27 @@ def test_node_access(spark, tags, status):
     assert spark.createDataFrame([(tags,)], "tags map<string,string>").select(network.node_status(F.col("tags"))).first()[0] == status
 
 
+def test_segment_rules(spark):
+    """Steps of a segment beyond the worst of way and node: untold directions, areas, restrictions, levels, access by direction."""
+    road = {"highway": "residential"}
+    ways = {
+        1: (road, "provisionally_allowed"), 2: ({**road, "oneway": "reversible"}, "review_required"), 3: ({**road, "area": "yes"}, "review_required"), 4: (road, "review_required"),
+        5: ({**road, "motorcycle:backward": "no"}, "provisionally_allowed"), 6: ({**road, "motorcycle:backward": "no", "oneway": "-1"}, "excluded"), 7: ({**road, "access": "no", "motorcycle:forward": "yes"}, "provisionally_allowed"),
+        8: ({"highway": "motorway", "area": "yes"}, "excluded"), 9: ({**road, "access": "destination"}, "review_required"), 10: ({**road, "layer": "1"}, "review_required"), 11: (road, "review_required"), 12: ({**road, "layer": "1"}, "provisionally_allowed"),
+        13: (road, "review_required"), 14: (road, "excluded"),
+    }
+    nodes = {10: [1, 50, 2], 11: [3, 50, 4], 12: [50, 51, 52], 13: [5, 53, 6]}  # way 12 only ends at node 50
+    t = spark.createDataFrame([(k, tags) for k, (tags, _) in ways.items()], "way_id long, tags map<string,string>")
+    refs = spark.createDataFrame([(w, i, x) for w, own in nodes.items() for i, x in enumerate(own)], "way_id long, pos int, node_id long")
+    clash = network.level_clashes(refs, t.select("way_id", F.coalesce(F.col("tags")["layer"], F.lit("0")).alias("level")))
+    assert {r.way_id for r in clash.collect()} == {10, 11}
+    held = F.when(F.col("way_id") == 13, "review_required").when(F.col("way_id") == 14, "excluded").otherwise("provisionally_allowed")
+    known = t.select("way_id", "tags", network.reviewed_policy(F.col("tags"), F.col("way_id") == 4, F.col("way_id").isin(10, 11)).alias("policy"), held.alias("node"))
+    own = spark.createDataFrame([(100 + k, k) for k in ways] + [(200, 1), (200, 7), (201, 1), (201, 9), (202, 7), (202, 13)], "segment_id long, way_id long")
+    found = {r.segment_id: r.status for r in network.segment_status(own, known).collect()}
+    assert found == {**{100 + k: status for k, (_, status) in ways.items()}, 200: "provisionally_allowed", 201: "review_required", 202: "review_required"}
+
+
 def test_way_split_and_turns(spark):
     refs = spark.createDataFrame([("w", i, n, n in (2, 3)) for i, n in enumerate([1, 2, 3, 4])], "way_id string, pos long, node_id long, cut boolean")
     assert sorted((r.start_index, r.end_index) for r in network.split_ways(refs).collect()) == [(0, 1), (1, 2), (2, 3)]
