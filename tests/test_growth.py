@@ -1,5 +1,6 @@
 """Work that must not grow faster than the tables, and orders that must not hang on the last bit of a float."""
 
+import random
 import re
 
 import pytest
@@ -151,3 +152,24 @@ def test_gap_of_pairs_is_compiled(spark):
     found = sel.with_gap(rows, [sel.F.col("a")[i] + sel.F.col("b")[i] for i in range(3)], q, "d")
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert all(r.d == r.e for r in found.withColumn("e", sel.gap_of(sel.plus(sel.F.col("a"), sel.F.col("b")), q)).collect())
+
+
+def test_rounds_of_swaps_store_little(spark, monkeypatch):
+    """Routes lie in as many files as there are partitions, so a round's pairs are worked on by all tasks; a round stores nothing but the blocked pairs of new routes."""
+    from test_selection import World
+
+    from wayloom.operators import selection as sel
+
+    kept, stored = [], sel.stored
+    monkeypatch.setattr(sel, "stored", lambda df: kept.append(df) or stored(df))
+    world = World(1)
+    tables = world.tables(spark)
+    rng = random.Random(8)
+    sets = {f"{s}-{k}": (s, [r for b, n in world.rules.quota for r in rng.sample([r for r in range(16) if "ABC"[r % 3] == b], n)]) for s in world.scenarios for k in range(4)}
+    problems = spark.createDataFrame([(k, s) for k, (s, _) in sets.items()], "problem_id string, scenario string")
+    members = spark.createDataFrame([(k, r) for k, (_, own) in sets.items() for r in own], "problem_id string, route_id long")
+    after, done = sel.swaps(problems, members, *tables, world.rules, world.network)
+    rounds = max(r["round"] for r in done.collect())
+    assert kept[0].rdd.getNumPartitions() == 4 and rounds > 0 and len(kept) <= 3 + rounds
+    for name, (scenario, routes) in sets.items():
+        assert {r.route_id for r in after.filter(after.problem_id == name).collect()} == set(world.swap(scenario, routes)[0])
