@@ -173,3 +173,22 @@ def test_rounds_of_swaps_store_little(spark, monkeypatch):
     assert kept[0].rdd.getNumPartitions() == 4 and rounds > 0 and len(kept) <= 3 + rounds
     for name, (scenario, routes) in sets.items():
         assert {r.route_id for r in after.filter(after.problem_id == name).collect()} == set(world.swap(scenario, routes)[0])
+
+
+def test_rounds_of_greedy_store_little(spark, monkeypatch):
+    """A round stores what its picks share with routes, and its criteria; before, it stored six tables, most of them by one task."""
+    from test_selection import World
+
+    from wayloom.operators import selection as sel
+
+    kept, stored = [], sel.stored
+    monkeypatch.setattr(sel, "stored", lambda df: kept.append(df) or stored(df))
+    world = World(1)
+    starts = {f"{s}-{a}-{b}": (s, (a, b)) for s in world.scenarios for a, b in ((0, 1), (3, 4))}
+    problems = spark.createDataFrame([(k, s) for k, (s, _) in starts.items()], "problem_id string, scenario string")
+    members = spark.createDataFrame([(k, r) for k, (_, own) in starts.items() for r in own], "problem_id string, route_id long")
+    found = sel.greedy(problems, members, *world.tables(spark), world.rules, world.network).members.collect()
+    rounds = max(r["round"] for r in found)
+    assert rounds > 2 and len(kept) <= 5 + 2 * (rounds + 1)
+    for name, (scenario, start) in starts.items():
+        assert [r.route_id for r in sorted(found, key=lambda r: r["round"]) if r.problem_id == name and r["round"]] == world.greedy(scenario, start)[1]
