@@ -192,3 +192,23 @@ def test_rounds_of_greedy_store_little(spark, monkeypatch):
     assert rounds > 2 and len(kept) <= 5 + 2 * (rounds + 1)
     for name, (scenario, start) in starts.items():
         assert [r.route_id for r in sorted(found, key=lambda r: r["round"]) if r.problem_id == name and r["round"]] == world.greedy(scenario, start)[1]
+
+
+@pytest.mark.parametrize("most", [500_000, 10])
+def test_pairs_of_routes_are_packed(spark, con, monkeypatch, most):
+    """Lists of routes cost under three bytes a pair, and are the same by both ways to the lengths of routes; a task holds a share of the pairs."""
+    from wayloom.operators import commons, composition
+    from wayloom.plans import sets
+
+    monkeypatch.setattr(composition, "ROUTES", most)
+    monkeypatch.setattr(composition, "PAIRS", 20_000)
+    monkeypatch.setattr(commons, "AT_ONCE", 50_000)
+    df = composition.pair_overlap(sets.walks(spark, SF), sets.parts(spark, SF))
+    assert mismatch(catalog.QUERIES["route_pair_overlap"](spark, SF), con, catalog.ORACLE_SQL["route_pair_overlap"]) is None
+    assert df.rdd.getNumPartitions() > 30
+    rows = [[5, 9, 2.5], [7, 2, 0.5], [1 << 40, 0, 1.0]]
+    owners, counts, lengths = (commons.np.array([r[i] for r in rows], dtype=kind) for i, kind in ((0, "int64"), (1, "int64"), (2, "float64")))
+    others = commons.np.array([1, 2, 3, 4, 6, 8, 9, 11, 1 << 50, 3, 9], dtype="int64")
+    assert all((a == b).all() for a, b in zip(commons.unpacked(commons.packed(owners, lengths, counts, others)), (owners, lengths, counts, others), strict=True))
+    many = commons.np.arange(0, 1_000_000, 7)
+    assert len(commons.packed(many[:1], commons.np.ones(1), commons.np.array([len(many)]), many)) < 3 * len(many)
